@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from itertools import islice
 
 #: A space before further white space, or at the end, doesn't begin a chunk.
 IRREGULAR = re.compile(rb" (?:[ \t\n\v\f\r\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|$(?!\n))")
@@ -21,8 +22,9 @@ LONGEST = 64
 class WorkerCache:
     """What ``encode_many`` gives for a key, kept for up to ``limit`` keys.
 
-    ``fixed`` holds answers that stay. When the limit is reached the others are
-    forgotten, so memory is bounded whatever the input.
+    ``fixed`` holds answers that stay. When the limit is reached, the later half
+    is forgotten (what came first is mostly what is frequent), so memory is
+    bounded whatever the input.
     """
 
     def __init__(self, encode_many: Callable[[list[bytes]], Iterable], limit: int, fixed: dict | None = None):
@@ -36,7 +38,7 @@ class WorkerCache:
             del self.held[key]
         self.long = []
         if len(self.held) > self.limit:
-            self.held = dict(self.fixed)
+            self.held = dict(islice(self.held.items(), max(len(self.fixed), self.limit // 2)))
         if missing := list(set(keys).difference(self.held)):
             self.held.update(zip(missing, self.encode_many(missing)))
             self.long = [key for key in missing if len(key) > LONGEST]

@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import quality, token_counts
+from sparkloom.llm import bpe_fst, quality, token_counts
 from sparkloom.llm.common import documents
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe_fst.encoding_digests(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_figures(documents(spark, sf_dir))
 
@@ -22,7 +27,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_rules, op8_token_counts)}
+    return {f.__name__: f for f in (op2_byte_bpe, op7_quality_rules, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
