@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe_fst, grammar_files, quality, token_counts
+from sparkloom.llm import bpe_fst, grammar_files, media_ts, quality, token_counts
 from sparkloom.llm.common import documents
 
 
+def op1_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    streams = media_ts.store_texts(documents(spark, sf_dir))
+    return media_ts.stream_features(streams, keep=("n_bytes",))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe_fst.encoding_digests(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
@@ -32,7 +37,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op7_quality_rules, op8_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op1_transport_streams, op2_byte_bpe, op7_quality_rules, op8_token_counts, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
