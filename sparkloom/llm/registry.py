@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe_fst, grammar_files, media_ts, quality, simhash, token_counts
+from sparkloom.llm import bpe_fst, grammar_files, media_ts, mixing, quality, simhash, token_counts
 from sparkloom.llm.common import documents
 
 
@@ -22,6 +22,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_fst.encoding_digests(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_plan(documents(spark, sf_dir))
+    return plan.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(documents(spark, sf_dir))
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
@@ -43,7 +48,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_transport_streams, op2_byte_bpe, op4_simhash_groups, op7_quality_rules, op8_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op1_transport_streams, op2_byte_bpe, op3_source_mixing, op4_simhash_groups, op7_quality_rules, op8_token_counts, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
