@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe_fst, grammar_files, media_ts, mixing, pii, quality, simhash, token_counts
+from sparkloom.llm import bpe_fst, grammar_files, media_ts, mixing, pii, quality, simhash, site_tree, token_counts
 from sparkloom.llm.common import documents
 
 
@@ -46,13 +46,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return site_tree.extract_main_text(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = grammar_files.token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return grammar_files.token_file_digests(files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_transport_streams, op2_byte_bpe, op3_source_mixing, op4_simhash_groups, op5_personal_data, op7_quality_rules, op8_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op1_transport_streams, op2_byte_bpe, op3_source_mixing, op4_simhash_groups, op5_personal_data, op7_quality_rules, op8_token_counts, op9_main_text, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
