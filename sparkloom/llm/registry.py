@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe_fst, grammar_files, media_ts, mixing, pii, quality, simhash, site_tree, token_counts
+from sparkloom.llm import bpe_fst, grammar_files, media_ts, mixing, pii, quality, simhash, site_tree, suffix_dedup, token_counts
 from sparkloom.llm.common import documents
 
 
@@ -37,6 +37,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf_dir))
 
 
+def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_strings(documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_figures(documents(spark, sf_dir))
 
@@ -57,7 +61,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_transport_streams, op2_byte_bpe, op3_source_mixing, op4_simhash_groups, op5_personal_data, op7_quality_rules, op8_token_counts, op9_main_text, op10_token_files)}
+    return {f.__name__: f for f in (op1_transport_streams, op2_byte_bpe, op3_source_mixing, op4_simhash_groups, op5_personal_data, op6_repeated_strings, op7_quality_rules, op8_token_counts, op9_main_text, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
