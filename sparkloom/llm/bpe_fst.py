@@ -244,11 +244,11 @@ def decode_ids(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", id_
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
 
-def encoding_digests(docs: DataFrame, path: str, pattern: str, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """The id and, for each row, digests of its ids and of what they decode to, without moving the ids."""
+def encoding_digests(docs: DataFrame, path: str, pattern: str, text: str = "text", id_column: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """The id and, for each row, digests of its ids and of what they decode to; the ids too if asked for."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        codec, rows = worker_codec(path, pattern), []
+        codec, rows, tokens = worker_codec(path, pattern), [], []
         for value in batch.column(1):
             body = value.as_py()
             ids = codec.encode(body)
@@ -257,8 +257,15 @@ def encoding_digests(docs: DataFrame, path: str, pattern: str, text: str = "text
                 decoded.update(part.encode())
             digest = decoded.hexdigest()
             rows.append((len(ids), hashlib.sha256(codec.decimals(ids)).hexdigest(), digest, digest == hashlib.sha256(body).hexdigest()))
+            if with_ids:
+                tokens.append(ids.astype(np.int32))
         kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows), kinds)], [id_column, *(x.split()[0] for x in DIGESTS.split(", "))])
+        columns = [batch.column(0), *map(pa.array, zip(*rows), kinds)]
+        names = [id_column, *(x.split()[0] for x in DIGESTS.split(", "))]
+        if with_ids:
+            columns.append(pa.array(tokens, pa.list_(pa.int32())))
+            names.append("ids")
+        yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return map_batches(docs.select(id_column, utf8(text)), run, f"`{id_column}` {kind}, {DIGESTS}")
+    return map_batches(docs.select(id_column, utf8(text)), run, f"`{id_column}` {kind}, {DIGESTS}" + ", ids array<int>" * with_ids)
