@@ -14,6 +14,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,12 +24,13 @@ from pyspark.sql import functions as F
 from sparkloom.llm.chunks import LONGEST, WorkerCache
 from sparkloom.llm.common import map_batches, utf8
 
-TABLE_WORDS = 20_000
-SKETCH_ITEMS = 65_536
+#: Words in the broadcast table, items that a sketch tracks, and sketches that meet in the last merge.
+TABLE_WORDS, SKETCH_ITEMS, MERGED = 4096, 8192, 64
 CACHE_WORDS = 250_000
 
 
 def load_tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -47,7 +49,7 @@ _CACHES: dict[tuple[str, int], WorkerCache] = {}
 
 
 def worker_cache(path: str, table) -> WorkerCache:
-    key = (path, table._jid if hasattr(table, "_jid") else id(table.value))
+    key = (path, id(table.value))
     if key not in _CACHES:
         _CACHES.clear()
         own = load_tokenizer(path)
@@ -60,8 +62,11 @@ def frequent_words(docs: DataFrame, text: str = "text", words: int = TABLE_WORDS
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     exploded = docs.select(F.explode(F.split(body, r"[\x20\x09-\x0D]+")).alias("word"))
     short = exploded.where((F.col("word") != "") & (F.octet_length("word") <= LONGEST))
-    top = short.agg(F.expr(f"approx_top_k(word, {words}, {SKETCH_ITEMS})").alias("top"))
-    return [x["item"] for x in top.first()["top"]]
+    parts = short.groupBy((F.spark_partition_id() % MERGED).alias("part")).agg(F.expr(f"approx_top_k_accumulate(word, {SKETCH_ITEMS})").alias("sketch"))
+    # By a key, so that partitions without rows add no null sketch.
+    whole = parts.groupBy((F.col("part") < 0).alias("none")).agg(F.expr(f"approx_top_k_combine(sketch, {SKETCH_ITEMS})").alias("sketch"))
+    top = whole.select(F.expr(f"approx_top_k_estimate(sketch, {words})").alias("top")).first()
+    return [x["item"] for x in top["top"]] if top else []
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", id_column: str = "doc_id") -> DataFrame:
