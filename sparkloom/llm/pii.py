@@ -49,18 +49,19 @@ ROUNDS, LEAST_SEEDS, PATTERN_CONFIDENCE, INSTANCE_CONFIDENCE = 3, 3, 0.8, 0.9
 _CHUNK = 64
 
 
-def _starts(pieces: Column, matches: Column) -> Column:
-    """Where each match begins, in time linear in their number: sums of chunks, then within a chunk."""
-    steps = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.length(p) + F.length(m))
-    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / _CHUNK).cast("int")), lambda c: total(F.slice(steps, c * _CHUNK + 1, _CHUNK)))
-    before = F.aggregate(chunks, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once, also where lambdas use it for each of many elements."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def start(match: Column, k: Column) -> Column:
-        chunk = F.floor(k / _CHUNK).cast("int")
-        return F.element_at(before, chunk + 1) + total(F.slice(steps, chunk * _CHUNK + 1, k - chunk * _CHUNK)) + F.length(F.element_at(pieces, k + 1))
 
-    return F.transform(matches, start)
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def _running(steps: Column) -> Column:
+    """Sums of all whole chunks before each chunk."""
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _CHUNK).cast("int")), lambda c: _total(F.slice(steps, c * _CHUNK + 1, _CHUNK)))
+    return F.aggregate(chunks, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
 
 
 def _word(column: Column) -> Column:
@@ -70,18 +71,24 @@ def _word(column: Column) -> Column:
 def _mentions(df: DataFrame, name: str, pattern: str) -> DataFrame:
     """Add the array ``name`` of the pattern's matches with their places and the words around them."""
     df = df.withColumn("m", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-    df = df.withColumn("p", F.when(F.size("m") > 0, F.split("text", pattern, -1)))
-    df = df.withColumn("s", F.when(F.size("m") > 0, _starts(F.col("p"), F.col("m"))))
-
-    def mention(k: Column) -> Column:
-        value, start = F.element_at("m", k), F.element_at("s", k)
-        left = _word(F.regexp_extract(F.right(F.element_at("p", k), F.lit(80)), r"(\S+)\s*$", 1))
-        right = _word(F.regexp_extract(F.left(F.element_at("p", k + 1), F.lit(80)), r"^\s*(\S+)", 1))
-        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), left.alias("left"), right.alias("right"))
 
-    found = F.transform(F.sequence(F.lit(1), F.size("m")), mention)
+    def mention(k: Column, m: Column, p: Column, steps: Column, before: Column) -> Column:
+        chunk = F.floor((k - 1) / _CHUNK).cast("int")
+        start = F.element_at(before, chunk + 1) + _total(F.slice(steps, chunk * _CHUNK + 1, k - 1 - chunk * _CHUNK)) + F.length(F.element_at(p, k))
+        left = _word(F.regexp_extract(F.right(F.element_at(p, k), F.lit(80)), r"(\S+)\s*$", 1))
+        right = _word(F.regexp_extract(F.left(F.element_at(p, k + 1), F.lit(80)), r"^\s*(\S+)", 1))
+        value = F.element_at(m, k)
+        return _let(start, lambda at: F.struct(at.alias("start"), (at + F.length(value)).alias("end"), value.alias("value"), left.alias("left"), right.alias("right")))
+
+    def mentions(x: Column) -> Column:
+        m, p = x["m"], x["p"]
+        steps = F.zip_with(F.slice(p, 1, F.size(m)), m, lambda a, b: F.length(a) + F.length(b))
+        each = lambda steps_, before: F.transform(F.sequence(F.lit(1), F.size(m)), lambda k: mention(k, m, p, steps_, before))
+        return _let(steps, lambda s: _let(_running(s), lambda b: each(s, b)))
+
+    found = _let(F.struct("m", F.split("text", pattern, -1).alias("p")), mentions)
     empty = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
-    return df.withColumn(name, F.when(F.size("m") > 0, found).otherwise(empty)).drop("m", "p", "s")
+    return df.withColumn(name, F.when(F.size("m") > 0, found).otherwise(empty)).drop("m")
 
 
 def _digits(value: Column) -> Column:
