@@ -43,6 +43,8 @@ LENGTH, GRAM = 50, 24
 #: Bytes that are hashed at once, anchors that a block holds, anchors in a bucket, contexts (bytes) refined at once.
 PIECE, BLOCK_ANCHORS, BUCKET_ANCHORS, REFINED = 1 << 21, 1_500_000, 1_000_000, 1 << 21
 LEAST_BUCKETS = 64
+#: Level at which zstandard packs what is shuffled.
+PACKING = 3
 NO_ID = (1 << 63) - 1
 
 
@@ -130,7 +132,7 @@ def _rows(columns: list, kinds: list, names: list[str]) -> pa.RecordBatch:
 
 def deal_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """From (text key, text): a row for each bucket and block, with the block's texts and (hash, text) entries."""
-    texts: dict[bytes, int] = {}
+    texts: dict[int, int] = {}
     keys, owners, held = [], [], 0
 
     def close() -> pa.RecordBatch:
@@ -139,7 +141,7 @@ def deal_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
         key, owner = key[order], owner[order]
         bucket = (key >> np.uint64(32)).astype(np.int64)
         starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        table = np.frombuffer(b"".join(texts), "V16")
+        table = np.array(list(texts), np.int64)
         rows = []
         for a, b in zip(starts, np.r_[starts[1:], len(key)]):
             used, local = np.unique(owner[a:b], return_inverse=True)
@@ -172,12 +174,12 @@ def shared_anchors(rows: pd.DataFrame) -> pd.DataFrame:
     for texts, hashes, owners in zip(rows["texts"], rows["hashes"], rows["owners"]):
         h = np.frombuffer(hashes, "<u4")
         local = np.frombuffer(owners, "<u2" if len(owners) == 2 * len(h) else "<u4")
-        table.append(np.frombuffer(texts, "V16"))
+        table.append(np.frombuffer(texts, np.int64))
         all_hashes.append(h)
         all_owners.append(local.astype(np.int64) + n)
         n += len(table[-1])
-    names, same = np.unique(np.concatenate(table).view("<u8").reshape(-1, 2), axis=0, return_inverse=True)
-    code = np.unique(np.concatenate(all_hashes).astype(np.uint64) << np.uint64(32) | same.reshape(-1)[np.concatenate(all_owners)].astype(np.uint64))
+    names, same = np.unique(np.concatenate(table), return_inverse=True)
+    code = np.unique(np.concatenate(all_hashes).astype(np.uint64) << np.uint64(32) | same[np.concatenate(all_owners)].astype(np.uint64))
     h = code >> np.uint64(32)
     often = np.zeros(len(h), bool)
     often[1:] |= h[1:] == h[:-1]
@@ -185,53 +187,60 @@ def shared_anchors(rows: pd.DataFrame) -> pd.DataFrame:
     code = code[often]
     owner = (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
     order = np.argsort(owner, kind="stable")
-    owner, h = owner[order], (code[order] >> np.uint64(32)) | np.uint64(int(rows["bucket"].iloc[0]) << 32)
+    owner, h = owner[order], (code[order] >> np.uint64(32)).astype("<u4")
     starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, int)
     ends = np.r_[starts[1:], len(owner)]
-    return pd.DataFrame({"tid": [names[owner[a]].tobytes() for a in starts], "keys": [h[a:b].tobytes() for a, b in zip(starts, ends)]}, columns=["tid", "keys"])
+    found = {"tid": names[owner[starts]], "bucket": np.full(len(starts), rows["bucket"].iloc[0]), "hashes": [h[a:b].tobytes() for a, b in zip(starts, ends)]}
+    return pd.DataFrame(found, columns=["tid", "bucket", "hashes"])
+
+
+def _shared_keys(parts: list[dict]) -> np.ndarray:
+    return np.sort(np.concatenate([np.uint64(p["bucket"] << 32) | np.frombuffer(p["hashes"], "<u4").astype(np.uint64) for p in parts]))
+
+
+FIGURES = np.dtype([("key", "<u4"), ("size", "<u4"), ("start", "<i8"), ("tid", "<i8"), ("doc", "<i8")])
 
 
 def deal_contexts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """From (owner id, text key, packed text, shared keys): stretches to be compared, by bucket; settled ranges under negative buckets."""
-    unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-    names = ["bucket", "tids", "figures", "contexts"]
-    kinds = [pa.int64(), *[pa.binary()] * 3]
-    block: dict[tuple[bytes, bytes], list] = {}
-    settled: dict[bytes, list[int]] = {}
+    """From (owner id, text key, packed text, shared anchors): stretches to be compared, by bucket; settled ranges under negative buckets."""
+    unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=PACKING)
+    block: dict[tuple[bytes, int | None], list] = {}
+    settled: dict[tuple[int, int], list[int]] = {}
     held = 0
 
     def close() -> Iterator[pa.RecordBatch]:
         by_bucket: dict[int, list] = {}
         for (context, _), (doc, tid, starts, key) in block.items():
-            by_bucket.setdefault(key >> 32, []).extend((key & 0xFFFFFFFF, doc, start, len(context), tid, context) for start in starts)
+            by_bucket.setdefault(key >> 32, []).extend((key & 0xFFFFFFFF, len(context), start, tid, doc, context) for start in starts)
         rows = []
         for bucket, entries in by_bucket.items():
-            figures = np.array([e[:4] for e in entries], np.int64)
-            rows.append((bucket, b"".join(e[4] for e in entries), figures.tobytes(), pack.compress(b"".join(e[5] for e in entries))))
-        for tid, ranges in settled.items():
-            rows.append((-1 - int.from_bytes(tid[:4], "little") % buckets, tid, np.array(ranges, np.int64).tobytes(), b""))
+            figures = np.array([e[:5] for e in entries], FIGURES)
+            columns = b"".join(figures[name].tobytes() for name in FIGURES.names)
+            rows.append((bucket, None, None, pack.compress(columns), pack.compress(b"".join(e[5] for e in entries))))
+        for (tid, doc), ranges in settled.items():
+            rows.append((-1 - tid % buckets, tid, doc, np.array(ranges, np.int64).tobytes(), None))
         if rows:
-            yield _rows(list(zip(*rows)), kinds, names)
+            yield _rows(list(zip(*rows)), [pa.int64()] * 3 + [pa.binary()] * 2, ["bucket", "tid", "doc", "figures", "contexts"])
 
     for batch in batches:
-        for doc, tid, packed, keys in zip(*(c.to_pylist() for c in batch.columns)):
+        for doc, tid, packed, parts in zip(*(c.to_pylist() for c in batch.columns)):
             text = unpack.decompress(packed)
             _, at, windows, anchors = anchor_runs([text])
-            shared = np.unique(np.frombuffer(b"".join(keys), "<u8"))
+            shared = _shared_keys(parts)
             key = _spread(anchors, buckets)
             hit = shared[np.minimum(np.searchsorted(shared, key), len(shared) - 1)] == key
             for start, n, k in zip(at[hit].tolist(), windows[hit].tolist(), key[hit].tolist()):
                 context = text[start : start + n + LENGTH - 1]
-                entry = block.get((context, b""))
+                entry = block.get((context, None))
                 if entry is None:
-                    block[context, b""] = [doc, tid, [start], k]
+                    block[context, None] = [doc, tid, [start], k]
                     held += len(context) + 200
                 elif doc > entry[0]:
-                    settled.setdefault(tid, []).extend((start, start + len(context)))
+                    settled.setdefault((tid, doc), []).extend((start, start + len(context)))
                 elif doc < entry[0]:
                     for s in entry[2]:
-                        settled.setdefault(entry[1], []).extend((s, s + len(context)))
-                    block[context, b""] = [doc, tid, [start], k]
+                        settled.setdefault((entry[1], entry[0]), []).extend((s, s + len(context)))
+                    block[context, None] = [doc, tid, [start], k]
                 elif tid == entry[1]:
                     entry[2].append(start)
                 else:  # another text with the same id: neither is smaller
@@ -277,15 +286,20 @@ def _ranges(starts: np.ndarray) -> list[int]:
 def repeated_ranges(rows: pd.DataFrame) -> pd.DataFrame:
     """For each text of a bucket, byte ranges that also start in a document with a smaller id."""
     if rows["bucket"].iloc[0] < 0:
-        return rows[["tids", "figures"]].rename(columns={"tids": "tid", "figures": "ranges"})
+        return rows[["tid", "doc", "figures"]].astype({"tid": "int64", "doc": "int64"}).rename(columns={"figures": "ranges"})
     unpack = zstandard.ZstdDecompressor()
     stretches: dict[int, dict[bytes, list]] = {}
-    for tids, figures, packed in zip(rows["tids"], rows["figures"], rows["contexts"]):
-        body, at = unpack.decompress(packed), 0
-        for k, (key, doc, start, size) in enumerate(np.frombuffer(figures, np.int64).reshape(-1, 4).tolist()):
-            stretches.setdefault(key, {}).setdefault(body[at : at + size], []).append((doc, start, tids[16 * k : 16 * k + 16]))
+    for figures, packed in zip(rows["figures"], rows["contexts"]):
+        body, raw, at = unpack.decompress(packed), unpack.decompress(figures), 0
+        n, columns = len(raw) // FIGURES.itemsize, []
+        for name in FIGURES.names:
+            columns.append(np.frombuffer(raw, FIGURES[name], n, at).tolist())
+            at += n * FIGURES[name].itemsize
+        at = 0
+        for key, size, start, tid, doc in zip(*columns):
+            stretches.setdefault(key, {}).setdefault(body[at : at + size], []).append((doc, start, tid))
             at += size
-    out: dict[bytes, list[int]] = {}
+    out: dict[tuple[int, int], list[int]] = {}
     waiting: list[tuple[bytes, int, list]] = []
     size = 0
 
@@ -305,8 +319,8 @@ def repeated_ranges(rows: pd.DataFrame) -> pd.DataFrame:
         for part in np.split(later, cuts) if len(later) else []:
             k = which[part[0]]
             local = _ranges(starts[part] - offsets[k])
-            for _, start, tid in waiting[k][2]:
-                out.setdefault(tid, []).extend(start + x for x in local)
+            for doc_, start, tid in waiting[k][2]:
+                out.setdefault((tid, doc_), []).extend(start + x for x in local)
         waiting.clear()
 
     for classes in stretches.values():
@@ -314,7 +328,7 @@ def repeated_ranges(rows: pd.DataFrame) -> pd.DataFrame:
             least = min(e[0] for e in entries)
             for doc, start, tid in entries:
                 if doc > least:
-                    out.setdefault(tid, []).extend((start, start + len(context)))
+                    out.setdefault((tid, doc), []).extend((start, start + len(context)))
             if len(classes) > 1:
                 waiting.append((context, least, [e for e in entries if e[0] == least]))
                 size += len(context)
@@ -323,7 +337,8 @@ def repeated_ranges(rows: pd.DataFrame) -> pd.DataFrame:
             size = 0
     if waiting:
         compare()
-    return pd.DataFrame({"tid": list(out), "ranges": [np.array(r, np.int64).tobytes() for r in out.values()]}, columns=["tid", "ranges"])
+    found = {"tid": [t for t, _ in out], "doc": [d for _, d in out], "ranges": [np.array(r, np.int64).tobytes() for r in out.values()]}
+    return pd.DataFrame(found, columns=["tid", "doc", "ranges"])
 
 
 def cut_out(text: bytes, ranges: list[bytes]) -> tuple[int, int, bytes]:
@@ -337,37 +352,45 @@ def cut_out(text: bytes, ranges: list[bytes]) -> tuple[int, int, bytes]:
     return len(text) - len(left), len(starts), left
 
 
+def _packed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=PACKING)
+    yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([pack.compress(v.as_py()) for v in batch.column(2)], pa.binary())], ["doc", "tid", "packed"])
+
+
+def _finished(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    unpack, out = zstandard.ZstdDecompressor(), []
+    for body, parts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        removed, spans, left = cut_out(unpack.decompress(body), parts)
+        out.append((removed, spans, hashlib.sha256(left).hexdigest()))
+    yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string())))], ["doc", "tid", "removed", "spans", "left"])
+
+
 def removed_strings(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """The id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
+    """The id, n_bytes, n_removed, n_spans and kept_sha256 of each row.
+
+    Equal texts are told by SHA-256; ``tid``, 64 bits of it, only routes texts.
+    """
     owner = F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID))
     rows = docs.select(F.col(id_column).alias("id"), owner.alias("doc"), utf8(text).alias("body"))
-    rows = rows.withColumn("sha", F.unhex(F.sha2("body", 256))).withColumn("tid", F.substring("sha", 1, 16))
+    rows = rows.withColumn("sha", F.unhex(F.sha2("body", 256))).withColumn("tid", F.xxhash64("sha"))
     small = cut(rows.select("id", "doc", "sha", "tid", F.octet_length("body").cast("long").alias("n_bytes")))
-    owners = small.groupBy("tid").agg(F.min("doc").alias("owner"))
+    owners = small.groupBy("sha", "tid").agg(F.min("doc").alias("owner"))
     total = small.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, 2 * total // (LENGTH - GRAM + 2) // BUCKET_ANCHORS + 1)
-    packer = lambda batch: [pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(map(zstandard.ZstdCompressor(level=1).compress, batch.column(2).to_pylist()), pa.binary())], ["doc", "tid", "packed"])]
-    packed = map_batches(rows.where(F.octet_length("body") >= LENGTH).select("doc", "tid", "body"), packer, "doc long, tid binary, packed binary")
-
-    dealt = rows.where(F.octet_length("body") >= LENGTH).select("tid", "body").mapInArrow(lambda b: deal_anchors(b, buckets), "bucket long, texts binary, hashes binary, owners binary")
-    shared = dealt.groupBy("bucket").applyInPandas(shared_anchors, "tid binary, keys binary")
-    wanted = shared.groupBy("tid").agg(F.collect_list("keys").alias("keys")).join(owners, "tid").withColumnRenamed("tid", "key")
-    met = packed.join(wanted, (packed["tid"] == wanted["key"]) & (packed["doc"] == wanted["owner"])).select("doc", "tid", "packed", "keys")
-    contexts = met.mapInArrow(lambda b: deal_contexts(b, buckets), "bucket long, tids binary, figures binary, contexts binary")
-    ranges = contexts.groupBy("bucket").applyInPandas(repeated_ranges, "tid binary, ranges binary")
-    ranges = cut(ranges.groupBy("tid").agg(F.collect_list("ranges").alias("ranges"))).join(owners, "tid").withColumnRenamed("tid", "key")
-    hit = packed.join(ranges, (packed["tid"] == ranges["key"]) & (packed["doc"] == ranges["owner"])).select("tid", "packed", "ranges")
-
-    def finish(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        unpack, out = zstandard.ZstdDecompressor(), []
-        for body, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            removed, spans, left = cut_out(unpack.decompress(body), parts)
-            out.append((removed, spans, hashlib.sha256(left).hexdigest()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string())))], ["tid", "removed", "spans", "left"])
-
-    results = map_batches(hit, finish, "tid binary, removed long, spans long, left string").dropDuplicates(["tid"])
-    known = cut(owners.join(results, "tid", "left"))
-    every = small.join(known, "tid")
+    long_ = rows.where(F.octet_length("body") >= LENGTH)
+    packed = map_batches(long_.select("doc", "tid", "body"), _packed, "doc long, tid long, packed binary")
+
+    dealt = long_.select("tid", "body").mapInArrow(lambda b: deal_anchors(b, buckets), "bucket long, texts binary, hashes binary, owners binary")
+    shared = dealt.groupBy("bucket").applyInPandas(shared_anchors, "tid long, bucket int, hashes binary")
+    wanted = shared.groupBy("tid").agg(F.collect_list(F.struct("bucket", "hashes")).alias("anchors")).join(owners.select("tid", "owner"), "tid").withColumnRenamed("tid", "key")
+    met = packed.join(wanted, (packed["tid"] == wanted["key"]) & (packed["doc"] == wanted["owner"])).select("doc", "tid", "packed", "anchors")
+    contexts = met.mapInArrow(lambda b: deal_contexts(b, buckets), "bucket long, tid long, doc long, figures binary, contexts binary")
+    ranges = contexts.groupBy("bucket").applyInPandas(repeated_ranges, "tid long, doc long, ranges binary")
+    ranges = cut(ranges.groupBy("tid", "doc").agg(F.collect_list("ranges").alias("ranges")))
+    hit = packed.join(ranges, ["doc", "tid"]).select("doc", "tid", "packed", "ranges")
+    results = map_batches(hit, _finished, "doc long, tid long, removed long, spans long, left string").dropDuplicates(["doc", "tid"])
+    known = cut(owners.join(results, (owners["tid"] == results["tid"]) & (owners["owner"] == results["doc"]), "left").select("sha", "owner", "removed", "spans", "left"))
+    every = small.join(known, "sha")
     copy = (F.col("doc") > F.col("owner")) & (F.col("n_bytes") >= LENGTH)
     return every.select(
         F.col("id").alias(id_column),
