@@ -12,6 +12,7 @@ from sparkloom.functions import text as T
 from sparkloom.operators import assets, evaluation, raster, sequence, spatial
 from sparkloom.operators import text as words
 from sparkloom.sources import files
+from sparkloom.storage import materialized
 from sparkloom.streaming import events as streams
 
 LETTERS = "A-Za-z"
@@ -35,7 +36,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _distinct_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = words.runs(_table(spark, sf_dir, "documents"), "text", LETTERS).where("in_class")
-    return runs.groupBy("run").agg(F.count("*").alias("n"))
+    return materialized(runs.groupBy("run").agg(F.count("*").alias("n")))
 
 
 def _prefix_lexicon(counted: DataFrame, least: int = 40) -> DataFrame:
