@@ -62,3 +62,22 @@ def detector_size(width: Column, height: Column, long_side: int) -> Column:
     """Both sides scaled so that the longer is ``long_side``, rounded to a multiple of 32, 32 at least."""
     side = lambda n: F.greatest(F.lit(32), F.floor(n * (F.lit(float(long_side)) / F.greatest(width, height)) / 32 + 0.5) * 32)
     return F.struct(side(width).alias("width"), side(height).alias("height"))
+
+
+def batch_width(width, height, line_height: int = 48, least: int = 320, most: int = 3200) -> Column:
+    """Aggregate: the width of a batch of lines scaled to one height, a multiple of 8 within limits; multiplies before dividing."""
+    widest = F.max(line_height * width / height)
+    return F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(widest / 8) * 8)).cast("long")
+
+
+def label_strip(x, y, width, font, centred: bool = True, pad: float = 0.15, text_height: float = 1.2) -> Column:
+    """The box that a label's strip covers; (x, y) is its top centre, or its top left."""
+    left = x - width / 2 if centred else x
+    return F.struct((left - pad * font).alias("x0"), (y - pad * font).alias("y0"), (left + width + pad * font).alias("x1"), (y + (text_height + pad) * font).alias("y1"))
+
+
+def fitted_font(height, width, measured_per_size, share: float = 0.45, widest: float = 0.9) -> Column:
+    """Font size of a label: a share of the character's height, less if its text would be too wide."""
+    font = share * height
+    natural = measured_per_size * font
+    return F.when(natural > widest * width, font * widest * width / natural).otherwise(font)

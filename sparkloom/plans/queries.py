@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import geometry as G
 from sparkloom.functions import text as T
-from sparkloom.operators import assets, evaluation, raster, sequence, spatial
+from sparkloom.operators import assets, evaluation, layout, raster, sequence, spatial
 from sparkloom.operators import text as words
 from sparkloom.sources import files
 from sparkloom.storage import materialized
@@ -334,3 +334,33 @@ def asset_fallback(spark, sf_dir):
 def class_filter(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.length(T.class_only(F.col("text"), LETTERS)).cast("long").alias("n_class"), F.length(T.without_blank(F.col("text"))).cast("long").alias("n_solid"), T.has_class("text", LETTERS).alias("has_class"))
+
+
+@query("SELECT p_brand, least(3200, greatest(320, ceil(max(48 * p_retailprice / p_size) / 8) * 8))::BIGINT AS batch_width FROM part GROUP BY 1")
+def batch_widths(spark, sf_dir):
+    """Parts of a brand as crops of one batch."""
+    return _table(spark, sf_dir, "part").groupBy("p_brand").agg(G.batch_width(F.col("p_retailprice"), F.col("p_size")).alias("batch_width"))
+
+
+@query(
+    """WITH f AS (SELECT p_partkey, p_retailprice AS x, p_size::DOUBLE AS y, length(p_name) AS n, CASE WHEN 0.6 * n * 0.45 * 40 > 0.9 * p_size * 4 THEN 0.45 * 40 * 0.9 * p_size * 4 / (0.6 * n * 0.45 * 40) ELSE 0.45 * 40 END::DOUBLE AS font FROM part)
+    SELECT p_partkey, round(font, 6) AS font, round(x - 0.6 * n * font / 2 - 0.15 * font, 4) AS x0, round(y + 1.35 * font, 4) AS y1 FROM f"""
+)
+def label_strips(spark, sf_dir):
+    """Strips of labels with the parts' names."""
+    n = F.length("p_name")
+    fonts = _table(spark, sf_dir, "part").withColumn("font", G.fitted_font(F.lit(40.0), F.col("p_size") * 4.0, 0.6 * n))
+    strip = G.label_strip(F.col("p_retailprice"), F.col("p_size").cast("double"), 0.6 * n * F.col("font"), F.col("font"))
+    return fonts.select("p_partkey", F.round("font", 6).alias("font"), F.round(strip["x0"], 4).alias("x0"), F.round(strip["y1"], 4).alias("y1"))
+
+
+@query()
+def place_labels(spark, sf_dir):
+    """Labels of lines of one to three characters, the parts of a brand and size as the lines of an image."""
+    y = (F.col("p_partkey") * 37 % 2000).cast("double")
+    char = lambda k: F.struct(F.substring("p_name", k * 3 + 1, 3).alias("reading"), F.transform(F.array(*map(F.lit, (0, 0, 40, 0, 40, 40, 0, 40))), lambda v, i: v + F.when(i % 2 == 0, F.lit(40.0 * k)).otherwise(y)).alias("quad"))
+    lines = _table(spark, sf_dir, "part").select(
+        F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("image"), F.lit(2000.0).alias("width"), F.lit(2100.0).alias("height"), F.col("p_partkey").cast("int").alias("line_no"), F.lit(False).alias("vertical"),
+        F.slice(F.array(*(char(k) for k in range(3))), F.lit(1), (F.col("p_partkey") % 3 + 1).cast("int")).alias("chars"),
+    )
+    return layout.place_labels(lines, "image")
