@@ -364,3 +364,20 @@ def place_labels(spark, sf_dir):
         F.slice(F.array(*(char(k) for k in range(3))), F.lit(1), (F.col("p_partkey") % 3 + 1).cast("int")).alias("chars"),
     )
     return layout.place_labels(lines, "image")
+
+
+@query("SELECT c.user_id, c.event_id, c.ts, (SELECT min(v.ts) FROM events v WHERE v.event_type = 'view' AND v.user_id = c.user_id AND v.ts >= c.ts) AS frame_ts FROM events c WHERE c.event_type = 'click'")
+def frames_after(spark, sf_dir):
+    """Clicks with the user's first view at or after them."""
+    events = _table(spark, sf_dir, "events")
+    return streams.frame_after(events.where("event_type = 'click'"), events.where("event_type = 'view'"), "user_id", "event_id", "ts")
+
+
+@query(
+    """WITH p AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'down' WHEN 'view' THEN 'up' ELSE 'cancel' END AS kind, value FROM events),
+    n AS (SELECT *, lead(kind) OVER w AS next_kind, lead(value) OVER w - value AS fall FROM p WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id, round(fall, 6) AS fall FROM n WHERE kind = 'down' AND next_kind = 'up' AND fall > 40"""
+)
+def swipe_to_close(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "click", "down").when(F.col("event_type") == "view", "up").otherwise("cancel")
+    found = streams.swipes(_table(spark, sf_dir, "events").withColumn("kind", kind), ["user_id"], "event_id", "kind", "value")
+    return found.withColumn("fall", F.round("fall", 6))

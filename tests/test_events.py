@@ -66,3 +66,17 @@ def test_sessions_and_throttle(spark):
 def test_running_total(spark):
     rows = spark.createDataFrame([("a", 1, 5), ("a", 2, 6), ("b", 1, 1)], "f string, n int, size int")
     assert [r.loaded for r in E.running_total(rows, ["f"], ["n"], "size").orderBy("f", "n").collect()] == [5, 11, 1]
+
+
+def test_frame_after(spark):
+    at = lambda rows, names: spark.createDataFrame(rows, names).withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    taps = at([("a", 1, 5.0), ("a", 2, 9.0), ("b", 3, 0.0)], "k string, tap int, t double")
+    frames = at([("a", 5.0), ("a", 8.0), ("b", 1.0)], "k string, t double")
+    found = {r.tap: r.frame_ts for r in E.frame_after(taps, frames, "k", "tap", "ts").collect()}
+    assert found[1].second == 5 and found[2] is None and found[3].second == 1
+
+
+def test_swipes(spark):
+    rows = [(1, 1, "down", 0.0), (1, 2, "up", 50.0), (2, 1, "down", 0.0), (2, 2, "cancel", 50.0), (2, 3, "up", 90.0), (3, 1, "down", 0.0), (3, 2, "up", 30.0)]
+    found = E.swipes(spark.createDataFrame(rows, "p int, n int, kind string, y double"), ["p"], "n", "kind", "y").collect()
+    assert [(r.p, r.fall) for r in found] == [(1, 50.0)]
