@@ -95,3 +95,16 @@ def compact_dictionary(lines: DataFrame, line: str = "line", order: str = "line_
     shown = parsed.withColumn("glosses", kept).where(F.size("glosses") > 0).select(order, F.col("simplified").alias("word"), "pinyin", F.slice("glosses", 1, most).alias("glosses"))
     groups = shown.groupBy("word", "pinyin").agg(F.min(order).alias("group_no"))
     return drop_covered(shown, ["word", "pinyin"], order, "glosses").join(groups, ["word", "pinyin"])
+
+
+def good_lines(lines: DataFrame, text: str = "text", score: str = "score", least: float = 0.5) -> DataFrame:
+    """Lines that score ``least`` or more and are not blank."""
+    return lines.where((F.col(score).cast("double") >= least) & (T.strip_blank(F.col(text)) != ""))
+
+
+def card_views(cards: DataFrame, reading: str = "reading", entries: str = "entries", error: str = "error") -> DataFrame:
+    """Cards (entries: array of pinyin and gloss, null while looked up) with ``status`` and, for each entry, the reading to show, null if it is the card's own."""
+    bare = lambda c: F.lower(T.without_blank(c))
+    status = F.when(F.col(error).isNotNull(), "unavailable").when(F.col(entries).isNull(), "loading").when(F.size(entries) == 0, "not found").otherwise("")
+    shown = F.transform(entries, lambda e: F.when(bare(e["pinyin"]) != bare(F.coalesce(F.col(reading), F.lit(""))), e["pinyin"]))
+    return cards.withColumns({"status": status, "shown": shown})

@@ -1,7 +1,9 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import evaluation
+from sparkloom.operators import assets, evaluation
 from sparkloom.operators import text as words
 from sparkloom.sources import files
 
@@ -101,3 +103,27 @@ def test_url_parameters(spark):
 def test_labels(spark, tmp_path):
     (tmp_path / "labels.json").write_text('{"m.png": {"description": "d", "required": ["面", "粿"], "pinyin": {"面": "miàn"}}}')
     assert [tuple(r) for r in files.read_labels(spark, str(tmp_path / "labels.json")).orderBy("ord").collect()] == [("m.png", 0, "面"), ("m.png", 1, "粿")]
+
+
+def test_good_lines(spark):
+    lines = spark.createDataFrame([(1, "面", 0.5), (2, "　", 0.9), (3, "粿", 0.49), (4, None, 1.0)], "n int, text string, score double")
+    assert [r.n for r in words.good_lines(lines).collect()] == [1]
+
+
+def test_card_views(spark):
+    schema = "reading string, entries array<struct<pinyin:string,gloss:string>>, error string"
+    rows = words.card_views(spark.createDataFrame([("Xíng", [("xíng", "to walk"), ("háng", "row")], None), ("a", None, None), ("a", [], None), ("a", None, "x")], schema)).collect()
+    assert [r.status for r in rows] == ["", "loading", "not found", "unavailable"] and rows[0].shown == [None, "háng"]
+
+
+def test_report_and_version(spark, tmp_path):
+    rows = spark.createDataFrame([("v6 + v6", 97, 104, 0.0171, 998.5)], "config string, exact int, required int, mean_cer double, total_ms double")
+    files.write_report(rows, str(tmp_path / "j"), str(tmp_path / "m"))
+    assert spark.read.text(str(tmp_path / "m")).first()[0] == "| v6 + v6 | 97/104 | 0.017 | 999 |"
+    version = rows.select(assets.version_of(F.struct("config", "exact"))).first()[0]
+    assert version == hashlib.sha256(b'{"config":"v6 + v6","exact":97}').hexdigest()[:12]
+
+
+def test_stale_caches(spark):
+    names = spark.createDataFrame([("app-1",), ("app-2",), ("other",)], "name string")
+    assert [r.name for r in assets.stale(names, "name", "app-", "app-2").collect()] == ["app-1"]
