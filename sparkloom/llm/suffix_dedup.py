@@ -41,8 +41,8 @@ from sparkloom.llm.common import cut, map_batches, utf8
 
 LENGTH, GRAM = 50, 24
 #: Bytes that are hashed at once, anchors that a block holds, anchors in a bucket, contexts (bytes) refined at once.
-PIECE, BLOCK_ANCHORS, BUCKET_ANCHORS, REFINED = 1 << 21, 1_500_000, 1_000_000, 1 << 21
-LEAST_BUCKETS = 64
+PIECE, BLOCK_ANCHORS, BUCKET_ANCHORS, REFINED = 1 << 21, 1_500_000, 1_600_000, 1 << 21
+LEAST_BUCKETS = 40
 #: Level at which zstandard packs what is shuffled.
 PACKING = 3
 NO_ID = (1 << 63) - 1
