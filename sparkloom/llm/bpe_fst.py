@@ -61,8 +61,9 @@ class MergeTransducer:
     token that ends at the boundary or -1 at the start).
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], scale: float = 1.0):
         self.ranks = ranks
+        self.most_states, self.most_pairs = int(MOST_STATES * scale), int(MOST_PAIRS * scale)
         self.text = {rank: token for token, rank in ranks.items()}
         self.size = {rank: len(token) for token, rank in ranks.items()}
         self.open = {token[:n] for token in ranks for n in range(1, len(token))}
@@ -79,7 +80,7 @@ class MergeTransducer:
         """Whether the two tokens may stand next to each other in an encoding; left may be the start, -1."""
         found = self.pairs.get((left, right))
         if found is None:
-            if len(self.pairs) >= MOST_PAIRS:
+            if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
             pair = [right] if left < 0 else [left, right]
             found = merge_by_rank(b"".join(self.text[t] for t in pair), self.ranks) == pair
@@ -107,7 +108,7 @@ class MergeTransducer:
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self.states) >= MOST_STATES:
+        if len(self.states) >= self.most_states:
             self.reset()
         find, state, ends, tokens = self.steps.get, 0, [], []
         for byte in piece:
@@ -159,25 +160,26 @@ class Utf8Machine:
 
 
 class Codec:
-    """A worker's transducer, its chunk caches and its decoder."""
+    """A worker's transducer, its chunk caches and its decoder; ``scale`` is applied to all that is kept."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, scale: float = 1.0):
         import regex
 
         self.find = regex.compile(pattern).findall
-        self.transducer = MergeTransducer(read_ranks(path))
+        self.transducer = MergeTransducer(read_ranks(path), scale)
         top = max(self.transducer.text) + 1
         self.bytes_of = [self.transducer.text.get(i, b"") for i in range(top)]
         self.decimal = [b"%d" % i for i in range(top)]
-        self.first = WorkerCache(lambda keys: [self.fresh(k) for k in keys], CACHE_CHUNKS // 4)
-        self.later = WorkerCache(lambda keys: [self.fresh(b" " + k) for k in keys], CACHE_CHUNKS)
+        self.first = WorkerCache(lambda keys: [self.fresh(k) for k in keys], int(CACHE_CHUNKS * scale) // 16)
+        self.later = WorkerCache(lambda keys: [self.fresh(b" " + k) for k in keys], int(CACHE_CHUNKS * scale))
         self.pieces: dict[str, list[int]] = {}
+        self.most_pieces = int(CACHE_PIECES * scale)
 
     def piece(self, piece: str) -> list[int]:
         found = self.pieces.get(piece)
         if found is None:
             found = self.transducer.encode(piece.encode())
-            if len(self.pieces) < CACHE_PIECES and len(piece) < LONGEST:
+            if len(self.pieces) < self.most_pieces and len(piece) < LONGEST:
                 self.pieces[piece] = found
         return found
 
@@ -208,13 +210,13 @@ class Codec:
 
 
 #: Of this worker process: it outlives tasks.
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple[str, str, float], Codec] = {}
 
 
-def worker_codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+def worker_codec(path: str, pattern: str, scale: float = 1.0) -> Codec:
+    if (path, pattern, scale) not in _CODECS:
+        _CODECS[path, pattern, scale] = Codec(path, pattern, scale)
+    return _CODECS[path, pattern, scale]
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -244,11 +246,11 @@ def decode_ids(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", id_
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
 
-def encoding_digests(docs: DataFrame, path: str, pattern: str, text: str = "text", id_column: str = "doc_id", with_ids: bool = False) -> DataFrame:
+def encoding_digests(docs: DataFrame, path: str, pattern: str, text: str = "text", id_column: str = "doc_id", with_ids: bool = False, cache_scale: float = 1.0) -> DataFrame:
     """The id and, for each row, digests of its ids and of what they decode to; the ids too if asked for."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        codec, rows, tokens = worker_codec(path, pattern), [], []
+        codec, rows, tokens = worker_codec(path, pattern, cache_scale), [], []
         for value in batch.column(1):
             body = value.as_py()
             ids = codec.encode(body)
