@@ -8,14 +8,16 @@ remaining symbols. Pairs never reach over the end of a document, so that a
 document, or a stretch of it, is decoded from its own symbols alone: the
 lengths tell which symbols to skip.
 
-Each round counts all adjacent pairs and replaces the most frequent ones
-together (the textbook form takes one pair a round). Where two chosen pairs
-overlap the left one wins, and a rule that is then used too rarely is dropped.
+Each round replaces all pairs that can be used ``LEAST_USES`` times together
+(the textbook form takes one pair a round). Where two of them overlap the one
+with more uses wins; the others are counted again in the next round, with the
+pairs next to new symbols, until no pair is left.
 
 Layout: one Parquet row for each shard, its ``payload`` little-endian:
 ``RPG1``, four uint32 (documents, rules, symbols, first nonterminal), then
 uint32 arrays: rule pairs, expansion lengths, symbols of each document, tokens
-of each document; then the symbols, as uint16 if ``first + rules`` allows.
+of each document; then the symbols' lower 16 bits and, unless ``first + rules``
+fits in these, a byte each with the upper ones (uint32 if that isn't enough).
 
 Null texts count as empty and hold the end id alone. A null document id sorts
 last; rows with equal ids are ordered by text. An empty table makes no shard.
@@ -42,8 +44,8 @@ from sparkloom.llm.common import fresh_path, map_batches, utf8
 CACHE_CHUNKS = 1_000_000
 #: A shard is closed once it holds so many ids.
 SHARD_TOKENS = 1_000_000
-#: Rounds; pairs that a round replaces at most; the least uses of a pair, and the least as one in so many symbols.
-ROUNDS, PAIRS_A_ROUND, LEAST_USES, LEAST_SHARE = 2, 7000, 8, 40_000
+#: The least uses of a pair that is replaced.
+LEAST_USES = 8
 _BUCKETS = 1 << 19
 
 
@@ -61,25 +63,6 @@ def _bucket(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return ((left * np.uint32(2654435761)) ^ (right * np.uint32(2246822519))) >> np.uint32(13)
 
 
-def frequent_pairs(symbols: np.ndarray, inside: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent adjacent pairs, as sorted codes, and their counts.
-
-    Counting is exact for every pair that can qualify: only pairs whose bucket
-    is too small to hold a qualifying pair are left out of the sort.
-    """
-    left, right = symbols[:-1], symbols[1:]
-    bucket = _bucket(left, right)[inside]
-    bar = max(least, len(symbols) // LEAST_SHARE)
-    likely = (np.bincount(bucket, minlength=_BUCKETS) >= bar)[bucket]
-    codes = (left[inside][likely].astype(np.uint64) << np.uint64(32)) | right[inside][likely]
-    codes.sort()
-    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, int)
-    n = np.diff(np.r_[starts, len(codes)])
-    keep = np.flatnonzero(n >= bar)
-    keep = np.sort(keep[np.argsort(-n[keep], kind="stable")[:most]])
-    return codes[starts[keep]], n[keep]
-
-
 def _chosen(at: np.ndarray) -> np.ndarray:
     """Of sorted positions, those of a maximal set without neighbours, the left one first."""
     run = np.r_[True, at[1:] != at[:-1] + 1]
@@ -87,56 +70,97 @@ def _chosen(at: np.ndarray) -> np.ndarray:
     return (np.arange(len(at)) - start) % 2 == 0
 
 
-def compress(tokens: np.ndarray, doc_tokens: np.ndarray, first: int, rounds: int = ROUNDS, most: int = PAIRS_A_ROUND, least: int = LEAST_USES) -> Shard:
-    """Re-Pair over one shard of ids, all below ``first``."""
+def _sorted_order(left: np.ndarray, right: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """What sorts the codes; where codes and places fit in 64 bits they are sorted together, which is faster."""
+    bits, place = int(max(left.max(), right.max())).bit_length(), len(codes).bit_length()
+    if 2 * bits + place > 64:
+        return np.argsort(codes, kind="stable")
+    keys = (left.astype(np.uint64) << np.uint64(bits + place)) | (right.astype(np.uint64) << np.uint64(place)) | np.arange(len(codes), dtype=np.uint64)
+    keys.sort()
+    return (keys & np.uint64((1 << place) - 1)).astype(np.int64)
+
+
+def frequent_pairs(symbols: np.ndarray, live: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs at the sorted places ``live`` that can be replaced ``least`` times: their codes by ascending uses, and each such place with the number of its pair."""
+    left, right = symbols[live], symbols[live + 1]
+    bucket = _bucket(left, right)
+    likely = (np.bincount(bucket, minlength=_BUCKETS) >= least)[bucket]
+    live, left, right = live[likely], left[likely], right[likely]
+    codes = (left.astype(np.uint64) << np.uint64(32)) | right
+    if not len(codes):
+        return codes, live, live
+    once = np.ones(len(live), np.int64)  # of a symbol that repeats, every other pair can be replaced
+    double = np.flatnonzero(left == right)
+    once[double[~_chosen(live[double])]] = 0
+    order = _sorted_order(left, right, codes)
+    codes, once = codes[order], once[order]
+    begins = np.r_[True, codes[1:] != codes[:-1]]
+    starts = np.flatnonzero(begins)
+    n = np.add.reduceat(once, starts)
+    keep = np.flatnonzero(n >= least)
+    keep = keep[np.argsort(n[keep], kind="stable")]
+    number = np.full(len(starts), -1, np.int64)
+    number[keep] = np.arange(len(keep))
+    pair = np.empty(len(live), np.int64)
+    pair[order] = number[np.cumsum(begins) - 1]
+    found = pair >= 0
+    return codes[starts[keep]], live[found], pair[found]
+
+
+def compress(tokens: np.ndarray, doc_tokens: np.ndarray, first: int, least: int = LEAST_USES) -> Shard:
+    """Re-Pair over one shard of ids, all below ``first``, until no pair can be replaced ``least`` times."""
     symbols = tokens.astype(np.uint32)
     last = np.zeros(len(symbols), bool)
     last[np.cumsum(doc_tokens) - 1] = True
-    size = np.ones(first, np.uint32)
-    rules = np.zeros((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        codes, _n = frequent_pairs(symbols, ~last[:-1], most, least)
+    rules, size, known = [np.zeros((0, 2), np.uint32)], np.ones(first, np.uint32), first
+    live = np.flatnonzero(~last[:-1])
+    while len(live):
+        codes, at, rule = frequent_pairs(symbols, live, least)
         if not len(codes):
             break
-        # A bucket holds one rule; another pair of the same bucket waits for the next round.
-        known = np.full(_BUCKETS, -1, np.int32)
-        known[_bucket((codes >> np.uint64(32)).astype(np.uint32), codes.astype(np.uint32))] = np.arange(len(codes))
-        rule = known[_bucket(symbols[:-1], symbols[1:])]
-        at = np.flatnonzero((rule >= 0) & ~last[:-1])
-        rule = rule[at]
-        hit = codes[rule] == (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
-        at, rule = at[hit], rule[hit]
-        for _again in range(2):  # first to see which rules are used often enough
-            pick = _chosen(at)
-            uses = np.bincount(rule[pick], minlength=len(codes))
-            if not _again:
-                keep = (uses >= least)[rule]
-                at, rule = at[keep], rule[keep]
-        at, rule = at[pick], rule[pick]
-        used = np.flatnonzero(uses)
-        if not len(used):
-            break
+        # Of places that overlap, the pair with more uses wins; so the first pair is always replaced wherever it can be.
+        beside = at[1:] == at[:-1] + 1
+        wins = np.ones(len(at), bool)
+        wins[1:] &= ~(beside & (rule[1:] < rule[:-1]))
+        wins[:-1] &= ~(beside & (rule[:-1] < rule[1:]))
+        pick = np.flatnonzero(wins)
+        pick = pick[_chosen(at[pick])]
+        uses = np.bincount(rule[pick], minlength=len(codes))
+        pick = pick[(uses >= least)[rule[pick]]]
+        used = np.flatnonzero(uses >= least)
         number = np.zeros(len(codes), np.uint32)
-        number[used] = len(size) + np.arange(len(used))
+        number[used] = known + np.arange(len(used))
+        known += len(used)
         new = np.stack([codes[used] >> np.uint64(32), codes[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-        rules = np.concatenate([rules, new])
+        rules.append(new)
         size = np.concatenate([size, size[new[:, 0]] + size[new[:, 1]]])
+        # Only pairs with a new symbol and frequent pairs that stay can be frequent in the next round.
+        again = np.zeros(len(symbols), bool)
+        again[at] = True
+        fresh = np.zeros(len(symbols), bool)
+        at, rule = at[pick], rule[pick]
         symbols[at] = number[rule]
+        fresh[at] = True
         last[at] = last[at + 1]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        symbols, last = symbols[keep], last[keep]
+        symbols, last, again, fresh = symbols[keep], last[keep], again[keep], fresh[keep]
+        live = np.flatnonzero((again[:-1] | fresh[:-1] | fresh[1:]) & ~last[:-1])
     ends = np.flatnonzero(last)
-    return Shard(rules, size[first:], symbols, np.diff(np.r_[-1, ends]).astype(np.uint32), doc_tokens.astype(np.uint32), first)
+    return Shard(np.concatenate(rules), size[first:], symbols, np.diff(np.r_[-1, ends]).astype(np.uint32), doc_tokens.astype(np.uint32), first)
+
+
+def _width(top: int) -> tuple[str, ...]:
+    """The arrays that hold symbols below ``top``: the lower bits and, if need be, the bits above."""
+    return ("<u2",) if top <= 1 << 16 else ("<u2", "<u1") if top <= 1 << 24 else ("<u4",)
 
 
 def pack(shard: Shard) -> bytes:
     top = shard.first + len(shard.rules)
     head = struct.pack("<4s4I", b"RPG1", len(shard.doc_tokens), len(shard.rules), len(shard.symbols), shard.first)
     arrays = [shard.rules, shard.lengths, shard.doc_symbols, shard.doc_tokens]
-    return b"".join([head, *(a.astype("<u4").tobytes() for a in arrays), shard.symbols.astype("<u2" if top <= 1 << 16 else "<u4").tobytes()])
+    body = [(shard.symbols >> np.uint32(16 * k)).astype(kind).tobytes() for k, kind in enumerate(_width(top))]
+    return b"".join([head, *(a.astype("<u4").tobytes() for a in arrays), *body])
 
 
 def unpack(payload: bytes) -> Shard:
@@ -147,8 +171,11 @@ def unpack(payload: bytes) -> Shard:
     for n in (2 * rules, rules, docs, docs):
         parts.append(np.frombuffer(payload, "<u4", n, at))
         at += 4 * n
-    body = np.frombuffer(payload, "<u2" if first + rules <= 1 << 16 else "<u4", symbols, at)
-    return Shard(parts[0].reshape(-1, 2), parts[1], body.astype(np.uint32), parts[2], parts[3], first)
+    body = np.zeros(symbols, np.uint32)
+    for k, kind in enumerate(_width(first + rules)):
+        body |= np.frombuffer(payload, kind, symbols, at).astype(np.uint32) << np.uint32(16 * k)
+        at += symbols * np.dtype(kind).itemsize
+    return Shard(parts[0].reshape(-1, 2), parts[1], body, parts[2], parts[3], first)
 
 
 class Expander:
