@@ -438,7 +438,8 @@ def test_main_text(spark):
 def test_copies_of_an_article_stay(spark):
     rows = [(k, "http://a.example.com/", PAGE.format(n=1)) for k in range(9)]
     found = site_tree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert {r.text for r in found} == {"Head 1 First 1 line Secéond & 1 x"} and len(found) == 9
+    # Pages that agree in all are one piece of evidence, so nothing tells the callout from the rest.
+    assert {r.text for r in found} == {"Head 1 First 1 line Secéond & 1 x Same everywhere"} and len(found) == 9
 
 
 # 10
