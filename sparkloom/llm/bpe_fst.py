@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.chunks import LONGEST, WorkerCache, split_chunks
+from sparkloom.llm.chunks import LONGEST, WorkerCache, split_chunks, whole_chunks
 from sparkloom.llm.common import map_batches, utf8
 
 #: Entries that a worker keeps at most.
@@ -171,7 +171,7 @@ class Codec:
         self.bytes_of = [self.transducer.text.get(i, b"") for i in range(top)]
         self.decimal = [b"%d" % i for i in range(top)]
         self.first = WorkerCache(lambda keys: [self.fresh(k) for k in keys], int(CACHE_CHUNKS * scale) // 16)
-        self.later = WorkerCache(lambda keys: [self.fresh(b" " + k) for k in keys], int(CACHE_CHUNKS * scale))
+        self.later = WorkerCache(lambda keys: [self.fresh(whole_chunks([k])) for k in keys], int(CACHE_CHUNKS * scale))
         self.pieces: dict[str, list[int]] = {}
         self.most_pieces = int(CACHE_PIECES * scale)
 
@@ -194,10 +194,7 @@ class Codec:
         chunks = split_chunks(text) if text else []
         if chunks is None:
             return np.frombuffer(self.fresh(text), "<u4")
-        self.first.prepare(chunks[:1])
-        self.later.prepare(rest := chunks[1:])
-        found = [*map(self.first.held.__getitem__, chunks[:1]), *map(self.later.held.__getitem__, rest)]
-        return np.frombuffer(b"".join(found), "<u4")
+        return np.frombuffer(b"".join(self.first.lookup(chunks[:1]) + self.later.lookup(chunks[1:])), "<u4")
 
     def decimals(self, ids: np.ndarray) -> bytes:
         return b" ".join(map(self.decimal.__getitem__, ids.tolist()))

@@ -20,7 +20,10 @@ of each document; then the symbols' lower 16 bits and, unless ``first + rules``
 fits in these, a byte each with the upper ones (uint32 if that isn't enough).
 
 Null texts count as empty and hold the end id alone. A null document id sorts
-last; rows with equal ids are ordered by text. An empty table makes no shard.
+last; rows with equal ids are ordered by their first 64 bytes and a hash, and
+may fall into several shards. Repeated rows are stored each. An empty table
+makes no shard. A text longer than a shard is a shard of its own. Other columns
+are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +41,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.chunks import WorkerCache, split_chunks
+from sparkloom.llm.chunks import WorkerCache, split_chunks, whole_chunks
 from sparkloom.llm.common import fresh_path, map_batches, utf8
 
 #: Chunks that a worker keeps at most, about 200 bytes each.
 CACHE_CHUNKS = 1_000_000
+#: Bytes of text that are encoded together.
+TOGETHER = 1 << 19
 #: A shard is closed once it holds so many ids.
 SHARD_TOKENS = 1_000_000
 #: The least uses of a pair that is replaced.
@@ -63,11 +69,11 @@ def _bucket(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return ((left * np.uint32(2654435761)) ^ (right * np.uint32(2246822519))) >> np.uint32(13)
 
 
-def _chosen(at: np.ndarray) -> np.ndarray:
-    """Of sorted positions, those of a maximal set without neighbours, the left one first."""
-    run = np.r_[True, at[1:] != at[:-1] + 1]
-    start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-    return (np.arange(len(at)) - start) % 2 == 0
+def _chosen(joined: np.ndarray) -> np.ndarray:
+    """Of places in order, the mask of a maximal set without neighbours, the left one first; ``joined`` tells which begin where the one before ends."""
+    n = len(joined) + 1
+    start = np.maximum.accumulate(np.where(np.r_[True, ~joined], np.arange(n), 0)) if n > 1 else np.zeros(n, np.int64)
+    return (np.arange(n) - start) % 2 == 0
 
 
 def _sorted_order(left: np.ndarray, right: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -80,18 +86,21 @@ def _sorted_order(left: np.ndarray, right: np.ndarray, codes: np.ndarray) -> np.
     return (keys & np.uint64((1 << place) - 1)).astype(np.int64)
 
 
-def frequent_pairs(symbols: np.ndarray, live: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def frequent_pairs(symbols: np.ndarray, follower: np.ndarray, live: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs at the sorted places ``live`` that can be replaced ``least`` times: their codes by ascending uses, and each such place with the number of its pair."""
-    left, right = symbols[live], symbols[live + 1]
-    bucket = _bucket(left, right)
-    likely = (np.bincount(bucket, minlength=_BUCKETS) >= least)[bucket]
-    live, left, right = live[likely], left[likely], right[likely]
+    left, right = symbols[live], symbols[follower[live]]
+    if len(live) > _BUCKETS // 8:
+        bucket = _bucket(left, right)
+        likely = (np.bincount(bucket, minlength=_BUCKETS) >= least)[bucket]
+        live, left, right = live[likely], left[likely], right[likely]
     codes = (left.astype(np.uint64) << np.uint64(32)) | right
     if not len(codes):
         return codes, live, live
     once = np.ones(len(live), np.int64)  # of a symbol that repeats, every other pair can be replaced
     double = np.flatnonzero(left == right)
-    once[double[~_chosen(live[double])]] = 0
+    if len(double):
+        places = live[double]
+        once[double[~_chosen(follower[places[:-1]] == places[1:])]] = 0
     order = _sorted_order(left, right, codes)
     codes, once = codes[order], once[order]
     begins = np.r_[True, codes[1:] != codes[:-1]]
@@ -108,23 +117,30 @@ def frequent_pairs(symbols: np.ndarray, live: np.ndarray, least: int) -> tuple[n
 
 
 def compress(tokens: np.ndarray, doc_tokens: np.ndarray, first: int, least: int = LEAST_USES) -> Shard:
-    """Re-Pair over one shard of ids, all below ``first``, until no pair can be replaced ``least`` times."""
-    symbols = tokens.astype(np.uint32)
-    last = np.zeros(len(symbols), bool)
+    """Re-Pair over one shard of ids, all below ``first``, until no pair can be replaced ``least`` times.
+
+    Symbols keep their places and are linked, so a round only touches pairs
+    beside new symbols and frequent pairs that stayed.
+    """
+    n = len(tokens)
+    symbols = np.append(tokens, 0).astype(np.uint32)
+    last, gone, marked = np.zeros(n + 1, bool), np.zeros(n, bool), np.zeros(n + 1, bool)
     last[np.cumsum(doc_tokens) - 1] = True
-    rules, size, known = [np.zeros((0, 2), np.uint32)], np.ones(first, np.uint32), first
-    live = np.flatnonzero(~last[:-1])
+    follower, leader = np.arange(1, n + 2), np.arange(-1, n)
+    rules, sizes, known = [np.zeros((0, 2), np.uint32)], [np.zeros(0, np.uint32)], first
+    size = np.ones(first, np.uint32)
+    live = np.flatnonzero(~last[:n])
     while len(live):
-        codes, at, rule = frequent_pairs(symbols, live, least)
+        codes, at, rule = frequent_pairs(symbols, follower, live, least)
         if not len(codes):
             break
         # Of places that overlap, the pair with more uses wins; so the first pair is always replaced wherever it can be.
-        beside = at[1:] == at[:-1] + 1
+        beside = follower[at[:-1]] == at[1:]
         wins = np.ones(len(at), bool)
         wins[1:] &= ~(beside & (rule[1:] < rule[:-1]))
         wins[:-1] &= ~(beside & (rule[:-1] < rule[1:]))
         pick = np.flatnonzero(wins)
-        pick = pick[_chosen(at[pick])]
+        pick = pick[_chosen(follower[at[pick[:-1]]] == at[pick[1:]])]
         uses = np.bincount(rule[pick], minlength=len(codes))
         pick = pick[(uses >= least)[rule[pick]]]
         used = np.flatnonzero(uses >= least)
@@ -133,21 +149,26 @@ def compress(tokens: np.ndarray, doc_tokens: np.ndarray, first: int, least: int
         known += len(used)
         new = np.stack([codes[used] >> np.uint64(32), codes[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
         rules.append(new)
-        size = np.concatenate([size, size[new[:, 0]] + size[new[:, 1]]])
-        # Only pairs with a new symbol and frequent pairs that stay can be frequent in the next round.
-        again = np.zeros(len(symbols), bool)
-        again[at] = True
-        fresh = np.zeros(len(symbols), bool)
-        at, rule = at[pick], rule[pick]
-        symbols[at] = number[rule]
-        fresh[at] = True
-        last[at] = last[at + 1]
-        keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        symbols, last, again, fresh = symbols[keep], last[keep], again[keep], fresh[keep]
-        live = np.flatnonzero((again[:-1] | fresh[:-1] | fresh[1:]) & ~last[:-1])
-    ends = np.flatnonzero(last)
-    return Shard(np.concatenate(rules), size[first:], symbols, np.diff(np.r_[-1, ends]).astype(np.uint32), doc_tokens.astype(np.uint32), first)
+        sizes.append(size[new[:, 0]] + size[new[:, 1]])
+        size = np.concatenate([size, sizes[-1]])
+        marked[at] = True
+        places = at[pick]
+        symbols[places] = number[rule[pick]]
+        after = follower[places]
+        last[places] = last[after]
+        gone[after] = True
+        beyond = follower[after]
+        follower[places] = beyond
+        inside = beyond <= n - 1
+        leader[beyond[inside]] = places[inside]
+        before = leader[places]
+        marked[before[before >= 0]] = True
+        live = np.flatnonzero(marked)
+        marked[live] = False
+        live = live[~last[live] & ~gone[live]]
+    kept = np.flatnonzero(~gone)
+    ends = np.flatnonzero(last[kept])
+    return Shard(np.concatenate(rules), np.concatenate(sizes), symbols[kept], np.diff(np.r_[-1, ends]).astype(np.uint32), doc_tokens.astype(np.uint32), first)
 
 
 def _width(top: int) -> tuple[str, ...]:
@@ -219,32 +240,36 @@ class Encoder:
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.first = WorkerCache(lambda keys: self.fresh([k.decode() for k in keys]), CACHE_CHUNKS // 4)
         self.later = WorkerCache(self.fresh_together, CACHE_CHUNKS)
-        opens = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
+        space, line = (self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in " \n")
         self.opening = np.zeros(self.first_free, bool)
         for token, number in self.tokenizer.get_vocab().items():
-            self.opening[number] = token.startswith(opens)
+            self.opening[number] = token.startswith(space) or token == line
 
     def fresh_together(self, keys: list[bytes]) -> list[bytes]:
-        """The ids of each key with a space before it, from one text: only the first token of a chunk begins with a space."""
-        text = " " + " ".join([k.decode() for k in keys])
+        """The ids of each chunk, from one text: only the first token of a chunk begins with a space or is a line end."""
+        text = whole_chunks(keys).decode()
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         starts = np.flatnonzero(self.opening[ids])
         if len(starts) != len(keys):
-            return self.fresh([" " + k.decode() for k in keys])
+            return self.fresh([whole_chunks([k]).decode() for k in keys])
         raw, cuts = ids.tobytes(), (4 * np.r_[starts, len(ids)]).tolist()
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def fresh(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: bytes) -> bytes:
-        """The ids as 4-byte integers."""
-        chunks = None if any(s in text for s in self.special) else split_chunks(text)
-        if chunks is None:
-            return self.fresh([text.decode()])[0]
-        self.first.prepare(chunks[:1])
-        self.later.prepare(rest := chunks[1:])
-        return b"".join([*map(self.first.held.__getitem__, chunks[:1]), *map(self.later.held.__getitem__, rest)])
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as 4-byte integers; what no cache holds is encoded together."""
+        every = [None if any(s in text for s in self.special) else split_chunks(text) for text in texts]
+        first = iter(self.first.lookup([chunks[0] for chunks in every if chunks is not None]))
+        later = iter(self.later.lookup([chunk for chunks in every if chunks is not None for chunk in islice(chunks, 1, None)]))
+        found = []
+        for text, chunks in zip(texts, every):
+            if chunks is None:
+                found.append(self.fresh([text.decode()])[0])
+            else:
+                found.append(b"".join([next(first), *islice(later, len(chunks) - 1)]))
+        return found
 
 
 #: Of this worker process: it outlives tasks.
@@ -274,12 +299,24 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], [x.split()[0] for x in FILE_SCHEMA.split(", ")])
 
-        for batch in batches:
-            for doc_id, body in zip(batch.column(0), batch.column(1)):
-                raw = encoder.encode(body.as_py()) + end
-                ids.append(doc_id.as_py())
-                found.append(raw)
-                sizes.append(len(raw) // 4)
+        def groups() -> Iterator[tuple[list[int | None], list[bytes]]]:
+            """Documents that are encoded together."""
+            names, bodies, size = [], [], 0
+            for batch in batches:
+                for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    names.append(doc_id)
+                    bodies.append(body.as_py())
+                    size += len(bodies[-1])
+                    if size >= TOGETHER:
+                        yield names, bodies
+                        names, bodies, size = [], [], 0
+            yield names, bodies
+
+        for names, bodies in groups():
+            for doc_id, raw in zip(names, encoder.encode(bodies)):
+                ids.append(doc_id)
+                found.append(raw + end)
+                sizes.append(len(raw) // 4 + 1)
                 held += sizes[-1]
                 if held >= shard_tokens:
                     yield close()
@@ -288,7 +325,9 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
             yield close()
 
     ordered = docs.select(F.col(id_column).cast("long").alias("id"), utf8(text).alias("body"))
-    ordered = ordered.repartitionByRange(F.col("id").asc_nulls_last()).sortWithinPartitions(F.col("id").asc_nulls_last(), "body")
+    # By more than the id, so that many rows without one, or with one id, are not one range.
+    order = (F.col("id").asc_nulls_last(), F.substring("body", 1, 64), F.xxhash64("body"))
+    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.mapInArrow(run, FILE_SCHEMA).write.parquet(out)
 
 

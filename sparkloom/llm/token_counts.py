@@ -79,10 +79,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", id_co
         cache, sizes, counts = worker_cache(tokenizer_path, table), [], []
         for value in batch.column(1):
             body = value.as_py()
-            words = body.split()
-            cache.prepare(words)
             sizes.append(len(body))
-            counts.append(sum(map(cache.held.__getitem__, words)))
+            counts.append(sum(cache.lookup(body.split())))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], [id_column, "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_column].dataType.simpleString()
