@@ -206,13 +206,24 @@ class Expander:
         self.first = shard.first
         self.length = np.concatenate([np.ones(shard.first, np.int64), shard.lengths.astype(np.int64)])
         self.start = np.concatenate([np.arange(shard.first), shard.first + np.cumsum(shard.lengths, dtype=np.int64) - shard.lengths])
-        flat = np.zeros(shard.first + int(shard.lengths.sum()), np.uint32)
-        flat[: shard.first] = np.arange(shard.first)
-        for k, (left, right) in enumerate(shard.rules.tolist()):
-            at, n = self.start[shard.first + k], self.length[left]
-            flat[at : at + n] = flat[self.start[left] : self.start[left] + n]
-            flat[at + n : at + n + self.length[right]] = flat[self.start[right] : self.start[right] + self.length[right]]
-        self.flat = flat
+        self.flat = np.zeros(shard.first + int(shard.lengths.sum()), np.uint32)
+        self.flat[: shard.first] = np.arange(shard.first)
+        rules = shard.rules.astype(np.int64)
+        # A nonterminal's level is above those of its parts; all of one level are expanded together.
+        level = np.zeros(shard.first + len(rules), np.int64)
+        level[shard.first :] = 1
+        while len(rules):
+            above = level[rules].max(axis=1) + 1
+            if (above == level[shard.first :]).all():
+                break
+            level[shard.first :] = above
+        order = np.argsort(level[shard.first :], kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(level[shard.first + order])) + 1):
+            parts = rules[own].reshape(-1)
+            n = self.length[parts]
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            to = np.repeat(np.stack([self.start[shard.first + own], self.start[shard.first + own] + n[::2]], axis=1).reshape(-1), n) + inside
+            self.flat[to] = self.flat[np.repeat(self.start[parts], n) + inside]
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         n = self.length[symbols]
