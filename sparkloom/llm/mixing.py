@@ -1,9 +1,9 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 Sources get targets in words from their weights, none above twice its size.
-Each source's documents are dealt over shards of bounded size by a seeded hash;
-a shard's words, in seeded order, are cut into blocks of equal length (within a
-word). The blocks of the whole mix are apportioned to the sources, and each
+Each source's documents are dealt over shards of bounded size by a seeded hash
+of id and text; a shard's words, in seeded order, are cut into blocks of equal
+length (within a word). The blocks of the whole mix are apportioned to the sources, and each
 source's blocks to its shards, by highest quotients votes / (2 seats + 1). A
 shard with quota q over n blocks takes every block q // n times and q % n
 blocks, drawn by a seeded permutation, once more.
@@ -12,9 +12,13 @@ Apportionment goes down a tree in which no node has more than ``FANOUT``
 children, so no task sees more than that many rows of even the largest source.
 
 Null texts have no words; their rows are taken 0 times. The null source comes
-last. Rows without words or sources without words have target and quota 0.
-Repeated rows are drawn separately. Results depend on the rows and the seed
-alone, not on how they are partitioned.
+last. Rows without words or sources without words have target and quota 0. An
+empty table gives no rows. A very long text may fill a shard alone.
+Repeated rows are drawn separately: where rows with one id and one text have
+more words than a shard, their copies are numbered and dealt by number too. So
+results depend on the rows and the seed alone, not on how they are partitioned;
+rows that agree in id, text and source are interchangeable. Columns may have
+any names: those that come along are renamed inside.
 """
 
 from __future__ import annotations
@@ -107,36 +111,67 @@ def fill_targets(sources: DataFrame, weights: tuple[int, ...], share: float, mos
     return sources.withColumn("target", F.least(F.col("most"), F.col("weight") * F.lit(float(level or 0))).cast("double"))
 
 
-def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", id_column: str = "doc_id", keep: tuple[str, ...] = (), weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+def numbered_copies(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with ``copy``: a number from 0 for each row of a group in ``groups`` (id, mark, source), 0 for others.
+
+    Numbers are counted within partitions, and the counts of partitions are
+    added up, so that no task sees all rows of a group.
+    """
+    named = groups.select(F.col("id").alias("group id"), F.col("mark").alias("group mark"), F.col("source").alias("group source"))
+    same = rows["id"].eqNullSafe(named["group id"]) & (rows["mark"] == named["group mark"]) & rows["source"].eqNullSafe(named["group source"])
+    rest = rows.join(named, same, "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    own = cut(rows.join(named, same, "left_semi").withColumn("part", F.spark_partition_id()))
+    key = ("id", "mark", "source")
+    parts = own.groupBy(*key, "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*(F.col(c).alias(f"of {c}") for c in (*key, "part")), F.coalesce(before, F.lit(0)).alias("before"))
+    inside = own.withColumn("at", F.row_number().over(Window.partitionBy(*key, "part").orderBy("size")))
+    joined = inside.join(parts, inside["id"].eqNullSafe(parts["of id"]) & (inside["mark"] == parts["of mark"]) & inside["source"].eqNullSafe(parts["of source"]) & (inside["part"] == parts["of part"]))
+    return rest.unionByName(joined.select(*rows.columns, (F.col("before") + F.col("at") - 1).alias("copy")))
+
+
+def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", id_column: str = "doc_id", keep: tuple[str, ...] = (), weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 7) -> DataFrame:
     """For each row: id, source, ``size``, ``source_size``, ``target``, and what the mix takes of it.
 
-    ``first_word`` is its place in its shard of ``shard_words`` words and
+    ``first_word`` is its place in its ``shard`` of ``shard_words`` words and
     ``times`` how often each of the shard's blocks is taken; ``taken`` counts
-    the row's words that are taken. The columns ``keep`` come along.
+    the row's words that are taken, at most ``most`` times its size (a whole
+    number, as blocks are taken whole). The columns ``keep`` come along.
     """
-    words = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    sized = docs.select(F.col(id_column).alias("id"), F.col(source).cast("string").alias("source"), words.alias("size"), *(F.col(f"`{c}`").alias(f"kept {k}") for k, c in enumerate(keep)))
-    small = cut(sized.select("id", "source", "size"))
+    if most != int(most) or most < 1:
+        raise ValueError("most must be a whole number")
+    most = int(most)
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    words = F.regexp_count(body, F.lit(WORD)).cast("long")
+    kept = [F.col(f"`{c}`").alias(f"kept {k}") for k, c in enumerate(keep)]
+    sized = docs.select(F.col(id_column).alias("id"), F.col(source).cast("string").alias("source"), words.alias("size"), F.xxhash64(body).alias("mark"), *kept)
+    small = cut(sized.select("id", "source", "size", "mark"))
     if not keep:
         sized = small
+    many = small.groupBy("id", "mark", "source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("words") > SHARD_WORDS))
+    many = cut(many.select("id", "mark", "source"))
+    if many.isEmpty():
+        small, sized = (rows.withColumn("copy", F.lit(0).cast("long")) for rows in (small, sized))
+    else:
+        small, sized = (numbered_copies(rows, many) for rows in (small, sized))
     sources = fill_targets(ranked(small.groupBy("source").agg(F.sum("size").alias("source_size"))), weights, share, most)
     sources = sources.withColumn("shards", F.ceil(F.col("source_size") / SHARD_WORDS))
     sources = cut(sources.select(F.col("source").alias("name"), "rank", "source_size", "target", F.greatest("shards", F.lit(1)).alias("shards")))
     n_sources, most_shards = sources.agg(F.count("*"), F.max("shards")).first()
     side = F.broadcast(sources) if n_sources <= BROADCAST_SOURCES else sources
-    order = F.xxhash64(F.lit(seed), "id", "size")
+    order = F.xxhash64(F.lit(seed), "id", "mark", "copy")
 
     def placed(rows: DataFrame) -> DataFrame:
         joined = rows.join(side, rows["source"].eqNullSafe(sources["name"]))
-        return joined.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.col("shards")))
+        return joined.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "mark", "copy"), F.col("shards")))
 
     counted = placed(small).groupBy("rank", "shard").agg(F.sum("size").alias("shard_words"))
     counted = cut(counted.withColumn("blocks", F.when(F.col("shard_words") > 0, F.greatest(F.round(F.col("shard_words") / BLOCK_WORDS), F.lit(1))).otherwise(0).cast("long")))
     stock = counted.groupBy("rank").agg(F.sum("blocks").alias("blocks")).join(side, "rank")
-    stock = cut(stock.select(F.lit(0).cast("long").alias("grp"), F.col("rank").cast("long").alias("leaf"), F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0).alias("votes"), (F.col("blocks") * int(most)).alias("cap")))
+    stock = cut(stock.select(F.lit(0).cast("long").alias("grp"), F.col("rank").cast("long").alias("leaf"), F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0).alias("votes"), (F.col("blocks") * most).alias("cap")))
     quotas = apportion(stock, stock.groupBy("grp").agg(F.round(F.sum("votes")).cast("long").alias("seats")), n_sources or 1)
     quotas = quotas.select(F.col("leaf").alias("grp"), "seats")
-    leaves = counted.select(F.col("rank").cast("long").alias("grp"), F.col("shard").cast("long").alias("leaf"), F.col("shard_words").cast("double").alias("votes"), (F.col("blocks") * int(most)).alias("cap"))
+    leaves = counted.select(F.col("rank").cast("long").alias("grp"), F.col("shard").cast("long").alias("leaf"), F.col("shard_words").cast("double").alias("votes"), (F.col("blocks") * most).alias("cap"))
     shares = apportion(leaves, quotas, most_shards or 1).select(F.col("grp").alias("rank"), F.col("leaf").alias("shard"), "seats")
 
     def draw(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -150,7 +185,7 @@ def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", id_col
 
     drawn = counted.join(shares, ["rank", "shard"]).select(F.col("rank").cast("long"), F.col("shard").cast("long"), "blocks", "seats", "shard_words")
     drawn = map_batches(drawn, draw, "rank long, shard long, shard_words long, times array<int>")
-    sums = Window.partitionBy("rank", "shard").orderBy(order, "id", "size")
+    sums = Window.partitionBy("rank", "shard").orderBy(order, "id", "mark", "copy")
     rows = placed(sized).withColumn("first_word", F.sum("size").over(sums.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
     rows = rows.join(drawn, ["rank", "shard"])
     n, w = F.size("times"), F.col("shard_words")
@@ -160,7 +195,7 @@ def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", id_col
     overlap = lambda b: F.least(starts(b + 1), F.col("first_word") + F.col("size")) - F.greatest(starts(b), F.col("first_word"))
     taken = F.aggregate(F.sequence(low, high), F.lit(0).cast("long"), lambda sum_, b: sum_ + overlap(b) * F.element_at("times", (b + 1).cast("int")))
     rows = rows.withColumn("taken", F.when(F.col("size") > 0, taken).otherwise(0))
-    return rows.select(F.col("id").alias(id_column), *(F.col(f"kept {k}") for k in range(len(keep))), "source", "size", "source_size", "target", "taken", "first_word", "shard_words", "times")
+    return rows.select(F.col("id").alias(id_column), *(F.col(f"kept {k}") for k in range(len(keep))), "source", "size", "source_size", "target", "taken", "rank", "shard", "first_word", "shard_words", "times")
 
 
 _WORD = re.compile(WORD.encode())
