@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe_fst, grammar_files, media_ts, mixing, pii, quality, simhash, site_tree, suffix_dedup, token_counts
+from sparkloom.llm import bpe_fst, grammar_files, media_ts, mixing, oracles, pii, quality, simhash, site_tree, suffix_dedup, token_counts
 from sparkloom.llm.common import documents
 
 
@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_repeated_strings": oracles.REPEATED_STRINGS}
