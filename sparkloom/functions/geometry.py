@@ -58,6 +58,83 @@ def zoom_at(scale, tx, ty, factor, x, y) -> Column:
     return F.struct((scale * factor).alias("scale"), (x - (x - tx) * factor).alias("tx"), (y - (y - ty) * factor).alias("ty"))
 
 
+def pan_by(scale, tx, ty, dx, dy) -> Column:
+    return F.struct(scale.alias("scale"), (tx + dx).alias("tx"), (ty + dy).alias("ty"))
+
+
+def to_screen(scale, tx, ty, x, y) -> Column:
+    return F.struct((x * scale + tx).alias("x"), (y * scale + ty).alias("y"))
+
+
+def live_view(view_w, view_h, content_w, content_h, zoom) -> Column:
+    """The content fitted to the view and zoomed about its centre."""
+    scale = fit_scale(view_w, view_h, content_w, content_h) * zoom
+    return F.struct(scale.alias("scale"), (view_w / 2 - content_w / 2 * scale).alias("tx"), (view_h / 2 - content_h / 2 * scale).alias("ty"))
+
+
+def resize_view(scale, tx, ty, old_w, old_h, new_w, new_h, content_w, content_h) -> Column:
+    """The view after the screen changed its size: the same zoom relative to fit, and what was in the centre stays there; unclamped."""
+    new = scale / fit_scale(old_w, old_h, content_w, content_h) * fit_scale(new_w, new_h, content_w, content_h)
+    at = lambda t, old, size: size / 2 - (old / 2 - t) / scale * new
+    return F.struct(new.alias("scale"), at(tx, old_w, new_w).alias("tx"), at(ty, old_h, new_h).alias("ty"))
+
+
+def wheel_factor(delta: Column) -> Column:
+    """By how much a turn of the wheel zooms."""
+    return F.exp(-delta / 300)
+
+
+def css_transform(scale, tx, ty) -> Column:
+    """A view as a CSS matrix."""
+    s, x, y = (c.cast("string") for c in (scale, tx, ty))
+    return F.concat(F.lit("matrix("), s, F.lit(", 0, 0, "), s, F.lit(", "), x, F.lit(", "), y, F.lit(")"))
+
+
+def point(x, y) -> Column:
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def distance(a, b) -> Column:
+    return F.hypot(a["x"] - b["x"], a["y"] - b["y"])
+
+
+def crop_frame(quad: Column) -> Column:
+    """How an upright crop lies in its source: crop (x, y) is at origin + x * r + y * a.
+
+    ``quad`` is top left, top right, bottom right, bottom left. Its sides are
+    rounded to whole pixels, one at least; quads one and a half times as high
+    as wide are vertical text and turned by a quarter.
+    """
+    tl, tr, br, bl = (quad[k] for k in range(4))
+    side = lambda p, q, r, s: F.greatest(F.lit(1), F.floor(F.greatest(distance(p, q), distance(r, s)) + 0.5)).cast("double")
+    w, h = side(tl, tr, bl, br), side(tl, bl, tr, br)
+    part = lambda p, q, n: point((q["x"] - p["x"]) / n, (q["y"] - p["y"]) / n)
+    frame = lambda origin, r, a, width, height, vertical: F.struct(origin.alias("origin"), r.alias("r"), a.alias("a"), width.cast("int").alias("width"), height.cast("int").alias("height"), F.lit(vertical).alias("vertical"))
+    return F.when(h >= 1.5 * w, frame(tr, part(tl, bl, h), part(tr, tl, w), h, w, True)).otherwise(frame(tl, part(tl, tr, w), part(tl, bl, h), w, h, False))
+
+
+def frame_quad(frame: Column, x0: Column, x1: Column) -> Column:
+    """The source quad, in reading order, of a crop's columns from x0 to x1."""
+    at = lambda x, y: point(frame["origin"]["x"] + x * frame["r"]["x"] + y * frame["a"]["x"], frame["origin"]["y"] + x * frame["r"]["y"] + y * frame["a"]["y"])
+    top, bottom = F.lit(0.0), frame["height"].cast("double")
+    return F.array(at(x0, top), at(x1, top), at(x1, bottom), at(x0, bottom))
+
+
+def ordered_quad(points: Column) -> Column:
+    """Four corners as top left, top right, bottom right, bottom left: the two leftmost by y, then the two rightmost; near equals (1e-9) keep their order."""
+    keyed = lambda ps, c: F.array_sort(F.transform(ps, lambda p, k: F.struct(F.round(p[c], 9).alias("key"), k.alias("k"), p.alias("p"))))
+    by_x = F.transform(keyed(points, "x"), lambda s: s["p"])
+    left, right = (F.transform(keyed(F.slice(by_x, start, 2), "y"), lambda s: s["p"]) for start in (1, 3))
+    return F.array(left[0], right[0], right[1], left[1])
+
+
+def inside_quad(quad: Column, x: Column, y: Column) -> Column:
+    """Whether a point is in a convex quad or on its edge."""
+    sides = [cross(quad[(k + 1) % 4]["x"] - quad[k]["x"], quad[(k + 1) % 4]["y"] - quad[k]["y"], x - quad[k]["x"], y - quad[k]["y"]) for k in range(4)]
+    every = lambda test: test(sides[0]) & test(sides[1]) & test(sides[2]) & test(sides[3])
+    return every(lambda c: c >= 0) | every(lambda c: c <= 0)
+
+
 def detector_size(width: Column, height: Column, long_side: int) -> Column:
     """Both sides scaled so that the longer is ``long_side``, rounded to a multiple of 32, 32 at least."""
     side = lambda n: F.greatest(F.lit(32), F.floor(n * (F.lit(float(long_side)) / F.greatest(width, height)) / 32 + 0.5) * 32)

@@ -19,6 +19,23 @@ def version_of(manifest_row):
     return F.substring(F.sha2(F.to_json(manifest_row), 256), 1, 12)
 
 
+def write_manifest(files: DataFrame, kind: str, name: str, content: str, path: str) -> None:
+    """A JSON manifest of files: a row for each with kind, id, size and hash, and the ``version`` of them all."""
+    rows = manifest(files, [kind, name], content)
+    whole = rows.agg(F.array_sort(F.collect_list(F.struct(F.col(kind).alias("kind"), F.col(name).alias("id"), "size", "sha256"))).alias("files"))
+    whole.select(version_of(F.struct("files")).alias("version"), "files").write.mode("overwrite").json(path)
+
+
+def configurations(detectors: DataFrame, recognisers: DataFrame, sides: DataFrame) -> DataFrame:
+    """Every detector with every recogniser and every size: a small product by intention."""
+    return detectors.crossJoin(F.broadcast(recognisers)).crossJoin(F.broadcast(sides))
+
+
+def wanted_kinds(rows: DataFrame, kind: str, asked: list[str]) -> DataFrame:
+    """Rows of the kinds that were asked for; all if none was."""
+    return rows.where(F.col(kind).isin(asked)) if asked else rows
+
+
 def first_source(wanted: DataFrame, sources: list[tuple[str, DataFrame]], key: str) -> DataFrame:
     """For each wanted (key, size, sha256) the first source whose copy has that size and hash; null if none has."""
     out = wanted

@@ -26,6 +26,13 @@ def summarize(matches: DataFrame, keys: list[str]) -> DataFrame:
     return matches.groupBy(*keys).agg(F.count_if(F.col("distance") == 0).alias("exact"), F.count("*").alias("required"), F.coalesce(F.avg("cer"), F.lit(0.0)).alias("mean_cer"))
 
 
+def misses(matches: DataFrame, keys: list[str], none: str = "∅") -> DataFrame:
+    """For each key its labels that were not read exactly, in order, each with what was read instead."""
+    missed = matches.where(F.col("distance") > 0)
+    shown = F.concat("label", F.lit("→"), F.when(F.col("text") == "", none).otherwise(F.col("text")))
+    return missed.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", shown.alias("m")))), lambda x: x["m"]).alias("misses"))
+
+
 def upper_median(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """The value at place floor(n / 2), counted from 0, of each key's sorted values."""
     by = Window.partitionBy(*keys)

@@ -61,6 +61,33 @@ def strips(labels: list[dict], vertical: bool) -> np.ndarray:
     return np.array(rows, float).reshape(-1, 4)
 
 
+#: Sides and scales that are tried in order: after and before, ever smaller.
+_SCALES = 1 - SCALE_STEP * np.arange(round((1 - LEAST_SCALE) / SCALE_STEP) + 1)
+TRIES = [(side, float(scale)) for scale in _SCALES for side in ("after", "before")]
+
+
+def all_strips(chars: list[tuple[str | None, list[float]]], vertical: bool, measure: Measure = fixed_width) -> np.ndarray:
+    """The strips of a line's labels for each of ``TRIES``: tries by labels by box; a text's width must be in proportion to its size."""
+    shown = [(measure(reading, 1.0), quad) for reading, quad in chars if reading]
+    if not shown:
+        return np.zeros((len(TRIES), 0, 4))
+    unit = np.array([u for u, _ in shown])
+    q = np.array([quad for _, quad in shown], float).reshape(-1, 4, 2)
+    along, across = np.hypot(*(q[:, 1] - q[:, 0]).T), np.hypot(*(q[:, 3] - q[:, 0]).T)
+    wide, high = (across, along) if vertical else (along, across)
+    font = FONT * high * _SCALES[:, None]
+    font = font * np.minimum(1.0, WIDEST[vertical] * wide / np.where(unit > 0, unit * font, np.inf))
+    width, gap, pad = unit * font, GAP * font, PAD * font
+    if vertical:
+        y = np.repeat((q[:, 0, 1] + q[:, 1, 1])[None] / 2, len(font), axis=0) - font / 2
+        sides = (np.maximum(q[:, 0, 0], q[:, 1, 0]) + gap, y), (np.minimum(q[:, 2, 0], q[:, 3, 0]) - gap - width, y)
+    else:
+        middle = lambda a, b: np.repeat((q[:, a, 0] + q[:, b, 0])[None] / 2, len(font), axis=0) - width / 2
+        sides = (middle(3, 2), np.maximum(q[:, 3, 1], q[:, 2, 1]) + gap), (middle(0, 1), np.minimum(q[:, 0, 1], q[:, 1, 1]) - gap - HEIGHT * font)
+    both = [np.stack([x - pad, y - pad, x + width + pad, y + HEIGHT * font + pad], axis=2) for x, y in sides]
+    return np.stack(both, axis=1).reshape(len(TRIES), -1, 4)
+
+
 def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which boxes of a meet which of b inside."""
     return (a[:, None, :2] < b[None, :, 2:]).all(axis=2) & (b[None, :, :2] < a[:, None, 2:]).all(axis=2)
@@ -71,6 +98,10 @@ def _box(quads: np.ndarray) -> np.ndarray:
     return np.concatenate([points.min(axis=1), points.max(axis=1)], axis=1)
 
 
+def _line_boxes(lines: list[tuple[bool, list[tuple[str | None, list[float]]]]]) -> list[np.ndarray]:
+    return [_box(np.array([q for _, q in chars], float).reshape(-1, 8)) for _, chars in lines]
+
+
 def place(lines: list[tuple[bool, list[tuple[str | None, list[float]]]]], width: float, height: float, measure: Measure = fixed_width) -> list[tuple[str, float, bool]]:
     """Side, scale and halo for each line.
 
@@ -78,32 +109,67 @@ def place(lines: list[tuple[bool, list[tuple[str | None, list[float]]]]], width:
     both ever smaller, at which its labels stay on the image and off all other
     characters and earlier labels. If none does, full size with a halo.
     """
-    boxes = [_box(np.array([q for _, q in chars], float).reshape(-1, 8)) for _, chars in lines]
-    n_steps = round((1 - LEAST_SCALE) / SCALE_STEP)
-    tries = [(side, 1 - k * SCALE_STEP) for k in range(n_steps + 1) for side in ("after", "before")]
+    boxes = _line_boxes(lines)
+    owner = np.repeat(np.arange(len(lines)), [len(b) for b in boxes])
+    chars_boxes = np.concatenate([np.zeros((0, 4)), *boxes])
     whole = [np.concatenate([b[:, :2].min(axis=0), b[:, 2:].max(axis=0)]) if len(b) else np.zeros(4) for b in boxes]
-    taken, out = np.zeros((0, 4)), [("after", 1.0, False)] * len(lines)
+    taken, used = np.zeros((sum(len(b) for b in boxes), 4)), 0
+    out: list[tuple[str, float, bool]] = [("after", 1.0, False)] * len(lines)
     for n in sorted(range(len(lines)), key=lambda k: (whole[k][1], whole[k][0])):
         vertical, chars = lines[n]
-        reach = REACH * max((b[2:] - b[:2]).max() for b in boxes[n]) if len(boxes[n]) else 0.0
+        reach = REACH * (boxes[n][:, 2:] - boxes[n][:, :2]).max() if len(boxes[n]) else 0.0
         zone = (whole[n] + np.array([-reach, -reach, reach, reach]))[None]
-        others = np.concatenate([taken, *(b for k, b in enumerate(boxes) if k != n)])
-        others = others[_meet(zone, others)[0]]
-        covered = lambda side, scale: strips(layout(chars, vertical, side, scale, measure), vertical)  # noqa: E731, B023
-        inside = lambda b: bool((b[:, :2] >= 0).all() and (b[:, 2] <= width).all() and (b[:, 3] <= height).all())
-        found = next(((s, z, False) for s, z in tries if inside(b := covered(s, z)) and not _meet(b, others).any()), None)
-        out[n] = found or next(((s, 1.0, True) for s in ("after", "before") if inside(covered(s, 1.0))), ("after", 1.0, True))
-        taken = np.concatenate([taken, covered(*out[n][:2])])
+        near, earlier = _meet(zone, chars_boxes)[0] & (owner != n), _meet(zone, taken[:used])[0]
+        others = np.concatenate([chars_boxes[near], taken[:used][earlier]])
+        tried = all_strips(chars, vertical, measure)
+        inside = (tried[:, :, :2] >= 0).all(axis=(1, 2)) & (tried[:, :, 2] <= width).all(axis=1) & (tried[:, :, 3] <= height).all(axis=1)
+        free = next((k for k in np.flatnonzero(inside) if not len(others) or not _meet(tried[k], others).any()), None)
+        if free is not None:
+            chosen, halo = int(free), False
+        else:
+            chosen, halo = next((k for k in (0, 1) if inside[k]), 0), True
+        out[n] = (*TRIES[chosen], halo)
+        taken[used : used + tried.shape[1]] = tried[chosen]
+        used += tried.shape[1]
     return out
 
 
+def _lines_of(rows: pd.DataFrame) -> list[tuple[bool, list[tuple[str | None, list[float]]]]]:
+    return [(bool(v), [(c["reading"], list(c["quad"])) for c in chars]) for v, chars in zip(rows["vertical"], rows["chars"])]
+
+
 def place_labels(lines: DataFrame, image: str, measure: Measure = fixed_width) -> DataFrame:
-    """Placements of the lines (image, width, height, line_no, vertical, chars array of reading and quad)."""
+    """Placements of the lines (image, width, height, line_no, vertical, chars array of reading and quad); an image's lines are one group."""
     kind = lines.schema[image].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("line_no")
-        found = place([(bool(v), [(c["reading"], list(c["quad"])) for c in chars]) for v, chars in zip(rows["vertical"], rows["chars"])], float(rows["width"].iloc[0]), float(rows["height"].iloc[0]), measure)
+        found = place(_lines_of(rows), float(rows["width"].iloc[0]), float(rows["height"].iloc[0]), measure)
         return pd.DataFrame({image: rows[image].to_numpy(), "line_no": rows["line_no"].to_numpy(), "side": [f[0] for f in found], "scale": [f[1] for f in found], "halo": [f[2] for f in found]})
 
     return lines.groupBy(image).applyInPandas(run, f"{image} {kind}, line_no int, side string, scale double, halo boolean")
+
+
+def violations(lines: DataFrame, placements: DataFrame, image: str, measure: Measure = fixed_width) -> DataFrame:
+    """For each image how many characters have a reading, how many labels are laid out, and how many strips without a halo cover another line's characters (``covered``), meet another line's (``stacked``) or leave the image (``outside``)."""
+    kind = lines.schema[image].dataType.simpleString()
+    joined = lines.join(placements, [image, "line_no"])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("line_no")
+        own = _lines_of(rows)
+        laid = [layout(chars, vertical, side, scale, measure) for (vertical, chars), side, scale in zip(own, rows["side"], rows["scale"])]
+        boxes = [strips(labels, vertical) for labels, (vertical, _) in zip(laid, own)]
+        plain = [k for k, halo in enumerate(rows["halo"]) if not halo]
+        found = {"covered": 0, "stacked": 0, "outside": 0}
+        chars = _line_boxes(own)
+        for k in plain:
+            hits = lambda parts: _meet(boxes[k], np.concatenate([np.zeros((0, 4)), *parts])).any(axis=1).sum()  # noqa: E731, B023
+            found["covered"] += hits([b for j, b in enumerate(chars) if j != k])
+            found["stacked"] += hits([boxes[j] for j in plain if j != k])
+            b = boxes[k]
+            found["outside"] += int(((b[:, :2] < 0).any(axis=1) | (b[:, 2] > rows["width"].iloc[0]) | (b[:, 3] > rows["height"].iloc[0])).sum())
+        syllables = sum(bool(reading) for _, line in own for reading, _ in line)
+        return pd.DataFrame([{image: rows[image].iloc[0], "syllables": syllables, "labels": sum(map(len, laid)), **found}])
+
+    return joined.groupBy(image).applyInPandas(run, f"{image} {kind}, syllables long, labels long, covered long, stacked long, outside long")

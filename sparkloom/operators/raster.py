@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import geometry as G
@@ -81,7 +81,7 @@ def least_rectangle(hull: np.ndarray) -> tuple[float, ...] | None:
     v = np.stack([-u[:, 1], u[:, 0]], axis=1)
     along, across = hull @ u.T, hull @ v.T
     area = np.ptp(along, axis=0) * np.ptp(across, axis=0)
-    k = int(np.argmin(area))
+    k = int(np.argmin(np.round(area, 9)))  # near equals count as equal
     cu, cv = (along[:, k].min() + along[:, k].max()) / 2, (across[:, k].min() + across[:, k].max()) / 2
     return (*(cu * u[k] + cv * v[k]), *u[k], *v[k], np.ptp(along[:, k]) / 2, np.ptp(across[:, k]) / 2)
 
@@ -100,12 +100,22 @@ def rectangles(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def region_mean(rects: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Rectangles with ``mean``, of the cells of their grid within them (and half a cell), 0 without any."""
-    c = cells.select(*keys, F.col("x").alias("px"), F.col("y").alias("py"), "value")
+    """Rectangles with ``mean``, of the cells of their grid within them (and half a cell), 0 without any; only cells of the bounding boxes are joined."""
+    names = rects.columns
+    numbered = rects.withColumn("rect no", F.xxhash64(*names))
+    spread = lambda u, v: F.abs(F.col(u)) * (F.col("half_u") + 0.5) + F.abs(F.col(v)) * (F.col("half_v") + 0.5)
+    around = lambda c, d: F.explode(F.sequence(F.ceil(F.col(c) - d - 1e-9), F.floor(F.col(c) + d + 1e-9)))
+    box = numbered.withColumn("px", around("cx", spread("ux", "vx"))).withColumn("py", around("cy", spread("uy", "vy")))
     dx, dy = F.col("px") - F.col("cx"), F.col("py") - F.col("cy")
     inside = (F.abs(dx * F.col("ux") + dy * F.col("uy")) <= F.col("half_u") + 0.5) & (F.abs(dx * F.col("vx") + dy * F.col("vy")) <= F.col("half_v") + 0.5)
-    names = rects.columns
-    return rects.join(c, keys, "left").groupBy(*names).agg(F.coalesce(F.avg(F.when(inside, F.col("value"))), F.lit(0.0)).alias("mean"))
+    c = cells.select(*keys, F.col("x").cast("long").alias("px"), F.col("y").cast("long").alias("py"), "value")
+    means = box.where(inside).select(*keys, "rect no", "px", "py").join(c, [*keys, "px", "py"]).groupBy(*keys, "rect no").agg(F.avg("value").alias("mean"))
+    return numbered.join(means, [*keys, "rect no"], "left").select(*names, F.coalesce("mean", F.lit(0.0)).alias("mean"))
+
+
+def first_components(cells: DataFrame, grid: list[str], most: int) -> DataFrame:
+    """Cells of the first ``most`` components of each grid, in order of their first cell; ``comp`` counts from 1."""
+    return cells.where(F.col("comp") <= most)
 
 
 def boxes(cells: DataFrame, all_cells: DataFrame, grid: list[str], box_threshold: float, ratio: float, least: float = 3.0) -> DataFrame:
@@ -118,6 +128,64 @@ def boxes(cells: DataFrame, all_cells: DataFrame, grid: list[str], box_threshold
     return grown.where(G.short_side(F.col("half_u"), F.col("half_v")) >= least + 2).withColumn("quad", G.corners(*map(F.col, names)))
 
 
+def text_boxes(grids: DataFrame, values: str, width: int, grid: list[str], threshold: float, box_threshold: float, ratio: float, most: int, target: tuple[float, float]) -> DataFrame:
+    """Boxes of text from maps of text probability: ``quad`` in pixels of the target image, ``score``, and ``place`` from top to bottom, then left to right.
+
+    The first ``most`` components count, before any filter. Corners are ordered,
+    scaled, rounded half up and kept on the target.
+    """
+    height = F.floor(F.size(values) / width)
+    cells = first_components(components(grids, values, width, threshold, tuple(grid)), grid, most)
+    every = grids.select(*grid, F.posexplode(values).alias("pix", "value")).select(*grid, (F.col("pix") % width).alias("x"), F.floor(F.col("pix") / width).alias("y"), F.col("value").cast("double").alias("value"))
+    found = boxes(cells, every, grid, box_threshold, ratio).join(grids.select(*grid, height.alias("grid height")), grid)
+    at = lambda v, factor, top: G.clamp(F.floor(F.round(v * factor, 9) + 0.5), 0, int(top)).cast("long")
+    scaled = F.transform(G.ordered_quad(F.col("quad")), lambda p: F.struct(at(p["x"], F.lit(target[0] / width), target[0]).alias("x"), at(p["y"], F.lit(target[1]) / F.col("grid height"), target[1]).alias("y")))
+    out = found.select(*grid, "comp", scaled.alias("quad"), F.col("mean").alias("score"))
+    order = Window.partitionBy(*grid).orderBy(F.col("quad")[0]["y"], F.col("quad")[0]["x"], "comp")
+    return out.withColumn("place", F.row_number().over(order))
+
+
+def warp(grids: DataFrame, values: str, width: int, frame: str, keep: tuple[str, ...]) -> DataFrame:
+    """Upright crops by frames (``geometry.crop_frame``): a row for each pixel of a crop, sampled bilinearly at whole centres with edges repeated."""
+    f, height = F.col(frame), F.floor(F.size(values) / width).cast("int")
+    rows = grids.select(*keep, F.col(values).alias("v"), height.alias("h"), f.alias("f"), F.explode(F.sequence(F.lit(0), f["width"] * f["height"] - 1)).alias("pix"))
+    f = F.col("f")
+    cx, cy = F.col("pix") % f["width"], F.floor(F.col("pix") / f["width"])
+    at = lambda c: f["origin"][c] + cx * f["r"][c] + cy * f["a"][c]
+    rows = rows.withColumns({"x": G.clamp(at("x"), 0.0, float(width - 1)), "y": G.clamp(at("y"), F.lit(0.0), (F.col("h") - 1).cast("double"))})
+    return rows.select(*keep, "pix", _blend(width).alias("value"))
+
+
+def _blend(width: int):
+    """The value of ``v``, a flat grid of ``h`` rows, between cells at (x, y)."""
+    x0, y0 = F.floor("x").cast("int"), F.floor("y").cast("int")
+    x1, y1 = F.least(x0 + 1, F.lit(width - 1)), F.least(y0 + 1, F.col("h") - 1)
+    value = lambda xx, yy: F.element_at("v", (yy * width + xx + 1).cast("int")).cast("double")
+    fx, fy = F.col("x") - x0, F.col("y") - y0
+    top = value(x0, y0) * (1 - fx) + value(x1, y0) * fx
+    low = value(x0, y1) * (1 - fx) + value(x1, y1) * fx
+    return top * (1 - fy) + low * fy
+
+
+def to_byte(value):
+    """A pixel as stored: rounded half to even, 0 to 255."""
+    return G.clamp(F.bround(value, 0), 0, 255).cast("int")
+
+
+#: Fixed values of the detector: mean and deviation of the blue, green and red plane, in this order.
+DETECTOR_MEAN, DETECTOR_DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+
+
+def detector_planes(blue, green, red):
+    """A pixel (0 to 255) as the detector takes it: blue, green, red, each less its mean and over its deviation."""
+    return F.array(*((c / 255 - F.lit(m)) / F.lit(d) for c, m, d in zip((blue, green, red), DETECTOR_MEAN, DETECTOR_DEVIATION)))
+
+
+def recogniser_planes(blue, green, red):
+    """A pixel as the recogniser takes it, each plane from -1 to 1."""
+    return F.array(*(c / 127.5 - 1 for c in (blue, green, red)))
+
+
 def resize(grids: DataFrame, values: str, width: int, new_width: int, new_height: int, keep: tuple[str, ...]) -> DataFrame:
     """Bilinear resizing with half-pixel centres and clamped edges: a row for each new cell."""
     height = F.floor(F.size(values) / width).cast("int")
@@ -125,10 +193,4 @@ def resize(grids: DataFrame, values: str, width: int, new_width: int, new_height
     rows = grids.select(*keep, F.col(values).alias("v"), height.alias("h"), F.explode(cells).alias("pix"))
     x = G.clamp((F.col("pix") % new_width + 0.5) * width / new_width - 0.5, 0.0, float(width - 1))
     y = G.clamp((F.floor(F.col("pix") / new_width) + 0.5) * F.col("h") / new_height - 0.5, F.lit(0.0), (F.col("h") - 1).cast("double"))
-    rows = rows.withColumns({"x": x, "y": y}).withColumns({"x0": F.floor("x").cast("int"), "y0": F.floor("y").cast("int")})
-    at = lambda xx, yy: F.element_at("v", (yy * width + xx + 1).cast("int")).cast("double")
-    x1, y1 = F.least(F.col("x0") + 1, F.lit(width - 1)), F.least(F.col("y0") + 1, F.col("h") - 1)
-    fx, fy = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
-    top = at(F.col("x0"), F.col("y0")) * (1 - fx) + at(x1, F.col("y0")) * fx
-    low = at(F.col("x0"), y1) * (1 - fx) + at(x1, y1) * fx
-    return rows.select(*keep, "pix", (top * (1 - fy) + low * fy).alias("value"))
+    return rows.withColumns({"x": x, "y": y}).select(*keep, "pix", _blend(width).alias("value"))

@@ -1,49 +1,84 @@
-"""Joins of points and boxes in the plane, by grid cells."""
+"""Joins of points, boxes and quads in the plane, by grid cells of several sizes.
+
+A box lies in cells about as large as itself: cells double in size from level
+to level, and a box's level is the first at which it spans two cells an axis at
+most, so that a large box is in four cells and not in thousands.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions import geometry as G
+
+
+def _with_level(boxes: DataFrame, size: float) -> tuple[DataFrame, int]:
+    """Boxes with ``level``, and the highest level there is."""
+    widest = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(size))
+    levelled = boxes.withColumn("level", F.ceil(F.log2(widest / size)).cast("int"))
+    return levelled, levelled.agg(F.max("level")).first()[0] or 0
 
-def _cells(low: str, high: str, size: float):
-    return F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size))
 
+def _cell(column: str | Column, size: float, level: Column) -> Column:
+    return F.floor((F.col(column) if isinstance(column, str) else column) / (F.lit(size) * F.pow(F.lit(2.0), level)))
 
-def on_grid(boxes: DataFrame, size: float) -> DataFrame:
-    """Each box (x0, y0, x1, y1) in every cell it touches."""
-    wide = boxes.withColumn("gx", F.explode(_cells("x0", "x1", size)))
-    return wide.withColumn("gy", F.explode(_cells("y0", "y1", size)))
+
+def _in_cells(boxes: DataFrame, size: float) -> DataFrame:
+    """Each box (x0, y0, x1, y1, level) in the cells of its level that it touches."""
+    level = F.col("level")
+    wide = boxes.withColumn("gx", F.explode(F.sequence(_cell("x0", size, level), _cell("x1", size, level))))
+    return wide.withColumn("gy", F.explode(F.sequence(_cell("y0", size, level), _cell("y1", size, level))))
 
 
 def overlapping(boxes: DataFrame, keys: list[str], id_column: str, size: float) -> DataFrame:
-    """Pairs of boxes of a key whose open interiors meet; each pair once, in the cell of its lower corner."""
-    a, b = on_grid(boxes, size).alias("a"), on_grid(boxes, size).alias("b")
-    cond = (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy")) & (F.col(f"a.{id_column}") < F.col(f"b.{id_column}"))
+    """Pairs of boxes of a key whose open interiors meet, each once; the smaller of two is looked up at the larger one's level."""
+    levelled, top = _with_level(boxes, size)
+    homes = _in_cells(levelled, size).alias("b")
+    probes = levelled.withColumnRenamed("level", "own").withColumn("level", F.explode(F.sequence(F.col("own"), F.lit(top))))
+    a = _in_cells(probes, size).alias("a")
+    cond = (F.col("a.level") == F.col("b.level")) & (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy"))
     for k in keys:
         cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     for lo, hi in (("x0", "x1"), ("y0", "y1")):
         cond = cond & (F.col(f"a.{lo}") < F.col(f"b.{hi}")) & (F.col(f"b.{lo}") < F.col(f"a.{hi}"))
+    # Boxes of one level find each other twice, and two boxes may share several cells.
+    cond = cond & ((F.col("a.own") < F.col("b.level")) | (F.col(f"a.{id_column}") < F.col(f"b.{id_column}")))
     for lo, g in (("x0", "gx"), ("y0", "gy")):
-        cond = cond & (F.floor(F.greatest(f"a.{lo}", f"b.{lo}") / size) == F.col(f"a.{g}"))
-    return a.join(b, cond).select(*(F.col(f"a.{k}") for k in keys), F.col(f"a.{id_column}").alias("first"), F.col(f"b.{id_column}").alias("second"))
+        cond = cond & (_cell(F.greatest(f"a.{lo}", f"b.{lo}"), size, F.col("b.level")) == F.col(f"a.{g}"))
+    pair = [f(f"a.{id_column}", f"b.{id_column}") for f in (F.least, F.greatest)]
+    return a.join(homes, cond).select(*(F.col(f"a.{k}") for k in keys), pair[0].alias("first"), pair[1].alias("second"))
 
 
-def hits(points: DataFrame, boxes: DataFrame, keys: list[str], point_id: str, box_id: str, reach: float, size: float) -> DataFrame:
-    """For each point the first box (by ``ord``) that holds it, edges included, else the nearest centre within reach.
+def box_quad(x0="x0", y0="y0", x1="x1", y1="y1") -> Column:
+    """The corners of a box, clockwise from the top left."""
+    x0, y0, x1, y1 = map(F.col, (x0, y0, x1, y1))
+    return F.array(G.point(x0, y0), G.point(x1, y0), G.point(x1, y1), G.point(x0, y1))
 
-    Reach is the longer side of a box, ``reach`` at least. Points that hit
-    nothing have no row.
+
+def quad_hits(points: DataFrame, quads: DataFrame, keys: list[str], point_id: str, quad_id: str, reach: float, size: float) -> DataFrame:
+    """For each point (x, y) the first quad (by ``ord``) that holds it, edges included, else the nearest centre within reach.
+
+    Reach is the longer of the quad's first and last edge, ``reach`` at least.
+    Points that hit nothing have no row.
     """
-    far = F.greatest(F.lit(reach), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    b = boxes.withColumns({"far": far, "cx": cx, "cy": cy})
-    b = b.select(*keys, box_id, "ord", "far", "cx", "cy", F.struct("x0", "y0", "x1", "y1").alias("edges of box"), (cx - far).alias("x0"), (cy - far).alias("y0"), (cx + far).alias("x1"), (cy + far).alias("y1"))
-    b = on_grid(b, size).drop("x0", "y0", "x1", "y1")
-    p = points.withColumns({"gx": F.floor(F.col("x") / size), "gy": F.floor(F.col("y") / size)})
-    joined = p.join(b, [*keys, "gx", "gy"])
-    inside = F.col("x").between(F.col("`edges of box`.x0"), F.col("`edges of box`.x1")) & F.col("y").between(F.col("`edges of box`.y0"), F.col("`edges of box`.y1"))
+    q = F.col("quad")
+    far = F.greatest(F.lit(reach), G.distance(q[0], q[1]), G.distance(q[0], q[3]))
+    b = quads.select(*keys, quad_id, "ord", "quad", far.alias("far"), ((q[0]["x"] + q[2]["x"]) / 2).alias("cx"), ((q[0]["y"] + q[2]["y"]) / 2).alias("cy"))
+    # A convex quad may reach beyond a circle about its centre, so both are covered.
+    ends = lambda c, mid: [F.least(F.array_min(F.transform("quad", lambda p: p[c])), F.col(mid) - F.col("far")), F.greatest(F.array_max(F.transform("quad", lambda p: p[c])), F.col(mid) + F.col("far"))]
+    (x0, x1), (y0, y1) = ends("x", "cx"), ends("y", "cy")
+    levelled, top = _with_level(b.withColumns({"x0": x0, "x1": x1, "y0": y0, "y1": y1}), size)
+    cells = _in_cells(levelled, size).drop("x0", "y0", "x1", "y1")
+    p = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    p = p.withColumns({"gx": _cell("x", size, F.col("level")), "gy": _cell("y", size, F.col("level"))})
+    joined = p.join(cells, [*keys, "level", "gx", "gy"])
     away = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
-    joined = joined.withColumns({"inside": inside, "away": F.when(inside, 0.0).otherwise(away)}).where(F.col("inside") | (away <= F.col("far")))
-    by = Window.partitionBy(point_id).orderBy(F.col("inside").desc(), "away", "ord")
-    return joined.withColumn("place", F.row_number().over(by)).where("place = 1").select(*keys, point_id, box_id, "inside")
+    joined = joined.withColumn("inside", G.inside_quad(q, F.col("x"), F.col("y"))).where(F.col("inside") | (away <= F.col("far")))
+    best = joined.groupBy(*keys, point_id).agg(F.min_by(F.struct(quad_id, "inside"), F.struct(~F.col("inside"), F.when(F.col("inside"), 0.0).otherwise(away), "ord")).alias("hit"))
+    return best.select(*keys, point_id, f"hit.{quad_id}", "hit.inside")
+
+
+def hits(points: DataFrame, boxes: DataFrame, keys: list[str], point_id: str, box_id: str, reach: float, size: float) -> DataFrame:
+    """The same for boxes (x0, y0, x1, y1)."""
+    return quad_hits(points, boxes.withColumn("quad", box_quad()), keys, point_id, box_id, reach, size)

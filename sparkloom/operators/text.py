@@ -1,13 +1,18 @@
-"""Runs, lexicons, longest-match segmentation and lookup."""
+"""Runs, lexicons, longest-match segmentation, lookup and annotation."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 
 LONGEST_WORD = 8
+#: Lexicons of up to so many words are broadcast; larger ones are joined by a shuffle.
+BROADCAST_WORDS = 500_000
 
 
 def runs(docs: DataFrame, text: str, chars: str = T.CJK, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -16,33 +21,119 @@ def runs(docs: DataFrame, text: str, chars: str = T.CJK, keep: tuple[str, ...] =
     return out.withColumn("in_class", T.has_class("run", chars))
 
 
-def segment(words: DataFrame, lexicon: DataFrame, longest: int = LONGEST_WORD) -> DataFrame:
-    """Forward longest match of the distinct ``run``: start, end (exclusive) and word of each segment.
+def _spans_by_broadcast(words: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
+    known = words.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in lexicon.collect()))
 
-    Candidates of two characters and more are looked up by a join, which keeps
-    the longest for each start; the fold over a run then only steps through its
-    own starts. A character without a match is a segment of its own.
-    """
+    @F.pandas_udf("array<int>")
+    def cuts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            rows = []
+            for run in batch:
+                at, ends = 0, []
+                while at < len(run):
+                    end = next((e for e in range(min(len(run), at + longest), at + 1, -1) if run[at:e] in known.value), at + 1)
+                    ends.append(end)
+                    at = end
+                rows.append(ends)
+            yield pd.Series(rows)
+
+    return words.select("run", cuts("run").alias("ends"))
+
+
+def _spans_by_join(words: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
+    """Candidates of two characters and more are looked up by a join that keeps the longest for each start."""
     n = F.length("run")
     starts = words.select("run", F.explode(F.sequence(F.lit(1), n)).alias("at")).where(F.col("at") < n)
-    sizes = F.sequence(F.lit(2), F.least(F.lit(longest), n - F.col("at") + 1))
-    candidates = starts.select("run", "at", F.explode(sizes).alias("size"))
+    candidates = starts.select("run", "at", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), n - F.col("at") + 1))).alias("size"))
     candidates = candidates.withColumn("word", F.expr("substring(run, at, size)"))
-    found = candidates.join(lexicon.select("word").distinct(), "word", "left_semi").groupBy("run", "at").agg(F.max("size").alias("size"))
-    steps = found.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("at", "size"))).alias("steps"))
-    joined = words.select("run").distinct().join(steps, "run", "left")
-    size = lambda at: F.coalesce(F.try_element_at("steps", at), F.lit(1))
-    state = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("cuts"))
-    step = lambda s, at: F.when(at < s["next"], s).otherwise(F.struct((at + size(at)).alias("next"), F.array_append(s["cuts"], at).alias("cuts")))
-    cuts = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), state, step)["cuts"])
-    out = joined.select("run", F.explode(F.transform(cuts, lambda at: F.struct((at - 1).alias("start"), (at - 1 + size(at)).alias("end")))).alias("s")).select("run", "s.*")
-    return out.withColumn("word", F.expr("substring(run, start + 1, end - start)"))
+    found = candidates.join(lexicon, "word", "left_semi").groupBy("run", "at").agg(F.max("size").alias("size"))
+    steps = found.groupBy("run").agg(F.collect_list(F.struct("at", "size")).alias("steps"))
+
+    @F.pandas_udf("array<int>")
+    def cuts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for sizes, steps_ in batches:
+            rows = []
+            for size, own in zip(sizes, steps_):
+                jump = {} if own is None else {x["at"] - 1: x["size"] for x in own}
+                at, ends = 0, []
+                while at < size:
+                    at += jump.get(at, 1)
+                    ends.append(at)
+                rows.append(ends)
+            yield pd.Series(rows)
+
+    return words.join(steps, "run", "left").select("run", cuts(n, "steps").alias("ends"))
+
+
+def segment(words: DataFrame, lexicon: DataFrame, longest: int = LONGEST_WORD) -> DataFrame:
+    """Forward longest match of the distinct ``run``: start, end (exclusive) and word of each segment.
+
+    A character without a match is a segment of its own. Time is linear in a
+    run's length. Null runs have no segments.
+    """
+    words = words.select("run").where("run is not null").distinct()
+    lexicon = lexicon.select("word").where(F.length("word").between(2, longest)).distinct()
+    small = lexicon.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    found = (_spans_by_broadcast if small else _spans_by_join)(words, lexicon, longest)
+    spans = found.select("run", F.posexplode("ends").alias("k", "end"), "ends")
+    spans = spans.select("run", F.when(F.col("k") == 0, 0).otherwise(F.get("ends", F.col("k") - 1)).alias("start"), "end")
+    return spans.withColumn("word", F.expr("substring(run, start + 1, end - start)"))
+
+
+def lookup_taps(taps: DataFrame, lexicon: DataFrame, tap: str = "tap", longest: int = LONGEST_WORD) -> DataFrame:
+    """The word under each tap (tap, run, index, readings of the run's characters) with its entries.
+
+    ``entries`` (pinyin, glosses) come by how well their reading fits, then in
+    file order (``ord``); none for a word that the lexicon (word, ord, pinyin,
+    glosses) doesn't have. An index outside the run gives nulls and an ``error``.
+    """
+    spans = segment(taps, lexicon, longest)
+    under = (taps["run"] == spans["run"]) & (taps["index"] >= spans["start"]) & (taps["index"] < spans["end"])
+    reading = T.without_blank(F.array_join(F.slice("readings", F.col("start") + 1, F.col("end") - F.col("start")), ""))
+    found = taps.join(spans, under, "left").select(tap, "word", "start", "end", reading.alias("reading"))
+    fits = fit_of(F.col("pinyin"), F.col("reading"))
+    entry = F.struct(fits.alias("fit"), F.col("ord"), F.col("pinyin"), F.col("glosses"))
+    joined = found.join(lexicon.select("word", "ord", "pinyin", "glosses"), "word", "left")
+    grouped = joined.groupBy(tap, "word", "start", "end").agg(F.array_sort(F.collect_list(F.when(F.col("ord").isNotNull(), entry))).alias("entries"))
+    shown = F.when(F.col("word").isNotNull(), F.transform("entries", lambda e: F.struct(e["pinyin"], e["glosses"])))
+    return grouped.select(tap, "word", "start", "end", shown.alias("entries"), F.when(F.col("word").isNull(), "no character there").alias("error"))
+
+
+def first_readings(runs_: DataFrame, lexicon: DataFrame, longest: int = LONGEST_WORD) -> DataFrame:
+    """A reading for each character of the distinct ``run``: from the first entry of its word, the character itself where none has one for each."""
+    first = lexicon.groupBy("word").agg(F.min_by("pinyin", "ord").alias("pinyin"))
+    spans = segment(runs_, lexicon, longest).join(first, "word", "left")
+    letters, parts = F.split("word", ""), F.split(T.strip_blank(F.col("pinyin")), f"{T.BLANK}+")
+    own = F.when(F.size(parts) == F.length("word"), parts).otherwise(F.slice(letters, 1, F.length("word")))
+    listed = spans.select("run", "start", own.alias("own")).groupBy("run").agg(F.array_sort(F.collect_list(F.struct("start", "own"))).alias("all"))
+    return listed.select("run", F.flatten(F.transform("all", lambda x: x["own"])).alias("readings"))
+
+
+def annotate_lines(lines: DataFrame, readings: DataFrame, keys: list[str], chars: str = T.CJK) -> DataFrame:
+    """Lines with a character of the class, their runs as ``tokens``: text, in_class and for each character ch and reading.
+
+    ``readings`` (run, readings) is an input, so that any source of readings
+    serves; a reading that only repeats its character is none.
+    """
+    kept = lines.where(T.has_class("text", chars))
+    parts = runs(kept, "text", chars, tuple(keys))
+    joined = parts.join(readings, (F.col("in_class")) & (parts["run"] == readings["run"]), "left").drop(readings["run"])
+    char = lambda c, k: F.struct(c.alias("ch"), F.when(F.col("in_class"), F.nullif(F.get("readings", k), c)).alias("reading"))
+    letters = F.transform(F.slice(F.split("run", ""), F.lit(1), F.length("run")), char)
+    token = F.struct("run_no", F.col("run").alias("text"), "in_class", letters.alias("chars"))
+    tokens = joined.groupBy(*keys).agg(F.array_sort(F.collect_list(token)).alias("tokens"))
+    return kept.join(tokens.withColumn("tokens", F.transform("tokens", lambda t: t.dropFields("run_no"))), keys)
+
+
+def fit_of(reading, wanted):
+    """0 if two readings agree, 1 if they do but for case, else 2; white space doesn't count."""
+    reading, wanted = T.without_blank(reading), T.without_blank(wanted)
+    return F.when(reading == wanted, 0).when(F.lower(reading) == F.lower(wanted), 1).otherwise(2)
 
 
 def rank_entries(entries: DataFrame, word: str, reading: str, wanted: str, order: str) -> DataFrame:
     """Entries of each word by how well their reading fits: equal, equal without case, other; then in file order."""
-    bare = lambda c: T.without_blank(F.col(c))
-    fit = F.when(bare(reading) == bare(wanted), 0).when(F.lower(bare(reading)) == F.lower(bare(wanted)), 1).otherwise(2)
+    fit = fit_of(F.col(reading), F.col(wanted))
     at = Window.partitionBy(word, wanted).orderBy(fit, order)
     return entries.withColumn("fit", fit).withColumn("place", F.row_number().over(at))
 
@@ -56,36 +147,51 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     return rows.withColumns({"traditional": part(1), "simplified": part(2), "pinyin": T.mark_pinyin(part(3)), "glosses": F.split(part(4), "/")})
 
 
-def clean_gloss(gloss):
-    """A gloss as a reader should see it, empty if nothing is left."""
-    variant = "(old |archaic |Japanese |Taiwan )?variant of "
-    name = r"[^\s|\[\]/,;()]+"
-    kept = F.regexp_replace(gloss, rf"{T.BLANK}*\((CL:|{variant})[^)]*\)", "")
-    parts = F.regexp_extract_all(kept, F.lit(rf"(?:{name}\|)?{name}\[[^\]]+\]|\[[^\]]+\]|{name}\|{name}|[^\[|]|."), F.lit(0))
+#: Fixed values of the dictionary's format: what a word in a reference is made of, and notes that only point elsewhere.
+NAME = r"[^\s|\[\]/,;()]+"
+VARIANT = "(?:old |archaic |Japanese |Taiwan )?variant of "
 
-    def shown(p):
-        word, reading = F.regexp_extract(p, rf"^(?:{name}\|)?({name})\[", 1), T.mark_pinyin(F.regexp_extract(p, r"\[([^\]]+)\]$", 1))
-        return (
-            F.when(p.rlike(rf"^(?:{name}\|)?{name}\[[^\]]+\]$"), F.concat(word, F.lit(" ("), reading, F.lit(")")))
-            .when(p.rlike(r"^\[[^\]]+\]$"), F.concat(F.lit("["), reading, F.lit("]")))
-            .otherwise(F.regexp_replace(p, rf"^{name}\|({name})$", "$1"))
-        )
 
-    clean = T.strip_blank(F.array_join(F.transform(parts, shown), ""))
-    return F.when(gloss.rlike(rf"^{variant}|^see [^/]*\[|^CL:"), "").otherwise(clean)
+def _replaced(text, pattern: str, shown):
+    """The text with each match of the pattern shown otherwise; other pieces stay."""
+    pieces = F.split(text, pattern, -1)
+    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), shown)
+    both = F.zip_with(pieces, matches, lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
+    return F.array_join(both, "")
+
+
+def clean_gloss(gloss):
+    """A gloss as a reader should see it, empty if nothing is left.
+
+    In this order: asides go, references show their simplified word with its
+    reading, bare readings get tone marks, and of two forms the second stays.
+    """
+    kept = F.regexp_replace(gloss, rf"{T.BLANK}*\((CL:|{VARIANT})[^)]*\)", "")
+    reading = lambda m: T.mark_pinyin(F.regexp_extract(m, r"\[([^\]]+)\]$", 1))
+    named = _replaced(kept, rf"(?:{NAME}\|)?{NAME}\[[^\]]+\]", lambda m: F.concat(F.regexp_extract(m, rf"^(?:{NAME}\|)?({NAME})\[", 1), F.lit(" ("), reading(m), F.lit(")")))
+    marked = _replaced(named, r"\[[^\]]+\]", lambda m: F.concat(F.lit("["), reading(m), F.lit("]")))
+    clean = T.strip_blank(F.regexp_replace(marked, rf"{NAME}\|({NAME})", "$1"))
+    return F.when(gloss.rlike(rf"^{VARIANT}|^see [^/]*\[|^CL:"), "").otherwise(clean)
 
 
 def drop_covered(entries: DataFrame, keys: list[str], order: str, glosses: str) -> DataFrame:
-    """Entries whose glosses do not all appear in another entry of the group that has more, or as many and comes first."""
-    a, b = entries.alias("a"), entries.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    more, size = F.col(f"b.{glosses}"), lambda s: F.size(F.col(f"{s}.{glosses}"))
-    inside = (F.size(F.array_except(F.col(f"a.{glosses}"), more)) == 0) & ((size("b") > size("a")) | (F.col(f"b.{order}") < F.col(f"a.{order}")))
-    other = F.col(f"a.{order}") != F.col(f"b.{order}")
-    cond = inside & other
-    for s in same:
-        cond = cond & s
-    return a.join(b, cond, "left_anti")
+    """Entries whose glosses do not all appear in another entry of the group that has more, or as many and comes first.
+
+    Candidates are looked up by an entry's rarest gloss in its group, so they
+    grow with the copies of that gloss and not with the group.
+    """
+    each = entries.select(*keys, F.col(order).alias("own order"), F.col(glosses).alias("own glosses"), F.explode(glosses).alias("gloss")).distinct()
+    counts = each.groupBy(*keys, "gloss").agg(F.count("*").alias("copies"))
+    rarest = each.join(counts, [*keys, "gloss"]).groupBy(*keys, "own order", "own glosses").agg(F.min_by("gloss", F.struct("copies", "gloss")).alias("gloss"))
+    others = each.withColumnsRenamed({"own order": "other order", "own glosses": "other glosses"})
+    pairs = rarest.join(others, [*keys, "gloss"]).where("`own order` <> `other order`")
+    more, fewer = F.size(F.array_distinct("other glosses")), F.size(F.array_distinct("own glosses"))
+    inside = (F.size(F.array_except("own glosses", "other glosses")) == 0) & ((F.size("other glosses") > F.size("own glosses")) | (F.col("other order") < F.col("own order"))) & (more >= fewer)
+    covered = pairs.where(inside).select(*keys, F.col("own order").alias(order)).distinct()
+    # An entry without glosses is covered by any that has some, or by an earlier one.
+    group = entries.groupBy(*keys).agg(F.max(F.size(glosses)).alias("most"), F.min(order).alias("earliest"))
+    bare = entries.where(F.size(glosses) == 0).join(group, keys).where((F.col("most") > 0) | (F.col("earliest") < F.col(order))).select(*keys, order)
+    return entries.join(covered.unionByName(bare), [*keys, order], "left_anti").select(*entries.columns)
 
 
 def compact_dictionary(lines: DataFrame, line: str = "line", order: str = "line_no", most: int = 3) -> DataFrame:

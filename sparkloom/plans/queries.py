@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import geometry as G
 from sparkloom.functions import text as T
-from sparkloom.operators import assets, evaluation, layout, raster, sequence, spatial
+from sparkloom.operators import assets, evaluation, raster, sequence, spatial
 from sparkloom.operators import text as words
 from sparkloom.sources import files
 from sparkloom.storage import materialized
@@ -40,15 +40,15 @@ def _distinct_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prefix_lexicon(counted: DataFrame, least: int = 40) -> DataFrame:
-    """Prefixes of 2 to 4 letters of runs that are seen often."""
-    sizes = F.sequence(F.lit(2), F.least(F.lit(4), F.length("run")))
+    """Prefixes of 2 to 8 letters of runs that are seen often."""
+    sizes = F.sequence(F.lit(2), F.least(F.lit(8), F.length("run")))
     prefixes = counted.where(F.length("run") >= 2).select("n", F.explode(sizes).alias("size"), "run")
     return prefixes.groupBy(F.expr("substring(run, 1, size)").alias("word")).agg(F.sum("n").alias("seen")).where(F.col("seen") >= least)
 
 
 _RUNS = "runs AS (SELECT u.run AS run, count(*) AS n FROM documents, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS u(run) GROUP BY 1)"
-_LEXICON = "lexicon AS (SELECT substr(run, 1, s.size) AS word, sum(n) AS seen FROM runs, (VALUES (2), (3), (4)) AS s(size) WHERE s.size <= length(run) GROUP BY 1 HAVING sum(n) >= 40)"
-_SPANS = """found AS (SELECT run, p.pos AS pos, max(length(word)) AS size FROM runs, unnest(range(1, length(run) + 1)) AS p(pos), lexicon WHERE substr(run, p.pos, length(word)) = word GROUP BY 1, 2),
+_LEXICON = "lexicon AS (SELECT substr(run, 1, s.size) AS word, sum(n) AS seen FROM runs, range(2, 9) AS s(size) WHERE s.size <= length(run) GROUP BY 1 HAVING sum(n) >= 40)"
+_SPANS = """found AS (SELECT run, p.pos AS pos, max(s.size) AS size FROM runs, unnest(range(1, length(run) + 1)) AS p(pos), range(2, 9) AS s(size) WHERE p.pos + s.size <= length(run) + 1 AND substr(run, p.pos, s.size) IN (SELECT word FROM lexicon) GROUP BY 1, 2),
 spans(run, pos, size) AS (
   SELECT r.run, 1::BIGINT, coalesce(f.size, 1)::BIGINT FROM runs r LEFT JOIN found f ON f.run = r.run AND f.pos = 1
   UNION ALL
@@ -163,16 +163,6 @@ def grid_components(spark, sf_dir):
     return cells.groupBy("vec_id", "comp").agg(F.min("pix").alias("first_pix"), F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")).drop("comp")
 
 
-@query()
-def grid_boxes(spark, sf_dir):
-    """Scored and grown rectangles of those components."""
-    grids = _table(spark, sf_dir, "embeddings")
-    cells = raster.components(grids, "embedding", 8, 0.1, ("vec_id",))
-    every = grids.select("vec_id", F.posexplode("embedding").alias("pix", "value")).select("vec_id", (F.col("pix") % 8).alias("x"), F.floor(F.col("pix") / 8).alias("y"), "value")
-    found = raster.boxes(cells, every, ["vec_id"], 0.0, 1.5)
-    return found.select("vec_id", "comp", *(F.round(c, 6).alias(c) for c in ("cx", "cy", "half_u", "half_v", "mean")))
-
-
 @query(
     f"""WITH {_CELLS}, o AS (SELECT i::INT AS pix, least(greatest((i % 5 + 0.5) * 8 / 5 - 0.5, 0), 7)::DOUBLE AS x, least(greatest((i // 5 + 0.5) * 8 / 3 - 0.5, 0), 7)::DOUBLE AS y FROM unnest(range(0, 15)) AS t(i))
     SELECT c.vec_id, o.pix, round(sum(c.v * greatest(0, 1 - abs(o.x - c.x)) * greatest(0, 1 - abs(o.y - c.y))), 5) AS value FROM cells c, o GROUP BY 1, 2"""
@@ -354,18 +344,6 @@ def label_strips(spark, sf_dir):
     return fonts.select("p_partkey", F.round("font", 6).alias("font"), F.round(strip["x0"], 4).alias("x0"), F.round(strip["y1"], 4).alias("y1"))
 
 
-@query()
-def place_labels(spark, sf_dir):
-    """Labels of lines of one to three characters, the parts of a brand and size as the lines of an image."""
-    y = (F.col("p_partkey") * 37 % 2000).cast("double")
-    char = lambda k: F.struct(F.substring("p_name", k * 3 + 1, 3).alias("reading"), F.transform(F.array(*map(F.lit, (0, 0, 40, 0, 40, 40, 0, 40))), lambda v, i: v + F.when(i % 2 == 0, F.lit(40.0 * k)).otherwise(y)).alias("quad"))
-    lines = _table(spark, sf_dir, "part").select(
-        F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("image"), F.lit(2000.0).alias("width"), F.lit(2100.0).alias("height"), F.col("p_partkey").cast("int").alias("line_no"), F.lit(False).alias("vertical"),
-        F.slice(F.array(*(char(k) for k in range(3))), F.lit(1), (F.col("p_partkey") % 3 + 1).cast("int")).alias("chars"),
-    )
-    return layout.place_labels(lines, "image")
-
-
 @query("SELECT c.user_id, c.event_id, c.ts, (SELECT min(v.ts) FROM events v WHERE v.event_type = 'view' AND v.user_id = c.user_id AND v.ts >= c.ts) AS frame_ts FROM events c WHERE c.event_type = 'click'")
 def frames_after(spark, sf_dir):
     """Clicks with the user's first view at or after them."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Fixed values of the formats: the metadata entries of a model message, key and value of an entry.
 METADATA, KEY, VALUE = 14, 1, 2
@@ -70,3 +72,63 @@ def yaml_character_list(text: str) -> list[str]:
     if not isinstance(found, list):
         raise ValueError("no PostProcess.character_dict list")
     return [str(x) for x in found]
+
+
+def read_character_lists(files: DataFrame, readers: DataFrame) -> DataFrame:
+    """The characters of model files (id, content): ``readers`` (id, source, count) says whether ``metadata`` or ``yaml`` holds them and how many there must be.
+
+    ``error`` tells why a list is missing or has another number of characters.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, content, source, count in zip(*(c.to_pylist() for c in batch.columns)):
+                found, error = None, None
+                try:
+                    if source == "metadata":
+                        found = character_list(model_metadata(content)["character"])
+                    elif source == "yaml":
+                        found = yaml_character_list(content.decode())
+                    else:
+                        error = f"unknown source {source}"
+                    if found is not None and count is not None and len(found) != count:
+                        error, found = f"{len(found)} characters instead of {count}", None
+                except (KeyError, ValueError, IndexError) as problem:
+                    error = str(problem)
+                rows.append((name, found, error))
+            kinds = (pa.string(), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], ["id", "characters", "error"])
+
+    joined = files.select("id", "content").join(readers, "id").select(F.col("id").cast("string"), "content", "source", "count")
+    return joined.mapInArrow(run, "id string, characters array<string>, error string")
+
+
+def load_models(spark: SparkSession, path: str, catalogue: DataFrame) -> DataFrame:
+    """The catalogue's models (file, and any parameters) with their bytes; ``missing`` where there is no such file under ``path``."""
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    return catalogue.join(files, "file", "left").withColumn("missing", F.col("content").isNull())
+
+
+def fetch_verified(wanted: DataFrame, fetch: Callable[[str], bytes], attempts: int = 3) -> DataFrame:
+    """Each wanted (url, sha256) with its content, tried up to ``attempts`` times until the hash is right; else with the last ``error``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for url, digest in zip(*(c.to_pylist() for c in batch.columns)):
+                content, error, tried = None, None, 0
+                while content is None and tried < attempts:
+                    tried += 1
+                    try:
+                        got = fetch(url)
+                    except OSError as problem:
+                        error = str(problem)
+                        continue
+                    if hashlib.sha256(got).hexdigest() == digest:
+                        content, error = got, None
+                    else:
+                        error = "another hash"
+                kinds = (pa.string(), pa.binary(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((url, content, tried, error), kinds)], ["url", "content", "tried", "error"])
+
+    return wanted.select("url", "sha256").mapInArrow(run, "url string, content binary, tried int, error string")

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint in the folder that the cluster names; only where none is named (tests) in a temporary one."""
+    """``df`` as a reliable checkpoint in the folder that the cluster names; only on one machine (tests), where none is named, in a temporary one."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
     return df.checkpoint()

@@ -2,7 +2,7 @@ import corpus_pipeline
 import public_tokenizers
 import tiktoken
 
-from sparkloom.llm import bpe_fst, quality, simhash
+from sparkloom.llm import bpe_fst, quality
 from sparkloom.llm.common import documents
 
 
@@ -27,11 +27,13 @@ def test_pipeline(spark, sf_dir):
         return n >= 50 and 100 * repeats <= 50 * n and not quality.out_of_band(len(b), *quality.ratios(b, bands, packer), bands)
 
     assert sorted(r.doc_id for r in good) == sorted(r.doc_id for r in start if passes(r.text))
-    marks = {r.doc_id: simhash.fingerprint(r.text.encode()) for r in good}
-    group = {i: i for i in marks}
-    for i in sorted(marks):
-        for j in sorted(marks):
-            if i < j and (marks[i] ^ marks[j]).bit_count() <= 3:
+    # Near copies: five-word shingles with a similarity of 0.8 or more.
+    words_of = {r.doc_id: r.text.lower().split() for r in good}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words_of.items()}
+    group = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 old, new = max(group[i], group[j]), min(group[i], group[j])
                 group = {k: new if g == old else g for k, g in group.items()}
     assert sorted(r.doc_id for r in single) == sorted(set(group.values()))
@@ -45,3 +47,21 @@ def test_pipeline(spark, sf_dir):
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     assert sorted((r.doc_id, list(r.ids)) for r in final) == sorted((r.doc_id, encoding.encode_ordinary(r.text)) for r in mixed)
     assert all(r.round_trip for r in final)
+
+
+CLASHING = ["hash", "node", "bands", "kept 0", "row", "base", "spans", "times", "shard", "mark", "copy", "first", "body of the row", "n_chars"]
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    long_ = " ".join(f"word{k * 7919 % 100003}" for k in range(3000))
+    clean = " ".join(f"some{k * 31 % 977} plain words" for k in range(60))
+    rows = [(1, None, "a"), (2, "", None), (3, long_, "a"), (None, clean, None), (3, long_, "a"), (5, clean + " mail me at a@b.org", "b"), (6, "one", "b")]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{c}` {'long' if c == 'n_chars' else 'string'}" for c in CLASHING)
+    docs = spark.createDataFrame([(*r, *([c if c != "n_chars" else 1 for c in CLASHING])) for r in rows], schema).repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), sf_dir)
+        found = stage(spark, docs, sf_dir)
+        if name != "encoding":
+            assert found.columns == docs.columns and empty.columns == docs.columns
+            assert all(r[c] == c for r in found.collect() for c in CLASHING if c != "n_chars")
+        assert empty.count() == 0 and found.count() > 0
