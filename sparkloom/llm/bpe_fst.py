@@ -13,8 +13,10 @@ needed and then looked up.
 Decoding is a stream too: token bytes go through an incremental UTF-8 state
 machine that holds back an unfinished character until its last byte arrives.
 
-Nulls count as empty and give no tokens. Repeated rows give equal results.
-Very long words run through the transducer like any other, in linear time.
+Nulls count as empty and give no tokens. Repeated rows give equal results; an
+empty table gives no rows. Very long words run through the transducer like any
+other, in linear time, and its tables stay bounded while they do. Only the text
+and the id are read, whatever else the table has.
 """
 
 from __future__ import annotations
@@ -34,8 +36,10 @@ from sparkloom.llm.common import map_batches, utf8
 
 #: Entries that a worker keeps at most.
 CACHE_CHUNKS, CACHE_PIECES = 400_000, 200_000
-#: States and checked pairs kept at most; beyond that the tables start anew.
-MOST_STATES, MOST_PAIRS = 150_000, 300_000
+#: Rows that are given back at once.
+ROWS_OUT = 256
+#: States, transitions and checked pairs kept at most; beyond that the tables start anew, also in the middle of a piece.
+MOST_STATES, MOST_STEPS, MOST_PAIRS = 150_000, 600_000, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -63,7 +67,7 @@ class MergeTransducer:
 
     def __init__(self, ranks: dict[bytes, int], scale: float = 1.0):
         self.ranks = ranks
-        self.most_states, self.most_pairs = int(MOST_STATES * scale), int(MOST_PAIRS * scale)
+        self.most_states, self.most_steps, self.most_pairs = int(MOST_STATES * scale), int(MOST_STEPS * scale), int(MOST_PAIRS * scale)
         self.text = {rank: token for token, rank in ranks.items()}
         self.size = {rank: len(token) for token, rank in ranks.items()}
         self.open = {token[:n] for token in ranks for n in range(1, len(token))}
@@ -98,21 +102,28 @@ class MergeTransducer:
                 ended = token
             if longer in self.open:
                 live.append((longer, last))
-        key = (*live, (b"", ended))
+        self.steps[at] = made = (self.numbered((*live, (b"", ended))) << 8, ended, not live)
+        return made
+
+    def numbered(self, key: tuple) -> int:
         state = self.ids.setdefault(key, len(self.states))
         if state == len(self.states):
             self.states.append(key)
-        self.steps[at] = made = (state << 8, ended, not live)
-        return made
+        return state
 
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self.states) >= self.most_states:
-            self.reset()
         find, state, ends, tokens = self.steps.get, 0, [], []
         for byte in piece:
-            state, token, settled = find(state | byte) or self.follow(state | byte)
+            step = find(state | byte)
+            if step is None:
+                if len(self.states) >= self.most_states or len(self.steps) >= self.most_steps:
+                    held = self.states[state >> 8]
+                    self.reset()
+                    find, state = self.steps.get, self.numbered(held) << 8
+                step = self.follow(state | byte)
+            state, token, settled = step
             ends.append(token)
             if settled and len(ends) >= 64:
                 tokens += self.settle(ends)
@@ -246,25 +257,27 @@ DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip b
 def encoding_digests(docs: DataFrame, path: str, pattern: str, text: str = "text", id_column: str = "doc_id", with_ids: bool = False, cache_scale: float = 1.0) -> DataFrame:
     """The id and, for each row, digests of its ids and of what they decode to; the ids too if asked for."""
 
+    names = [id_column, *(x.split()[0] for x in DIGESTS.split(", ")), *(["ids"] if with_ids else [])]
+
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        codec, rows, tokens = worker_codec(path, pattern, cache_scale), [], []
-        for value in batch.column(1):
-            body = value.as_py()
-            ids = codec.encode(body)
-            decoded = hashlib.sha256()
-            for part in codec.decode(ids):
-                decoded.update(part.encode())
-            digest = decoded.hexdigest()
-            rows.append((len(ids), hashlib.sha256(codec.decimals(ids)).hexdigest(), digest, digest == hashlib.sha256(body).hexdigest()))
+        codec = worker_codec(path, pattern, cache_scale)
+        for at in range(0, batch.num_rows, ROWS_OUT):  # so that few rows' ids are held at once
+            part, rows, tokens = batch.slice(at, ROWS_OUT), [], []
+            for value in part.column(1):
+                body = value.as_py()
+                ids = codec.encode(body)
+                decoded = hashlib.sha256()
+                for piece in codec.decode(ids):
+                    decoded.update(piece.encode())
+                digest = decoded.hexdigest()
+                rows.append((len(ids), hashlib.sha256(codec.decimals(ids)).hexdigest(), digest, digest == hashlib.sha256(body).hexdigest()))
+                if with_ids:
+                    tokens.append(ids)
+            columns = [part.column(0), *map(pa.array, zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.bool_()))]
             if with_ids:
-                tokens.append(ids.astype(np.int32))
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
-        columns = [batch.column(0), *map(pa.array, zip(*rows), kinds)]
-        names = [id_column, *(x.split()[0] for x in DIGESTS.split(", "))]
-        if with_ids:
-            columns.append(pa.array(tokens, pa.list_(pa.int32())))
-            names.append("ids")
-        yield pa.RecordBatch.from_arrays(columns, names)
+                ends = np.cumsum([0, *map(len, tokens)])
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens).astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema[id_column].dataType.simpleString()
     return map_batches(docs.select(id_column, utf8(text)), run, f"`{id_column}` {kind}, {DIGESTS}" + ", ids array<int>" * with_ids)

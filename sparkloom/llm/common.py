@@ -21,8 +21,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that
-    is unset (tests on one machine) a temporary folder is made and set.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only on one
+    machine (tests) a temporary folder is made and set where that is unset.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
         held = context._jsc.sc().getCheckpointDir()
     return held.get()
@@ -52,6 +54,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, frame: DataFrame) -> None:
+    """Delete the files that ``frame``, as given by ``stored``, is read from; nothing may read it any more."""
+    root = shared_dir(spark).rstrip("/")
+    for name in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        if path.toUri().getPath().startswith(spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath() + "/"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema) -> DataFrame:
     """Apply ``fn`` to each Arrow batch; an executor that is lost only repeats its own tasks."""
 

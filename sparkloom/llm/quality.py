@@ -1,13 +1,18 @@
 """Quality rules with compression bands.
 
 A document is compressed with zstandard, once as a whole and once in fixed
-chunks that do not see each other. Repetitive text compresses too well and
-noise hardly at all, so each ratio must stay within a band. How well clean
-text compresses depends on its length (a short text has no history to refer
-to), therefore every band belongs to a length class.
-
-Nulls and empty texts have no words and fail the base rule. Repeated rows get
-equal results, one each. Other columns are not looked at.
+chunks that do not see each other, its end included. Repetitive text compresses
+too well and noise hardly at all, so each ratio must stay within a band. How
+well clean text compresses depends on its length (a short text has no history
+to refer to), therefore every band belongs to a length class, of documents and
+of chunks alike. A document goes if its own ratio is out of its band or if
+chunks out of theirs hold more than a set share of its bytes, so junk in part
+of a long text does not hide in the mean.
+
+Nulls and empty texts have no words and fail the base rule; they have no
+ratios. Very long texts are many chunks. Repeated rows get equal results, one
+each; there are no ties to break. An empty table gives no rows. Other columns
+are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,23 +37,23 @@ class Bands:
     """Limits of bytes / compressed bytes.
 
     ``edges`` are the lengths in bytes at which the next class begins;
-    ``lowest`` and ``highest`` hold the limits for whole documents, a value for
-    each class. Chunks all have the same length and so one band: the mean ratio
-    of a document's chunks must lie within ``chunk_lowest`` and
-    ``chunk_highest``. Documents shorter than ``least_bytes`` are not judged.
+    ``lowest`` and ``highest`` hold the limits of whole documents, a value for
+    each class, ``chunk_lowest`` and ``chunk_highest`` those of chunks.
+    ``most_outside`` is the largest share of a document's bytes in chunks that
+    are out of their band.
     """
 
     level: int = 3
     chunk_bytes: int = 2048
-    least_bytes: int = 128
-    edges: tuple[int, ...] = (256, 512, 1024, 2048, 4096, 16384)
-    lowest: tuple[float, ...] = (0.95, 1.15, 1.2, 1.3, 1.4, 1.5, 1.6)
-    highest: tuple[float, ...] = (2.0, 2.05, 2.1, 2.2, 2.32, 2.5, 2.7)
-    chunk_lowest: float = 1.3
-    chunk_highest: float = 2.2
+    edges: tuple[int, ...] = (64, 128, 256, 512, 1024, 2048, 4096, 16384)
+    lowest: tuple[float, ...] = (0.05, 0.75, 0.95, 1.15, 1.2, 1.3, 1.4, 1.5, 1.6)
+    highest: tuple[float, ...] = (1.6, 1.9, 2.0, 2.05, 2.1, 2.2, 2.32, 2.5, 2.7)
+    chunk_lowest: tuple[float, ...] = (0.05, 0.75, 0.95, 1.1, 1.15, 1.2, 1.3, 1.3, 1.3)
+    chunk_highest: tuple[float, ...] = (1.6, 1.9, 2.05, 2.1, 2.15, 2.25, 2.35, 2.35, 2.35)
+    most_outside: float = 0.04
 
 
-COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, zstd_ratio double, chunk_ratio double, base_failed boolean, band_failed boolean, kept boolean"
+COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, zstd_ratio double, outside_share double, base_failed boolean, band_failed boolean, kept boolean"
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -72,24 +77,27 @@ def base_figures(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
+def within(n_bytes: int, ratio: float, edges: tuple[int, ...], lowest: tuple[float, ...], highest: tuple[float, ...]) -> bool:
+    kind = bisect_right(edges, n_bytes)
+    return lowest[kind] <= ratio <= highest[kind]
+
+
 def ratios(text: bytes, bands: Bands, packer: zstandard.ZstdCompressor) -> tuple[float | None, float | None]:
-    """Of the whole text, and the mean over full chunks if there is one."""
+    """Of the whole text, and the share of its bytes in chunks out of their band; None for an empty text."""
     if not text:
         return None, None
-    whole = len(text) / len(packer.compress(text))
-    size = bands.chunk_bytes
-    starts = range(0, len(text) - size + 1, size)
-    packed = sum(len(packer.compress(text[at : at + size])) for at in starts)
-    return whole, len(starts) * size / packed if packed else None
+    whole, size, outside = len(text) / len(packer.compress(text)), bands.chunk_bytes, 0
+    for at in range(0, len(text), size):
+        chunk = text[at : at + size]
+        if not within(len(chunk), len(chunk) / len(packer.compress(chunk)), bands.edges, bands.chunk_lowest, bands.chunk_highest):
+            outside += len(chunk)
+    return whole, outside / len(text)
 
 
-def out_of_band(n_bytes: int, whole: float | None, chunk: float | None, bands: Bands) -> bool:
-    if whole is None or n_bytes < bands.least_bytes:
+def out_of_band(n_bytes: int, whole: float | None, outside: float | None, bands: Bands) -> bool:
+    if whole is None or outside is None:
         return False
-    kind = bisect_right(bands.edges, n_bytes)
-    if not bands.lowest[kind] <= whole <= bands.highest[kind]:
-        return True
-    return chunk is not None and not bands.chunk_lowest <= chunk <= bands.chunk_highest
+    return outside > bands.most_outside or not within(n_bytes, whole, bands.edges, bands.lowest, bands.highest)
 
 
 def verdicts(bodies: pa.Array, bands: Bands) -> list[pa.Array]:
@@ -99,10 +107,10 @@ def verdicts(bodies: pa.Array, bands: Bands) -> list[pa.Array]:
     for value in bodies:
         body = value.as_py()
         n, chars, symbols, lines, repeats = base_figures(body)
-        whole, chunk = ratios(body, bands, packer)
+        whole, outside = ratios(body, bands, packer)
         base = n < 50 or 100 * repeats > 50 * n
-        band = out_of_band(len(body), whole, chunk, bands)
-        rows.append((n, chars, symbols, lines, repeats, whole, chunk, base, band, not (base or band)))
+        band = out_of_band(len(body), whole, outside, bands)
+        rows.append((n, chars, symbols, lines, repeats, whole, outside, base, band, not (base or band)))
     kinds = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.bool_()] * 3
     return [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
 
