@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sparkloom.llm.common import map_batches, utf8
 
@@ -45,11 +46,11 @@ class Bands:
 
     level: int = 3
     chunk_bytes: int = 2048
-    edges: tuple[int, ...] = (64, 128, 256, 512, 1024, 2048, 4096, 16384)
-    lowest: tuple[float, ...] = (0.05, 0.75, 0.95, 1.15, 1.2, 1.3, 1.4, 1.5, 1.6)
-    highest: tuple[float, ...] = (1.6, 1.9, 2.0, 2.05, 2.1, 2.2, 2.32, 2.5, 2.7)
-    chunk_lowest: tuple[float, ...] = (0.05, 0.75, 0.95, 1.1, 1.15, 1.2, 1.3, 1.3, 1.3)
-    chunk_highest: tuple[float, ...] = (1.6, 1.9, 2.05, 2.1, 2.15, 2.25, 2.35, 2.35, 2.35)
+    edges: tuple[int, ...] = (64, 128, 256, 512, 1024, 2048, 4096, 16_384, 65_536, 524_288)
+    lowest: tuple[float, ...] = (0.05, 0.75, 0.95, 1.15, 1.3, 1.4, 1.5, 1.55, 1.6, 1.6, 1.6)
+    highest: tuple[float, ...] = (1.6, 1.9, 2.0, 2.05, 2.1, 2.2, 2.32, 2.5, 2.7, 3.1, 3.5)
+    chunk_lowest: tuple[float, ...] = (0.05, 0.75, 0.95, 1.15, 1.3, 1.4, 1.5, 1.5, 1.5, 1.5, 1.5)
+    chunk_highest: tuple[float, ...] = (1.6, 1.9, 2.05, 2.1, 2.15, 2.25, 2.35, 2.35, 2.35, 2.35, 2.35)
     most_outside: float = 0.04
 
 
@@ -131,6 +132,8 @@ def reject_low_quality(docs: DataFrame, text: str = "text", bands: Bands = Bands
 
     def passing(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         mask = verdicts(batch.column(batch.num_columns - 1), bands)[-1]
-        yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(mask)
+        yield pa.RecordBatch.from_arrays(batch.columns[:-1], docs_columns).filter(mask)
 
-    return map_batches(docs.select("*", utf8(text).alias("body of the row")), passing, docs.schema)
+    docs_columns = docs.columns
+    kept = [F.col(f"`{c}`").alias(f"kept {k}") for k, c in enumerate(docs_columns)]
+    return map_batches(docs.select(*kept, utf8(text).alias("body")), passing, docs.schema)

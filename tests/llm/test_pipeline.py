@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 import public_tokenizers
 import tiktoken
@@ -53,8 +55,10 @@ CLASHING = ["hash", "node", "bands", "kept 0", "row", "base", "spans", "times",
 
 
 def test_stages_on_odd_tables(spark, sf_dir):
-    long_ = " ".join(f"word{k * 7919 % 100003}" for k in range(3000))
-    clean = " ".join(f"some{k * 31 % 977} plain words" for k in range(60))
+    draw = random.Random(1)
+    vocabulary = ["".join(draw.choice("etaoinshrdlucmf") for _ in range(draw.randrange(2, 10))) for _ in range(4000)]
+    prose = lambda n: " ".join(draw.choice(vocabulary[: draw.choice((200, 4000))]) for _ in range(n))
+    long_, clean = prose(3000), prose(200)
     rows = [(1, None, "a"), (2, "", None), (3, long_, "a"), (None, clean, None), (3, long_, "a"), (5, clean + " mail me at a@b.org", "b"), (6, "one", "b")]
     schema = "doc_id long, text string, source string, " + ", ".join(f"`{c}` {'long' if c == 'n_chars' else 'string'}" for c in CLASHING)
     docs = spark.createDataFrame([(*r, *([c if c != "n_chars" else 1 for c in CLASHING])) for r in rows], schema).repartition(3)
