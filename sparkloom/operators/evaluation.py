@@ -12,10 +12,13 @@ def best_matches(labels: DataFrame, lines: DataFrame, keys: list[str], chars: st
     """For each label (keys, ord, label) the line (keys, line_no, text) of its fixture with the fewest edits.
 
     The first of equals wins. A line as far away as the label is long is no
-    match: its text stays empty and cer is 1. Labels must not be empty.
+    match: its text stays empty and cer is 1. Labels must not be empty. Edits are
+    only counted where a line does not hold the label as it stands.
     """
     clean = lines.select(*keys, "line_no", T.class_only(F.col("text"), chars).alias("text"))
-    pairs = labels.where(F.length("label") > 0).join(clean, keys, "left").withColumn("distance", T.substring_distance("label", "text"))
+    pairs = labels.where(F.length("label") > 0).join(clean, keys, "left")
+    inexact = T.substring_distance(F.when(~F.col("text").contains(F.col("label")), F.col("label")), F.col("text"))
+    pairs = pairs.withColumn("distance", F.when(F.col("text").contains(F.col("label")), 0).otherwise(inexact))
     near = F.col("distance") < F.length("label")
     best = pairs.groupBy(*keys, "ord", "label").agg(F.min(F.when(near, F.struct("distance", "line_no", "text"))).alias("best"))
     distance = F.coalesce("best.distance", F.length("label"))

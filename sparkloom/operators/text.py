@@ -125,6 +125,16 @@ def annotate_lines(lines: DataFrame, readings: DataFrame, keys: list[str], chars
     return kept.join(tokens.withColumn("tokens", F.transform("tokens", lambda t: t.dropFields("run_no"))), keys)
 
 
+def contained(labels: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """For each label (keys, ord, label) the first token (keys, token_no, text, readings) of its key that holds it, and the readings of its characters there."""
+    named = tokens.select(*(F.col(k).alias(f"own {k}") for k in keys), "token_no", "text", "readings")
+    same = [labels[k] == named[f"own {k}"] for k in keys]
+    pairs = labels.join(named, [*same, F.col("text").contains(F.col("label"))])
+    found = F.struct("token_no", F.slice("readings", F.instr("text", F.col("label")), F.length("label")).alias("readings"))
+    best = pairs.groupBy(*keys, "ord", "label").agg(F.min_by(found, "token_no").alias("first token"))
+    return best.select(*keys, "ord", "label", "first token.token_no", "first token.readings")
+
+
 def fit_of(reading, wanted):
     """0 if two readings agree, 1 if they do but for case, else 2; white space doesn't count."""
     reading, wanted = T.without_blank(reading), T.without_blank(wanted)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import geometry as G
@@ -63,6 +64,22 @@ def annotate_lines(spark, sf_dir):
     return tokens.select("conv_id", "turn", "token_no", F.col("t.text").alias("text"), F.col("t.in_class").alias("in_class"), shown.alias("readings"))
 
 
+@query(
+    """WITH t AS (SELECT conv_id, turn, role, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+') AS parts FROM conversations),
+    runs AS (SELECT conv_id, role, turn * 100000 + p.k - 1 AS token_no, parts[p.k] AS run FROM t, unnest(range(1, len(parts) + 1)) AS p(k) WHERE regexp_matches(parts[p.k], '^[A-Za-z]')),
+    labels AS (SELECT conv_id, run AS label, row_number() OVER (PARTITION BY conv_id ORDER BY run) AS ord FROM (SELECT DISTINCT conv_id, run FROM runs WHERE role = 'system' AND length(run) >= 3))
+    SELECT l.conv_id, ord, label, min(token_no) AS token_no, upper(label) AS readings FROM labels l JOIN runs r ON r.conv_id = l.conv_id AND r.role = 'user' AND contains(r.run, label) GROUP BY ALL"""
+)
+def contained_labels(spark, sf_dir):
+    """Words of a conversation's instructions inside words of its user turns: where each first stands."""
+    turns = _table(spark, sf_dir, "conversations")
+    runs = words.runs(turns, "text", LETTERS, ("conv_id", "role", "turn")).where("in_class")
+    tokens = runs.where("role = 'user'").select("conv_id", (F.col("turn") * 100000 + F.col("run_no")).alias("token_no"), F.col("run").alias("text"), F.transform(F.slice(F.split("run", ""), F.lit(1), F.length("run")), F.upper).alias("readings"))
+    labels = runs.where("role = 'system' and length(run) >= 3").select("conv_id", F.col("run").alias("label")).distinct()
+    labels = labels.withColumn("ord", F.row_number().over(Window.partitionBy("conv_id").orderBy("label")).cast("long"))
+    return words.contained(labels, tokens, ["conv_id"]).withColumn("readings", F.array_join("readings", ""))
+
+
 # Grids
 
 #: Components, the ends of their rows, the directions of their hulls in order, the least rectangle, its mean, and its quad.

@@ -111,13 +111,25 @@ def covered_entries(spark, sf_dir):
     return words.drop_covered(entries, ["word", "pinyin"], "ord", "g").select("word", "pinyin", "ord", F.array_join("g", "/").alias("glosses"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE parts AS (SELECT conv_id, turn, string_split_regex(text, '[.!?\n]') AS parts FROM conversations WHERE role = 'system'),
+    labels AS (SELECT conv_id, turn, p.k AS k, regexp_replace(parts[p.k], '[^A-Za-z]', '', 'g') AS label FROM parts, unnest(range(1, len(parts) + 1)) AS p(k) WHERE regexp_matches(parts[p.k], '[A-Za-z]')),
+    pairs AS (SELECT row_number() OVER () AS pid, l.*, regexp_replace(c.text, '[^A-Za-z]', '', 'g') AS line FROM labels l JOIN conversations c ON c.conv_id = l.conv_id AND c.role = 'user'),
+    dp(pid, i, j, v) AS (SELECT pid, 0::BIGINT, t.j, 0::BIGINT FROM pairs, unnest(range(0, length(line) + 1)) AS t(j) UNION ALL
+      SELECT pid, i, j, min(t - j) OVER (PARTITION BY pid ORDER BY j) + j FROM (SELECT d.pid, d.i + 1 AS i, d.j, CASE WHEN d.j = 0 THEN d.i + 1 ELSE least(d.v + 1, lag(d.v) OVER (PARTITION BY d.pid ORDER BY d.j) + CASE WHEN substr(label, d.i + 1, 1) = substr(line, d.j, 1) THEN 0 ELSE 1 END) END AS t
+        FROM dp d JOIN pairs p USING (pid) WHERE d.i < length(label))),
+    found AS (SELECT pid, min(v) AS distance FROM dp JOIN pairs USING (pid) WHERE i = length(label) GROUP BY pid),
+    best AS (SELECT l.conv_id, length(l.label) AS n, least(length(l.label), coalesce(min(distance), length(l.label))) AS distance FROM labels l LEFT JOIN pairs p USING (conv_id, turn, k) LEFT JOIN found USING (pid) GROUP BY l.conv_id, l.turn, l.k, l.label)
+    SELECT conv_id, count_if(distance = 0)::BIGINT AS exact, count(*) AS required, round(avg(distance / n), 6) AS mean_cer FROM best GROUP BY conv_id"""
+)
 def score_required(spark, sf_dir):
-    """Beginnings of assistant turns matched with the user turns of their conversation."""
+    """Sentences of the instructions of a conversation matched with its user turns."""
     turns = _table(spark, sf_dir, "conversations")
-    labels = turns.where("role = 'assistant'").select("conv_id", F.col("turn").alias("ord"), F.substring(T.class_only(F.col("text"), LETTERS), 1, 12).alias("label"))
+    sentences = turns.where("role = 'system'").select("conv_id", "turn", F.posexplode(F.split("text", "[.!?\n]")).alias("k", "sentence"))
+    labels = sentences.select("conv_id", F.struct("turn", "k").alias("ord"), T.class_only(F.col("sentence"), LETTERS).alias("label"))
     lines = turns.where("role = 'user'").select("conv_id", F.col("turn").alias("line_no"), "text")
-    return evaluation.summarize(evaluation.best_matches(labels, lines, ["conv_id"], LETTERS), ["conv_id"])
+    scores = evaluation.summarize(evaluation.best_matches(labels, lines, ["conv_id"], LETTERS), ["conv_id"])
+    return scores.withColumn("mean_cer", F.round("mean_cer", 6))
 
 
 _CONFIGS = """SELECT s_nationkey, l_suppkey AS ord, count(*) AS required, count_if(l_discount <= 0.09) AS exact, floor(sum(l_extendedprice))::DOUBLE AS total_ms, max(s_acctbal) AS download_mb
@@ -283,8 +295,8 @@ def dismissals(spark, sf_dir):
 
 @query("SELECT event_id, round(value - lag(value) OVER w, 6) AS difference, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS loaded FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def frame_deltas(spark, sf_dir):
-    moved = streams.deltas(_table(spark, sf_dir, "events"), "user_id", ["event_id"], "value")
-    return streams.running_total(moved, ["user_id"], ["event_id"], "value").select("event_id", F.round("difference", 6).alias("difference"), F.round("loaded", 4).alias("loaded"))
+    moved = streams.deltas(_table(spark, sf_dir, "events"), "user_id", ["event_id"], "value", 4096)
+    return streams.running_total(moved, ["user_id"], ["event_id"], "value", width=4096).select("event_id", F.round("difference", 6).alias("difference"), F.round("loaded", 4).alias("loaded"))
 
 
 @query(

@@ -60,7 +60,11 @@ def final_states(events: DataFrame, key: str, seq: str, kind: str) -> DataFrame:
 
 
 def streamed_states(events: DataFrame, key: str, seq: str, kind: str) -> DataFrame:
-    """The same over a stream: an updated row for each key with new events, in order within each trigger."""
+    """The same over a stream: an updated row for each key with new events.
+
+    Events are applied in order within a trigger; one that comes in a later
+    trigger is applied after those of earlier ones, whatever its ``seq``.
+    """
 
     def step(name, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         now = tuple(state.get) if state.exists else STATES[0]
@@ -91,15 +95,40 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
     return grouped.select(key, F.col("s.start").alias("start_ts"), F.col("s.end").alias("end_ts"), "n")
 
 
-def deltas(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """Each event with its difference to and ratio over the previous one of its key."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
-    return events.withColumns({"difference": F.col(value) - before, "ratio": F.when(before != 0, F.col(value) / before)})
-
-
-def running_total(events: DataFrame, keys: list[str], order: list[str], value: str, name: str = "loaded") -> DataFrame:
-    by = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn(name, F.sum(value).over(by))
+def deltas(events: DataFrame, key: str, order: list[str], value: str, width: int | None = None) -> DataFrame:
+    """Each event with its difference to and ratio over the previous one of its key.
+
+    With a ``width`` the first of ``order``, a number, is cut in stretches of
+    it, and what was last before a stretch comes from a table of stretches: no
+    task then holds all events of a key.
+    """
+    if width is None:
+        before = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
+        return events.withColumns({"difference": F.col(value) - before, "ratio": F.when(before != 0, F.col(value) / before)})
+    names = events.columns
+    cut = events.withColumn("stretch", F.floor(F.col(order[0]) / width))
+    last = cut.groupBy(key, "stretch").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("last"))
+    earlier = last.select(key, "stretch", F.lag("last").over(Window.partitionBy(key).orderBy("stretch")).alias("earlier"))
+    own = Window.partitionBy(key, "stretch").orderBy(*order)
+    joined = cut.join(earlier, [key, "stretch"])
+    before = F.when(F.row_number().over(own) == 1, F.col("earlier.v")).otherwise(F.lag(value).over(own))
+    rows = joined.withColumn("value before", before)
+    return rows.select(*names, (F.col(value) - F.col("value before")).alias("difference"), F.when(F.col("value before") != 0, F.col(value) / F.col("value before")).alias("ratio"))
+
+
+def running_total(events: DataFrame, keys: list[str], order: list[str], value: str, name: str = "loaded", width: int | None = None) -> DataFrame:
+    """Each event with the sum of its key up to it; ``width`` as in ``deltas``."""
+    upto = lambda by: by.rowsBetween(Window.unboundedPreceding, 0)
+    if width is None:
+        return events.withColumn(name, F.sum(value).over(upto(Window.partitionBy(*keys).orderBy(*order))))
+    names = events.columns
+    cut = events.withColumn("stretch", F.floor(F.col(order[0]) / width))
+    whole = cut.groupBy(*keys, "stretch").agg(F.sum(value).alias("sum"))
+    before = F.sum("sum").over(Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    joined = cut.join(whole.select(*keys, "stretch", before.alias("sum before")), [*keys, "stretch"])
+    own = F.sum(value).over(upto(Window.partitionBy(*keys, "stretch").orderBy(*order)))
+    # Null only where neither part has a value.
+    return joined.withColumn(name, F.when(F.col("sum before").isNull(), own).otherwise(F.col("sum before") + F.coalesce(own, F.lit(0)))).select(*names, name)
 
 
 def taps(moves: DataFrame, session: str, ts: str, x: str, y: str, most_px: float = 10.0, most_seconds: float = 0.3) -> DataFrame:

@@ -80,3 +80,12 @@ def test_swipes(spark):
     rows = [(1, 1, "down", 0.0), (1, 2, "up", 50.0), (2, 1, "down", 0.0), (2, 2, "cancel", 50.0), (2, 3, "up", 90.0), (3, 1, "down", 0.0), (3, 2, "up", 30.0)]
     found = E.swipes(spark.createDataFrame(rows, "p int, n int, kind string, y double"), ["p"], "n", "kind", "y").collect()
     assert [(r.p, r.fall) for r in found] == [(1, 50.0)]
+
+
+def test_stretches_give_the_same(spark):
+    draw = random.Random(7)
+    rows = [(draw.choice("aab"), k * 3, draw.choice([None, 0.0, float(draw.randrange(9))])) for k in range(120)]
+    events = spark.createDataFrame(rows, "k string, n long, v double")
+    plain = lambda df: sorted(map(tuple, df.collect()), key=lambda r: r[1])
+    assert plain(E.deltas(events, "k", ["n"], "v", 20)) == plain(E.deltas(events, "k", ["n"], "v"))
+    assert plain(E.running_total(events, ["k"], ["n"], "v", width=20)) == plain(E.running_total(events, ["k"], ["n"], "v"))

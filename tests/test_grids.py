@@ -8,18 +8,18 @@ from sparkloom.operators import assets, raster, sequence, spatial
 
 
 def test_components():
-    mask = np.array([[c == "#" for c in row] for row in ("##..#", ".#..#", "..#..", ".....", "#....")], float).reshape(-1)
-    found = raster.label_grid(mask, 5, 0.5)
-    assert [set(np.flatnonzero(found == k)) for k in (1, 2, 3)] == [{0, 1, 6, 12}, {4, 9}, {20}]
+    mask = np.array([[c == "#" for c in row] for row in ("#.##..", "##....", "....#.", "#..#..")], float).reshape(-1)
+    found = raster.label_grid(mask, 6, 0.5)
+    assert [set(np.flatnonzero(found == k)) for k in (1, 2, 3)] == [{0, 2, 3, 6, 7}, {16, 21}, {18}]
     spiral = np.zeros((9, 9))
     spiral[0, :] = spiral[:, 8] = spiral[8, :] = spiral[2:, 0] = spiral[2, :7] = 1
     assert raster.label_grid(spiral.reshape(-1), 9, 0.5).max() == 1
 
 
 def test_hull_and_rectangle():
-    assert raster.convex_hull(np.array([(0, 0), (2, 0), (4, 0), (4, 4), (0, 4), (2, 2)])).tolist() == [[0, 0], [4, 0], [4, 4], [0, 4]]
-    r = raster.least_rectangle(raster.convex_hull(np.array([(10, 20), (40, 20), (40, 30), (10, 30)])))
-    assert r[:2] == (25, 25) and sorted(r[6:]) == [5, 15]
+    assert raster.convex_hull(np.array([(1, 1), (3, 1), (6, 1), (6, 5), (1, 5), (3, 3)])).tolist() == [[1, 1], [6, 1], [6, 5], [1, 5]]
+    r = raster.least_rectangle(raster.convex_hull(np.array([(12, 8), (52, 8), (52, 20), (12, 20)])))
+    assert r[:2] == (32, 14) and sorted(r[6:]) == [6, 20]
     turn = math.radians(30)
     box = [(50 + x * math.cos(turn) - y * math.sin(turn), 50 + x * math.sin(turn) + y * math.cos(turn)) for x in (-10, 10) for y in (-2, 2)]
     r = raster.least_rectangle(raster.convex_hull(np.array(box)))
@@ -43,28 +43,28 @@ def test_box_of_a_block(spark):
 
 
 def test_resize_row(spark):
-    rows = raster.resize(spark.createDataFrame([([0.0, 100.0, 200.0, 250.0],)], "p array<double>"), "p", 4, 2, 1, ()).orderBy("pix").collect()
-    assert [r.value for r in rows] == [50, 225]
+    rows = raster.resize(spark.createDataFrame([([10.0, 30.0, 50.0, 90.0],)], "p array<double>"), "p", 4, 2, 1, ()).orderBy("pix").collect()
+    assert [r.value for r in rows] == [20, 70]
 
 
 def test_detector_sizes(spark):
-    sizes = spark.createDataFrame([(1479.0, 883.0), (1080.0, 1920.0), (400.0, 10.0)], "w double, h double").select(G.detector_size(F.col("w"), F.col("h"), 960).alias("s"))
-    assert [(r.s.width, r.s.height) for r in sizes.collect()] == [(960, 576), (544, 960), (960, 32)]
+    sizes = spark.createDataFrame([(1500.0, 900.0), (1000.0, 2000.0), (500.0, 8.0)], "w double, h double").select(G.detector_size(F.col("w"), F.col("h"), 960).alias("s"))
+    assert [(r.s.width, r.s.height) for r in sizes.collect()] == [(960, 576), (480, 960), (960, 32)]
 
 
 def test_grown_rect(spark):
-    assert spark.range(1).select(G.grown_by(F.lit(15.0), F.lit(5.0), F.lit(1.5))).first()[0] == 5.625
+    assert spark.range(1).select(G.grown_by(F.lit(12.0), F.lit(4.0), F.lit(2.0))).first()[0] == 6.0
 
 
 def test_views(spark):
     one = lambda c: tuple(spark.range(1).select(c.alias("v")).first().v)
     lit = lambda *v: [F.lit(float(x)) for x in v]
-    assert one(G.clamp_view(*lit(0.1, 50, 0), *lit(400, 800, 400, 200), F.lit(8.0))) == (1, 0, 300)
-    assert one(G.clamp_view(*lit(4, 100, -5000), *lit(400, 800, 400, 200), F.lit(8.0)))[:2] == (4, 0)
-    assert one(G.clamp_view(*lit(50, 0, 0), *lit(400, 800, 400, 200), F.lit(8.0)))[0] == 8
+    assert one(G.clamp_view(*lit(0.1, 50, 0), *lit(300, 600, 300, 150), F.lit(8.0))) == (1, 0, 225)
+    assert one(G.clamp_view(*lit(4, 100, -5000), *lit(300, 600, 300, 150), F.lit(8.0)))[:2] == (4, 0)
+    assert one(G.clamp_view(*lit(50, 0, 0), *lit(300, 600, 300, 150), F.lit(8.0)))[0] == 8
     s, tx, ty = one(G.zoom_at(*lit(1, 10, 20), F.lit(3.0), *lit(110, 220)))
     assert s == 3 and (110 - tx) / s == (110 - 10) / 1 and (220 - ty) / s == 220 - 20
-    assert one(G.visible_region(*lit(1, -250, -250), *lit(500, 500), *lit(1000, 1000))) == (250, 250, 500, 500)
+    assert one(G.visible_region(*lit(2, -300, -100), *lit(400, 400), *lit(500, 500))) == (150, 50, 200, 200)
 
 
 def decoded(spark, classes):
@@ -74,8 +74,8 @@ def decoded(spark, classes):
 
 
 def test_collapse(spark):
-    rows = decoded(spark, [1, 1, 0, 2, 0, 2, 4, 3]).orderBy("t0").collect()
-    assert [(r["class"], r.t0, r.t1) for r in rows] == [(1, 0, 1), (2, 3, 3), (2, 5, 5), (4, 6, 6), (3, 7, 7)]
+    rows = decoded(spark, [2, 2, 0, 1, 0, 1, 3, 4]).orderBy("t0").collect()
+    assert [(r["class"], r.t0, r.t1) for r in rows] == [(2, 0, 1), (1, 3, 3), (1, 5, 5), (3, 6, 6), (4, 7, 7)]
     assert decoded(spark, [0, 0, 0]).count() == 0
 
 

@@ -7,6 +7,7 @@ from sparkloom.operators import assets, evaluation
 from sparkloom.operators import text as words
 from sparkloom.sources import files
 
+#: Words and lines of a public dictionary in its own format, whose results are given by that format.
 LEXICON = [("可口", "kě kǒu", "tasty; to taste good"), ("阿公", "ā gōng", "(old) grandfather"), ("面", "miàn", "face/side/surface"), ("面", "miàn", "flour/noodles"), ("行", "háng", "row; line"), ("行", "xíng", "to walk; to go"), ("银行", "yín háng", "bank"), ("口", "kǒu", "mouth"), ("鱼", "Yú", "surname Yu"), ("鱼", "yú", "fish")]
 
 
@@ -46,11 +47,12 @@ def test_ranked_entries(spark):
     assert by("行") == ["to walk; to go", "row; line"] and by("鱼") == ["fish", "surname Yu"] and by("面")[0].startswith("face")
 
 
+#: Fixed values, as above.
 LINES = [
-    "可口 可口 [ke3 kou3] /tasty; to taste good/", "#! version=1", "", "麵 面 [mian4] /flour/noodles/(of food) soft (not crunchy)/(of a person) slow; sluggish/", "麪 面 [mian4] /variant of 麵|面[mian4]/",
+    "可口 可口 [ke3 kou3] /tasty; to taste good/", "#! version=1", "", "紙 纸 [zhi3] /paper/sheet/(of plans) theory (not practice)/(of shops) invoice/", "帋 纸 [zhi3] /variant of 紙|纸[zhi3]/",
     "行 行 [xing2] /to walk; to go/see also 行[hang2]/", "書 书 [shu1] /book/abbr. for 書經|书经[Shu1 jing1]/", "卡 卡 [ka3] /to block/also pr. [qia3]/", "一模一樣 一模一样 [yi1 mu2 yi1 yang4] /exactly alike/also pr. [yi1mo2-yi1yang4]/",
-    "七夕 七夕 [Qi1 xi1] /the night when 牛郎織女|牛郎织女 meet/", "飯 饭 [fan4] /cooked rice/CL:碗[wan3]/meal/", "魚 鱼 [yu2] /fish (CL:條|条[tiao2],尾[wei3])/", "才 才 [cai2] /ability; talent/sb of a certain type/a capable individual/then and only then/just now/",
-    "纔 才 [cai2] /(variant of 才[cai2]) just now/", "荳 豆 [dou4] /bean/", "豆 豆 [dou4] /bean/legume/",
+    "七夕 七夕 [Qi1 xi1] /the night when 牛郎織女|牛郎织女 meet/", "飯 饭 [fan4] /cooked rice/CL:碗[wan3]/meal/", "魚 鱼 [yu2] /fish (CL:條|条[tiao2],尾[wei3])/", "燈 灯 [deng1] /lamp/light/lantern/burner/",
+    "鐙 灯 [deng1] /(variant of 灯[deng1]) burner/", "荳 豆 [dou4] /bean/", "豆 豆 [dou4] /bean/legume/",
 ]
 
 
@@ -60,8 +62,8 @@ def test_compact_dictionary(spark, tmp_path):
     back = files.read_dictionary(spark, str(tmp_path / "out")).collect()
     lines = sorted("\t".join([r.word, r.pinyin, "/".join(r.glosses)]) for r in back)
     assert lines == sorted(
-        ["可口\tkě kǒu\ttasty; to taste good", "面\tmiàn\tflour/noodles/(of food) soft (not crunchy)", "行\txíng\tto walk; to go", "书\tshū\tbook/abbr. for 书经 (Shū jīng)", "卡\tkǎ\tto block/also pr. [qiǎ]", "一模一样\tyī mú yī yàng\texactly alike/also pr. [yīmó-yīyàng]",
-         "七夕\tQī xī\tthe night when 牛郎织女 meet", "饭\tfàn\tcooked rice/meal", "鱼\tyú\tfish", "才\tcái\tability; talent/sb of a certain type/a capable individual", "才\tcái\tjust now", "豆\tdòu\tbean/legume"]
+        ["可口\tkě kǒu\ttasty; to taste good", "纸\tzhǐ\tpaper/sheet/(of plans) theory (not practice)", "行\txíng\tto walk; to go", "书\tshū\tbook/abbr. for 书经 (Shū jīng)", "卡\tkǎ\tto block/also pr. [qiǎ]", "一模一样\tyī mú yī yàng\texactly alike/also pr. [yīmó-yīyàng]",
+         "七夕\tQī xī\tthe night when 牛郎织女 meet", "饭\tfàn\tcooked rice/meal", "鱼\tyú\tfish", "灯\tdēng\tlamp/light/lantern", "灯\tdēng\tburner", "豆\tdòu\tbean/legume"]
     )
 
 
