@@ -11,8 +11,11 @@ their CRC, checks continuity counters, reassembles elementary packets and keeps
 their time stamps and random-access points. Lost, damaged, repeated or
 scrambled packets are counted, not fatal.
 
-A null payload gives a null stream; an empty text is padded to 64 zero bytes.
-Equal payloads give equal streams, whatever the other columns hold.
+A null payload gives a null stream; an empty or null text is padded to 64 zero
+bytes. A very long text is a stream of many units. Repeated rows give equal
+streams, one each; an empty table gives no rows. Equal payloads give equal
+streams, whatever the other columns hold and are called: only those asked for
+are read. What is less than a packet at the end of a stream counts as damaged.
 """
 
 from __future__ import annotations
@@ -169,6 +172,8 @@ class Demuxer:
                 continue
             self.packet(data[at : at + PACKET])
             at += PACKET
+        if 0 <= at < len(data):  # less than a packet at the end
+            self.out.damaged += 1
         for pid in list(self.open):
             self.close(pid)
         return self.out

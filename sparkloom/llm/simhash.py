@@ -14,7 +14,9 @@ Copies with equal fingerprints are one node: links exist between different
 fingerprints only, and groups are found by large-star and small-star rounds
 whose tables are checkpointed in the shared folder.
 
-Null and empty texts have fingerprint zero, which links like any other.
+Null and empty texts have fingerprint zero, which links like any other. Long
+texts are fingerprinted whole, some shingles at a time. An empty table gives no
+rows; only the id and the text are read, whatever else the table has.
 Rows without an id take part; their group is named by the smallest id in it,
 null if it has none. Repeated rows and ids each keep a row.
 """

@@ -84,6 +84,8 @@ def test_transport_stream_damage():
     assert b"".join(u.data for u in repeated.units) == payload
     shifted = media_ts.demux(b"junk" + stream)
     assert shifted.damaged >= 1 and b"".join(u.data for u in shifted.units) == payload
+    cut = media_ts.demux(stream[:-50])
+    assert cut.damaged == 1 and media_ts.demux(stream).damaged == 0
     broken = bytearray(stream)
     broken[10] ^= 1
     assert media_ts.demux(bytes(broken)).bad_tables == 1
@@ -131,7 +133,17 @@ def test_caches_are_bounded(monkeypatch):
     for k in range(200):
         text = f"some{k} words{k * k} again and again"
         assert codec.encode(text.encode()).tolist() == encoding.encode_ordinary(text)
-    assert len(codec.later.held) <= 60 and len(codec.transducer.states) < 200
+    assert len(codec.later.held) <= 60 and len(codec.transducer.states) <= 50
+
+
+def test_tables_stay_bounded_inside_a_piece(monkeypatch):
+    monkeypatch.setattr(bpe_fst, "MOST_STATES", 300)
+    monkeypatch.setattr(bpe_fst, "MOST_STEPS", 900)
+    draw = random.Random(9)
+    text = "".join(draw.choice("etaoinshrdlu") for _ in range(20_000))
+    codec = bpe_fst.Codec(TIKTOKEN, public_tokenizers.PATTERN)
+    assert codec.encode(text.encode()).tolist() == reference_encoding().encode_ordinary(text)
+    assert len(codec.transducer.states) <= 300 and len(codec.transducer.steps) <= 900
 
 
 def test_utf8_machine_in_any_pieces():
