@@ -28,3 +28,46 @@ SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGI
   sha256(unhex(coalesce(kept, h))) AS kept_sha256
 FROM d LEFT JOIN left_over ON d.rid = left_over.rid
 """
+
+#: CRCs of the different features from a table of what a byte adds at each distance from the end.
+IMPORTANCE_DRAW = r"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, 0 AS side FROM documents
+  UNION ALL SELECT -row_number() OVER (), NULL, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 1 FROM benchmark
+), listed AS (
+  SELECT rid, doc_id, side, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), features AS MATERIALIZED (
+  SELECT rid, side, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1]))) AS f FROM listed
+), kinds AS (
+  SELECT f, hex(encode(f)) AS h, octet_length(encode(f)) AS n FROM (SELECT DISTINCT f FROM features)
+), steps(byte, k, r) AS (
+  SELECT b, -8, b FROM range(257) AS x(b)
+  UNION ALL SELECT byte, k + 1, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END
+    FROM (SELECT byte, k, CASE WHEN byte = 256 AND k = -8 THEN 4294967295 ELSE r END AS r FROM steps) WHERE k < 8 * (SELECT max(n) FROM kinds)
+), adds AS (
+  SELECT byte, k // 8 AS far, r FROM steps WHERE k >= 0 AND k % 8 = 0
+), codes AS (
+  SELECT f, any_value(n) AS n, bit_xor(adds.r) AS r FROM (SELECT f, n, h, unnest(range(n)) AS k FROM kinds) b JOIN adds ON byte = CAST('0x' || substr(h, 2 * k + 1, 2) AS INT) AND far = n - 1 - k GROUP BY f
+), buckets AS MATERIALIZED (
+  SELECT f, xor(xor(codes.r, last.r), 4294967295) % 10000 AS bucket FROM codes JOIN adds last ON last.byte = 256 AND last.far = n - 1
+), used AS MATERIALIZED (
+  SELECT rid, side, bucket FROM features JOIN buckets USING (f)
+), counts AS (
+  SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM used GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * (sum(s) OVER () + 10000) / (CAST(s + 1 AS DOUBLE) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM counts
+), weights AS (
+  SELECT rid, count(*) AS n, sum(gain) AS total FROM used JOIN gains USING (bucket) WHERE side = 0 GROUP BY rid
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS weight,
+    CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) AS h
+  FROM listed LEFT JOIN weights USING (rid) WHERE side = 0
+), noisy AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM scored
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS eligible FROM noisy
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CASE WHEN n_words >= 20 AND place <= 25 * eligible // 100 THEN place END AS rank
+FROM placed
+"""

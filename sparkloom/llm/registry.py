@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe_fst, grammar_files, media_ts, mixing, oracles, pii, quality, simhash, site_tree, suffix_dedup, token_counts
+from sparkloom.llm import bpe_fst, grammar_files, importance, media_ts, mixing, oracles, pii, quality, simhash, site_tree, suffix_dedup, token_counts
 from sparkloom.llm.common import documents
 
 
@@ -60,9 +60,15 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar_files.token_file_digests(files)
 
 
+def op11_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    drawn = importance.importance_draw(documents(spark, sf_dir), benchmark)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_transport_streams, op2_byte_bpe, op3_source_mixing, op4_simhash_groups, op5_personal_data, op6_repeated_strings, op7_quality_rules, op8_token_counts, op9_main_text, op10_token_files)}
+    return {f.__name__: f for f in (op1_transport_streams, op2_byte_bpe, op3_source_mixing, op4_simhash_groups, op5_personal_data, op6_repeated_strings, op7_quality_rules, op8_token_counts, op9_main_text, op10_token_files, op11_importance_draw)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_repeated_strings": oracles.REPEATED_STRINGS}
+    return {"op6_repeated_strings": oracles.REPEATED_STRINGS, "op11_importance_draw": oracles.IMPORTANCE_DRAW}
