@@ -71,3 +71,35 @@ SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT)
   CASE WHEN n_words >= 20 AND place <= 25 * eligible // 100 THEN place END AS rank
 FROM placed
 """
+
+SOURCE_DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), used AS MATERIALIZED (
+  SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), totals AS (
+  SELECT lang, term, count(*) AS n FROM used GROUP BY lang, term HAVING count(DISTINCT rid) >= 10
+), counts AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS n FROM used SEMI JOIN totals USING (lang, term) GROUP BY ALL
+), sizes AS (
+  SELECT lang, source, coalesce(n, 0) AS n, coalesce(v, 0) AS v, coalesce(whole, 0) AS whole FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL) USING (lang, source)
+  LEFT JOIN (SELECT lang, count(*) AS v, sum(n) AS whole FROM totals GROUP BY ALL) USING (lang)
+), shares AS MATERIALIZED (
+  SELECT s.lang, s.source, t.term, coalesce(c.n, 0) AS n,
+    CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // (s.n + 2 * v) AS BIGINT) AS p,
+    CAST(1 + CAST(1000000000 AS HUGEINT) * (t.n + 2) // (whole + 2 * v) AS BIGINT) AS q
+  FROM sizes s JOIN totals t USING (lang) LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = t.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM sizes a JOIN sizes b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS place FROM parts
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(place AS INTEGER) AS rank FROM placed WHERE part = 'pair' OR place <= 10
+"""
