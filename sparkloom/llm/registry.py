@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe_fst, divergence, grammar_files, importance, media_ts, mixing, oracles, pii, quality, simhash, site_tree, suffix_dedup, token_counts
+from sparkloom.llm import bpe_fst, divergence, grammar_files, importance, media_ts, mixing, oracles, pii, quality, quality_model, simhash, site_tree, suffix_dedup, token_counts
 from sparkloom.llm.common import documents
 
 
@@ -66,12 +66,16 @@ def op11_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_audit(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_transport_streams, op2_byte_bpe, op3_source_mixing, op4_simhash_groups, op5_personal_data, op6_repeated_strings, op7_quality_rules, op8_token_counts, op9_main_text, op10_token_files, op11_importance_draw, op13_source_divergence)}
+    return {f.__name__: f for f in (op1_transport_streams, op2_byte_bpe, op3_source_mixing, op4_simhash_groups, op5_personal_data, op6_repeated_strings, op7_quality_rules, op8_token_counts, op9_main_text, op10_token_files, op11_importance_draw, op12_quality_scores, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
