@@ -145,6 +145,53 @@ def text_boxes(grids: DataFrame, values: str, width: int, grid: list[str], thres
     return out.withColumn("place", F.row_number().over(order))
 
 
+def map_rectangles(values: np.ndarray, width: int, threshold: float, most: int) -> list[tuple]:
+    """Of one map, the least rectangle of each of its first ``most`` components and the mean of its cells within it (and half a cell)."""
+    grid, labels = values.reshape(-1, width), label_grid(values, width, threshold)
+    cells = np.flatnonzero((labels > 0) & (labels <= most))
+    cells = cells[np.argsort(labels[cells], kind="stable")]
+    out = []
+    for of in np.split(cells, np.flatnonzero(np.diff(labels[cells])) + 1) if len(cells) else []:
+        y, x = np.divmod(of, width)
+        first = np.flatnonzero(np.diff(y, prepend=-1))  # the leftmost and rightmost cell of each row
+        ends = np.unique(np.concatenate([first, np.append(first[1:], len(y)) - 1]))
+        rect = least_rectangle(convex_hull(np.stack([x[ends], y[ends]], axis=1).astype(float)))
+        if rect is None:
+            continue
+        cx, cy, ux, uy, vx, vy, half_u, half_v = rect
+        reach_x, reach_y = (abs(u) * (half_u + 0.5) + abs(v) * (half_v + 0.5) + 1e-9 for u, v in ((ux, vx), (uy, vy)))
+        left, top = max(0, int(np.ceil(cx - reach_x))), max(0, int(np.ceil(cy - reach_y)))
+        part = grid[top : int(np.floor(cy + reach_y)) + 1, left : int(np.floor(cx + reach_x)) + 1]
+        dy, dx = np.mgrid[top : top + part.shape[0], left : left + part.shape[1]]
+        dx, dy = dx - cx, dy - cy
+        inside = (np.abs(dx * ux + dy * uy) <= half_u + 0.5) & (np.abs(dx * vx + dy * vy) <= half_v + 0.5)
+        out.append((int(labels[of[0]]), *map(float, rect), float(part[inside].mean()) if inside.any() else 0.0))
+    return out
+
+
+def map_boxes(maps: DataFrame, values: str, grid: list[str], threshold: float, box_threshold: float, ratio: float, most: int, least: float = 3.0) -> DataFrame:
+    """As ``text_boxes``, from maps of any sizes (``wide``, ``high``, ``image width``, ``image height``), each worked on whole in an Arrow batch; only rectangles become rows."""
+    names = [c.split()[0] for c in RECT.split(", ")]
+    kinds = f"array<struct<comp:int,{RECT.replace(' double', ':double')},mean:double>>"
+
+    @F.pandas_udf(kinds)
+    def found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for arrays, widths in batches:
+            yield pd.Series([[dict(zip(["comp", *names, "mean"], r)) for r in map_rectangles(np.asarray(a, np.float64), int(w), threshold, most)] for a, w in zip(arrays, widths)])
+
+    rects = maps.where(F.size(values) > 0).select(*grid, "wide", "high", "image width", "image height", F.explode(found(values, "wide")).alias("r")).select(*grid, "wide", "high", "image width", "image height", "r.*")
+    short = G.short_side(F.col("half_u"), F.col("half_v"))
+    scored = rects.where((short >= least) & (F.col("mean") >= box_threshold))
+    grow = G.grown_by(F.col("half_u"), F.col("half_v"), F.lit(ratio))
+    grown = scored.withColumn("grow", grow).withColumns({"half_u": F.col("half_u") + F.col("grow"), "half_v": F.col("half_v") + F.col("grow")}).where(short >= least + 2)
+    at = lambda v, size, of: G.clamp(F.floor(F.round(v * size / of, 9) + 0.5), F.lit(0).cast("long"), size.cast("long")).cast("long")
+    corners = G.ordered_quad(G.corners(*map(F.col, names)))
+    scaled = F.transform(corners, lambda p: F.struct(at(p["x"], F.col("image width"), F.col("wide")).alias("x"), at(p["y"], F.col("image height"), F.col("high")).alias("y")))
+    out = grown.select(*grid, "comp", scaled.alias("quad"), F.col("mean").alias("score"))
+    order = Window.partitionBy(*grid).orderBy(F.col("quad")[0]["y"], F.col("quad")[0]["x"], "comp")
+    return out.withColumn("place", F.row_number().over(order))
+
+
 def warp(grids: DataFrame, values: str, width: int, frame: str, keep: tuple[str, ...]) -> DataFrame:
     """Upright crops by frames (``geometry.crop_frame``): a row for each pixel of a crop, sampled bilinearly at whole centres with edges repeated."""
     f, height = F.col(frame), F.floor(F.size(values) / width).cast("int")

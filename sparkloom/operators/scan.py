@@ -2,70 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import geometry as G
 from sparkloom.operators import lines, raster, sequence
 from sparkloom.operators import text as words
-
-#: Makes a model: a function from a flat grid and its width to flat scores.
-MakeModel = Callable[[], Callable[[np.ndarray, int], np.ndarray]]
+from sparkloom.operators.recognition import Model, cropped, detected, recognised
 
 
-def infer(items: DataFrame, keys: list[str], values: str, width: str, make_model: MakeModel, classes: int | None = None) -> DataFrame:
-    """The ``keys`` and ``scores`` of each item; the model is made once in each task.
+def lines_of_text(read: DataFrame, frames: DataFrame, keys: list[str], charset: list[str]) -> DataFrame:
+    """``read`` (as ``recognised`` gives it) as ``text``, ``score``, ``vertical``, ``quad`` and ``chars``, by the ``frame`` of each line.
 
-    With ``classes`` the scores must be whole steps of so many classes.
+    Classes are blank, the charset, and a space. A character's quad is its
+    stretch of columns; a step is as wide as its share of the padded batch.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = None
-        for batch in batches:
-            model = model or make_model()
-            found = []
-            for grid, wide in zip(batch.column(len(keys)), batch.column(len(keys) + 1).to_pylist()):
-                scores = np.asarray(model(np.asarray(grid.as_py(), np.float64), wide), np.float64)
-                if classes and len(scores) % classes:
-                    raise ValueError(f"{len(scores)} scores are no whole steps of {classes} classes")
-                found.append(scores)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(found, pa.list_(pa.float64()))], [*keys, "scores"])
-
-    ddl = ", ".join(f"`{k}` {items.schema[k].dataType.simpleString()}" for k in keys)
-    return items.select(*keys, F.col(values).cast("array<double>"), F.col(width).cast("int")).mapInArrow(run, f"{ddl}, scores array<double>")
-
-
-def scan(images: DataFrame, image: str, values: str, width: int, height: int, make_detector: MakeModel, make_recogniser: MakeModel, charset: list[str], threshold: float = 0.3, box_threshold: float = 0.6, ratio: float = 1.5, most: int = 1000, least_score: float = 0.5) -> DataFrame:
-    """Lines (image, place, text, score, vertical, quad, chars) of images of one size.
-
-    The detector gives a probability for each pixel; the recogniser gives, for
-    an upright crop, steps of scores for blank, the charset, and a space. Each
-    character has its probability and the quad of its columns.
+    letters = F.array(*map(F.lit, ["", *charset, " "]))
+    framed = read.join(frames.select(*keys, "frame"), keys)
+    filled_steps = F.col("steps") * F.col("filled") / F.col("wide")
+    chars = framed.select(*keys, "frame", filled_steps.alias("length"), F.explode("chars").alias("c")).select(*keys, "frame", "length", "c.*")
+    spans = sequence.character_spans(chars, keys, F.col("length"))
+    scale = F.col("frame.width") / F.col("length")
+    char = F.struct(F.col("t0"), F.element_at(letters, F.col("class") + 1).alias("ch"), F.col("score").alias("prob"), G.frame_quad(F.col("frame"), F.col("x0") * scale, F.col("x1") * scale).alias("quad"))
+    grouped = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(char)).alias("chars"), F.first("frame").alias("frame"))
+    quad = G.frame_quad(F.col("frame"), F.lit(0.0), F.col("frame.width").cast("double"))
+    figures = {"text": F.array_join(F.transform("chars", lambda c: c["ch"]), ""), "score": lines.confidence(F.transform("chars", lambda c: c["prob"])), "vertical": F.col("frame.vertical"), "quad": quad}
+    return grouped.withColumns(figures).select(*keys, "text", "score", "vertical", "quad", F.transform("chars", lambda c: c.dropFields("t0")).alias("chars"))
+
+
+def scan(images: DataFrame, image: str, detector: Model, recogniser: Model, charset: list[str], long_side: int = 960, threshold: float = 0.3, box_threshold: float = 0.6, ratio: float = 1.5, most: int = 1000, least_score: float = 0.5, grain: int = 64, batch: int = 16) -> DataFrame:
+    """Lines (image, place, text, score, vertical, quad, chars) of RGBA images (width, height, data) of any sizes.
+
+    The detector takes an image at its own size (long side scaled, sides
+    multiples of 32) and gives a probability for each pixel; the recogniser
+    takes upright crops in batches of a width class. An image crosses the
+    network once, to meet its boxes; a pixel is never a row.
     """
-    letters = ["", *charset, " "]
-    sized = images.withColumn("wide", F.lit(width))
-    maps = infer(sized, [image], values, "wide", make_detector)
-    boxes = raster.text_boxes(maps, "scores", width, [image], threshold, box_threshold, ratio, most, (float(width), float(height)))
-    quads = F.transform("quad", lambda p: G.point(p["x"], p["y"]))
-    framed = boxes.select(image, "place", quads.alias("quad")).withColumn("frame", G.crop_frame(F.col("quad")))
-    pixels = raster.warp(sized.select(image, values).join(framed, image), values, width, "frame", (image, "place"))
-    crops = pixels.groupBy(image, "place").agg(F.transform(F.array_sort(F.collect_list(F.struct("pix", "value"))), lambda p: p["value"]).alias("crop"))
-    crops = crops.join(framed, [image, "place"]).withColumn("wide", F.col("frame.width"))
-    scores = infer(crops, [image, "place"], "crop", "wide", make_recogniser, len(letters))
-    steps = F.floor(F.size("scores") / len(letters))
-    found = sequence.collapse(sequence.steps(scores, "scores", len(letters), (image, "place")).withColumnRenamed("place", "line"), [image, "line"])
-    lengths = scores.select(image, F.col("place").alias("line"), steps.cast("double").alias("steps"))
-    spans = sequence.character_spans(found.join(lengths, [image, "line"]), [image, "line"], F.col("steps"))
-    joined = spans.join(framed.withColumnRenamed("place", "line"), [image, "line"])
-    scale = F.col("frame.width") / F.col("steps")
-    char = F.struct(F.col("place"), F.element_at(F.array(*map(F.lit, letters)), F.col("class") + 1).alias("ch"), F.col("score").alias("prob"), G.frame_quad(F.col("frame"), F.col("x0") * scale, F.col("x1") * scale).alias("quad"))
-    chars = joined.groupBy(image, "line").agg(F.array_sort(F.collect_list(char)).alias("chars"))
-    whole = chars.withColumns({"text": F.array_join(F.transform("chars", lambda c: c["ch"]), ""), "score": lines.confidence(F.transform("chars", lambda c: c["prob"]))})
-    good = words.good_lines(whole, least=least_score)
-    placed = framed.select(image, F.col("place").alias("line"), "quad", "frame.vertical")
-    shown = F.transform("chars", lambda c: c.dropFields("place"))
-    return good.join(placed, [image, "line"]).select(image, F.col("line").alias("place"), "text", "score", "vertical", "quad", shown.alias("chars"))
+    sized = images.withColumn("size", G.detector_size(F.col("width"), F.col("height"), long_side))
+    maps = detected(sized, image, detector)
+    sizes = images.select(image, F.col("width").alias("image width"), F.col("height").alias("image height"))
+    boxes = raster.map_boxes(maps.join(sizes, image), "map", [image], threshold, box_threshold, ratio, most)
+    quads = F.transform("quad", lambda p: G.point(p["x"].cast("double"), p["y"].cast("double")))
+    frames = boxes.select(image, F.col("place").cast("int").alias("place"), G.crop_frame(quads).alias("frame"))
+    read = recognised(cropped(images, frames, image), [image, "place"], recogniser, len(charset) + 2, grain, batch)
+    return words.good_lines(lines_of_text(read, frames, [image, "place"], charset), least=least_score)

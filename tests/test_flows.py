@@ -301,33 +301,3 @@ def test_labels_inside_tokens(spark):
     labels = spark.createDataFrame([("f", 0, "bc"), ("f", 1, "zz"), ("g", 2, "a")], "f string, ord int, label string")
     tokens = spark.createDataFrame([("f", 3, "xbc", ["X", "B", "C"]), ("f", 1, "abcd", ["A", "B", None, "D"]), ("g", 0, "b", ["B"])], "f string, token_no int, text string, readings array<string>")
     assert [(r.ord, r.token_no, r.readings) for r in words.contained(labels, tokens, ["f"]).collect()] == [(0, 1, ["B", None])]
-
-
-def test_scan_with_models_of_our_own(spark):
-    """A detector that finds bright pixels, and a recogniser that names the brightness of every fourth column."""
-    from sparkloom.operators import scan
-
-    image = np.zeros((40, 80))
-    image[10:18, 10:26] = 0.9
-    image[10:18, 26:42] = 0.7
-    image[28:36, 10:34] = 0.8
-    charset = ["a", "b"]
-
-    def detector():
-        return lambda grid, width: (grid > 0.5) * 0.95
-
-    def recogniser():
-        def scores(crop, width):
-            columns = crop.reshape(-1, width).max(axis=0)[2::4]
-            kinds = [0 if v < 0.5 else 1 if v > 0.85 else 2 if v < 0.75 else 3 for v in columns]
-            return np.eye(4)[kinds].reshape(-1) * 0.9
-
-        return scores
-
-    rows = spark.createDataFrame([(1, image.reshape(-1).tolist()), (2, np.zeros(3200).tolist())], "img int, v array<double>")
-    found = scan.scan(rows, "img", "v", 80, 40, detector, recogniser, charset, ratio=0.5).orderBy("place").collect()
-    assert [(r.img, r.place, r.text, r.vertical) for r in found] == [(1, 1, "ab", False)]  # the other line is a space, so blank
-    assert found[0].score == pytest.approx(0.9) and [c.ch for c in found[0].chars] == ["a", "b"]
-    assert found[0].chars[0].quad[0].x < found[0].chars[1].quad[0].x
-    with pytest.raises(Exception, match="whole steps"):
-        scan.infer(rows.withColumn("w", F.lit(80)), ["img"], "v", "w", lambda: lambda grid, width: grid[:3], 2).collect()
