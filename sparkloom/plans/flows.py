@@ -12,7 +12,7 @@ from sparkloom.operators import layout, raster, recognition, scan, spatial
 from sparkloom.operators import text as words
 from sparkloom.plans.queries import _CELLS, _LEXICON, _RUNS, _SPANS, LETTERS, _distinct_runs, _prefix_lexicon, _table, query
 from sparkloom.storage import materialized
-from sparkloom.streaming import messages, reducer
+from sparkloom.streaming import messages, ranges, reducer
 
 # Text
 
@@ -307,45 +307,45 @@ def single_flight(spark, sf_dir):
     return messages.one_at_a_time(rows, "user_id", "ts", "done", "event_id")
 
 
+#: All lines of an order, numbered; lines that are equal in all these are equal in what is made of them.
+_LINE = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
+_NUMBERED = f"numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_LINE)}) AS n FROM lineitem)"
+
+
+def _numbered_lines(spark, sf_dir):
+    return ranges.running(_table(spark, sf_dir, "lineitem").select("l_orderkey", *_LINE), ["l_orderkey"], list(_LINE), sums={"n": F.lit(1).cast("long")})
+
+
 @query(
-    """WITH r AS (SELECT l_orderkey, l_linenumber, l_shipdate AS sent, CASE WHEN l_discount < 0.08 THEN l_shipdate + to_seconds((l_quantity * 10)::BIGINT) END AS came, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS dup FROM lineitem),
-    t AS (SELECT *, came IS NULL OR came > sent + INTERVAL 300 SECOND AS timed_out FROM r WHERE dup = 1)
-    SELECT l_orderkey, l_linenumber, timed_out, coalesce(count_if(timed_out) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS worker FROM t"""
+    f"""WITH {_NUMBERED}, r AS (SELECT l_orderkey, n, l_shipdate AS sent, CASE WHEN l_discount < 0.08 THEN l_shipdate + to_seconds((l_quantity * 10)::BIGINT) END AS came FROM numbered),
+    t AS (SELECT *, came IS NULL OR came > sent + INTERVAL 300 SECOND AS timed_out FROM r)
+    SELECT l_orderkey, n, timed_out, coalesce(count_if(timed_out) OVER (PARTITION BY l_orderkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS worker FROM t"""
 )
 def watch_requests(spark, sf_dir):
     """Lines of orders as requests with a limit of 300 seconds: which timed out, and on which worker they ran."""
-    asked = _one_of_each_line(spark, sf_dir)
-    answers = asked.where("l_discount < 0.08").select("l_orderkey", "l_linenumber", (F.col("l_shipdate") + F.make_dt_interval(secs=(F.col("l_quantity") * 10).cast("decimal(18,6)"))).alias("came"))
-    out = messages.watched(asked.select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("sent")), answers, ["l_orderkey"], "l_linenumber", "sent", "came", F.expr("INTERVAL 300 SECONDS"))
-    return out.select("l_orderkey", "l_linenumber", "timed_out", "worker")
-
-
-def _one_of_each_line(spark, sf_dir):
-    """Lines of orders, one of those that have the same number."""
-    rows = _table(spark, sf_dir, "lineitem")
-    first = F.min_by(F.struct("l_quantity", "l_extendedprice", "l_discount", "l_shipdate"), F.struct("l_partkey", "l_suppkey")).alias("f")
-    return rows.groupBy("l_orderkey", "l_linenumber").agg(first).select("l_orderkey", "l_linenumber", "f.*")
+    asked = _numbered_lines(spark, sf_dir)
+    answers = asked.where("l_discount < 0.08").select("l_orderkey", "n", (F.col("l_shipdate") + F.make_dt_interval(secs=(F.col("l_quantity") * 10).cast("decimal(18,6)"))).alias("came"))
+    out = messages.watched(asked.select("l_orderkey", "n", F.col("l_shipdate").alias("sent")), answers, ["l_orderkey"], "n", "sent", "came", F.expr("INTERVAL 300 SECONDS"))
+    return out.select("l_orderkey", "n", "timed_out", "worker")
 
 
 @query(
-    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS dup FROM lineitem),
-    a AS (SELECT l_orderkey, l_linenumber, l_discount > 0.05 AS ok, row_number() OVER w AS attempt, coalesce(count_if(l_discount > 0.05) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS good FROM r WHERE dup = 1 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber))
-    SELECT l_orderkey, l_linenumber, ok, attempt::INT AS attempt, (CASE WHEN attempt = 1 THEN 0 ELSE 500 * 2 ** (attempt - 2) END)::DOUBLE AS wait_ms FROM a WHERE good = 0 AND attempt <= 3"""
+    f"""WITH {_NUMBERED}, a AS (SELECT l_orderkey, n, l_discount > 0.05 AS ok, row_number() OVER w AS attempt, coalesce(count_if(l_discount > 0.05) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS good FROM numbered WINDOW w AS (PARTITION BY l_orderkey ORDER BY n))
+    SELECT l_orderkey, n, ok, attempt::INT AS attempt, (CASE WHEN attempt = 1 THEN 0 ELSE 500 * 2 ** (attempt - 2) END)::DOUBLE AS wait_ms FROM a WHERE good = 0 AND attempt <= 3"""
 )
 def retry_schedule(spark, sf_dir):
     """Lines of orders as attempts that go on until one is good."""
-    rows = _one_of_each_line(spark, sf_dir).withColumn("ok", F.col("l_discount") > 0.05)
-    return messages.backoff(rows, ["l_orderkey"], "l_linenumber", "ok").select("l_orderkey", "l_linenumber", "ok", F.col("attempt").cast("int").alias("attempt"), "wait_ms")
+    rows = _numbered_lines(spark, sf_dir).withColumn("ok", F.col("l_discount") > 0.05)
+    return messages.backoff(rows, ["l_orderkey"], "n", "ok").select("l_orderkey", "n", "ok", F.col("attempt").cast("int").alias("attempt"), "wait_ms")
 
 
 @query(
-    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS dup FROM lineitem)
-    SELECT l_orderkey, l_linenumber, round(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) / sum(l_quantity) OVER (PARTITION BY l_orderkey), 9) AS fraction FROM r WHERE dup = 1"""
+    f"WITH {_NUMBERED} SELECT l_orderkey, n, round(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY n) / sum(l_quantity) OVER (PARTITION BY l_orderkey), 9) AS fraction FROM numbered"
 )
 def load_progress(spark, sf_dir):
-    rows = _one_of_each_line(spark, sf_dir)
-    out = messages.progress(rows, rows, ["l_orderkey"], "l_linenumber", "l_linenumber", "l_quantity", "l_quantity")
-    return out.select("l_orderkey", "l_linenumber", F.round("fraction", 9).alias("fraction"))
+    rows = _numbered_lines(spark, sf_dir)
+    out = messages.progress(rows, rows, ["l_orderkey"], "n", "n", "l_quantity", "l_quantity")
+    return out.select("l_orderkey", "n", F.round("fraction", 9).alias("fraction"))
 
 
 @query("SELECT conv_id, octet_length(encode(string_agg(text, '' ORDER BY turn)))::BIGINT AS size, sha256(string_agg(text, '' ORDER BY turn)) AS sha256 FROM conversations GROUP BY conv_id")
@@ -355,12 +355,12 @@ def reassembled_files(spark, sf_dir):
     return messages.reassembled(chunks, ["conv_id"], "turn", "data").select("conv_id", "size", F.sha2("content", 256).alias("sha256"))
 
 
-_POINTER = "CASE l_linenumber WHEN 1 THEN 'down' WHEN 3 THEN 'down' WHEN 6 THEN 'up' ELSE 'move' END"
+_POINTER = "CASE (n - 1) % 7 + 1 WHEN 1 THEN 'down' WHEN 3 THEN 'down' WHEN 6 THEN 'up' WHEN 7 THEN 'up' ELSE 'move' END"
+_WHICH = "CASE WHEN (n - 1) % 7 + 1 IN (3, 4, 6) THEN 1 ELSE 0 END"
 
 
 @query(
-    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS dup FROM lineitem),
-    p AS (SELECT l_orderkey, l_linenumber AS n, CASE WHEN l_linenumber IN (3, 4, 6) THEN 1 ELSE 0 END AS pointer, {_POINTER} AS kind, l_quantity AS x, l_extendedprice AS y FROM r WHERE dup = 1),
+    f"""WITH {_NUMBERED}, p AS (SELECT l_orderkey, n, {_WHICH} AS pointer, {_POINTER} AS kind, l_quantity AS x, l_extendedprice AS y FROM numbered),
     c AS (SELECT *, CASE kind WHEN 'down' THEN 1 WHEN 'up' THEN -1 ELSE 0 END AS change, min(pointer) OVER (PARTITION BY l_orderkey) AS first FROM p),
     a AS (SELECT *, sum(change) OVER w AS active, sum(abs(change)) OVER w AS island, last_value(CASE WHEN pointer = first THEN x END IGNORE NULLS) OVER w AS ax, last_value(CASE WHEN pointer = first THEN y END IGNORE NULLS) OVER w AS ay,
       last_value(CASE WHEN pointer <> first THEN x END IGNORE NULLS) OVER w AS bx, last_value(CASE WHEN pointer <> first THEN y END IGNORE NULLS) OVER w AS yb FROM c WINDOW w AS (PARTITION BY l_orderkey ORDER BY n ROWS UNBOUNDED PRECEDING)),
@@ -369,6 +369,6 @@ _POINTER = "CASE l_linenumber WHEN 1 THEN 'down' WHEN 3 THEN 'down' WHEN 6 THEN
 )
 def pointer_moves(spark, sf_dir):
     """Lines of orders as what two pointers do: one drags, both pinch, one drags on."""
-    rows = _one_of_each_line(spark, sf_dir).select("l_orderkey", F.col("l_linenumber").alias("n"), F.when(F.col("l_linenumber").isin(3, 4, 6), 1).otherwise(0).alias("pointer"), F.expr(_POINTER).alias("kind"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    rows = _numbered_lines(spark, sf_dir).select("l_orderkey", "n", F.expr(_WHICH).alias("pointer"), F.expr(_POINTER).alias("kind"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
     out = messages.pointer_moves(rows, "l_orderkey", "n", "pointer", "kind", "x", "y")
     return out.select("l_orderkey", "n", F.col("active").cast("long").alias("active"), *(F.round(c, 6).alias(c) for c in ("dx", "dy", "ratio")))

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.streaming import ranges
+
 SCREENS = ("intro", "live", "scanning", "frozen", "error")
 ENGINES = ("loading", "ready", "failed")
 STATES = tuple((s, e) for s in SCREENS for e in ENGINES)
@@ -147,16 +149,15 @@ def replies(requests: DataFrame, answers: DataFrame, id_column: str, sent: str,
 
 
 def frame_after(taps_: DataFrame, frames: DataFrame, key: str, tap_id: str, ts: str) -> DataFrame:
-    """Each tap with the time of the first frame of its key at or after it, null if none came; one shuffle by key."""
+    """Each tap with the time of the first frame of its key at or after it, null if none came."""
     both = taps_.select(key, ts, tap_id, F.lit(None).cast(frames.schema[ts].dataType).alias("frame_ts"))
     both = both.unionByName(frames.select(key, ts, F.lit(None).cast(taps_.schema[tap_id].dataType).alias(tap_id), F.col(ts).alias("frame_ts")))
-    later = Window.partitionBy(key).orderBy(F.col(ts).desc(), F.col("frame_ts").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("frame_ts", F.last("frame_ts", ignorenulls=True).over(later))
+    placed = both.withColumn("is frame", F.col("frame_ts").isNotNull())
+    found = ranges.running(placed, [key], [ts, "is frame"], firsts={"frame_ts": F.col("frame_ts")})
     return found.where(F.col(tap_id).isNotNull()).select(key, tap_id, ts, "frame_ts")
 
 
 def swipes(pointer: DataFrame, keys: list[str], order: str, kind: str, y: str, least: float = 40.0) -> DataFrame:
     """Pointers that go down and whose next event is a release more than ``least`` lower; a cancel in between resets."""
-    by = Window.partitionBy(*keys).orderBy(order)
-    ahead = pointer.withColumns({"next_kind": F.lead(kind).over(by), "fall": F.lead(y).over(by) - F.col(y)})
+    ahead = ranges.running(pointer, keys, [order], nexts={"next_kind": F.col(kind), "next_y": F.col(y)}).withColumn("fall", F.col("next_y") - F.col(y))
     return ahead.where((F.col(kind) == "down") & (F.col("next_kind") == "up") & (F.col("fall") > least)).select(*keys, order, "fall")
