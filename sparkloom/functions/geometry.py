@@ -128,11 +128,11 @@ def ordered_quad(points: Column) -> Column:
     return F.array(left[0], right[0], right[1], left[1])
 
 
-def inside_quad(quad: Column, x: Column, y: Column) -> Column:
-    """Whether a point is in a convex quad or on its edge."""
-    sides = [cross(quad[(k + 1) % 4]["x"] - quad[k]["x"], quad[(k + 1) % 4]["y"] - quad[k]["y"], x - quad[k]["x"], y - quad[k]["y"]) for k in range(4)]
-    every = lambda test: test(sides[0]) & test(sides[1]) & test(sides[2]) & test(sides[3])
-    return every(lambda c: c >= 0) | every(lambda c: c <= 0)
+def inside_quad(corners: list[tuple[Column, Column]], x: Column, y: Column) -> Column:
+    """Whether a point is in a convex quad, given by its corners in order, or on its edge."""
+    pairs = zip(corners, corners[1:] + corners[:1])
+    sides = [cross(bx - ax, by - ay, x - ax, y - ay) for (ax, ay), (bx, by) in pairs]
+    return (F.least(*sides) >= 0) | (F.greatest(*sides) <= 0)
 
 
 def detector_size(width: Column, height: Column, long_side: int) -> Column:

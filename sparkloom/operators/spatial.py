@@ -50,35 +50,46 @@ def overlapping(boxes: DataFrame, keys: list[str], id_column: str, size: float)
     return a.join(homes, cond).select(*(F.col(f"a.{k}") for k in keys), pair[0].alias("first"), pair[1].alias("second"))
 
 
-def box_quad(x0="x0", y0="y0", x1="x1", y1="y1") -> Column:
-    """The corners of a box, clockwise from the top left."""
-    x0, y0, x1, y1 = map(F.col, (x0, y0, x1, y1))
-    return F.array(G.point(x0, y0), G.point(x1, y0), G.point(x1, y1), G.point(x0, y1))
+def _first_or_nearest(points: DataFrame, shapes: DataFrame, keys: list[str], point_id: str, shape_id: str, inside: Column, size: float) -> DataFrame:
+    """For each point the first shape (x0 to y1, cx, cy, far, ord) that holds it, by ``inside`` within its box, else the nearest centre within ``far``."""
+    # A shape may reach beyond a circle about its centre, so both are covered.
+    own = shapes.withColumnsRenamed({c: f"own {c}" for c in ("x0", "x1", "y0", "y1")})
+    low = {f"{c}0": F.least(f"own {c}0", F.col(f"c{c}") - F.col("far")) for c in "xy"}
+    spans = own.withColumns(low | {f"{c}1": F.greatest(f"own {c}1", F.col(f"c{c}") + F.col("far")) for c in "xy"})
+    levelled, top = _with_level(spans, size)
+    cells = _in_cells(levelled, size).drop("x0", "x1", "y0", "y1")
+    p = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    p = p.withColumns({"gx": _cell("x", size, F.col("level")), "gy": _cell("y", size, F.col("level"))})
+    in_box = (F.col("x") >= F.col("own x0")) & (F.col("x") <= F.col("own x1")) & (F.col("y") >= F.col("own y0")) & (F.col("y") <= F.col("own y1"))
+    near = (F.abs(F.col("x") - F.col("cx")) <= F.col("far")) & (F.abs(F.col("y") - F.col("cy")) <= F.col("far"))
+    joined = p.join(cells, [*keys, "level", "gx", "gy"]).where(in_box | near)
+    away = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
+    judged = joined.select(*keys, point_id, shape_id, "ord", F.when(in_box, inside).otherwise(False).alias("inside"), away.alias("away"), "far").where(F.col("inside") | (F.col("away") <= F.col("far")))
+    best = judged.groupBy(*keys, point_id).agg(F.min_by(F.struct(shape_id, "inside"), F.struct(~F.col("inside"), F.when(F.col("inside"), 0.0).otherwise(F.col("away")), "ord")).alias("hit"))
+    return best.select(*keys, point_id, f"hit.{shape_id}", "hit.inside")
 
 
 def quad_hits(points: DataFrame, quads: DataFrame, keys: list[str], point_id: str, quad_id: str, reach: float, size: float) -> DataFrame:
     """For each point (x, y) the first quad (by ``ord``) that holds it, edges included, else the nearest centre within reach.
 
     Reach is the longer of the quad's first and last edge, ``reach`` at least.
-    Points that hit nothing have no row.
+    Points that hit nothing have no row. Sides are only looked at for points in
+    a quad's box.
     """
     q = F.col("quad")
-    far = F.greatest(F.lit(reach), G.distance(q[0], q[1]), G.distance(q[0], q[3]))
-    b = quads.select(*keys, quad_id, "ord", "quad", far.alias("far"), ((q[0]["x"] + q[2]["x"]) / 2).alias("cx"), ((q[0]["y"] + q[2]["y"]) / 2).alias("cy"))
-    # A convex quad may reach beyond a circle about its centre, so both are covered.
-    ends = lambda c, mid: [F.least(F.array_min(F.transform("quad", lambda p: p[c])), F.col(mid) - F.col("far")), F.greatest(F.array_max(F.transform("quad", lambda p: p[c])), F.col(mid) + F.col("far"))]
-    (x0, x1), (y0, y1) = ends("x", "cx"), ends("y", "cy")
-    levelled, top = _with_level(b.withColumns({"x0": x0, "x1": x1, "y0": y0, "y1": y1}), size)
-    cells = _in_cells(levelled, size).drop("x0", "y0", "x1", "y1")
-    p = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
-    p = p.withColumns({"gx": _cell("x", size, F.col("level")), "gy": _cell("y", size, F.col("level"))})
-    joined = p.join(cells, [*keys, "level", "gx", "gy"])
-    away = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
-    joined = joined.withColumn("inside", G.inside_quad(q, F.col("x"), F.col("y"))).where(F.col("inside") | (away <= F.col("far")))
-    best = joined.groupBy(*keys, point_id).agg(F.min_by(F.struct(quad_id, "inside"), F.struct(~F.col("inside"), F.when(F.col("inside"), 0.0).otherwise(away), "ord")).alias("hit"))
-    return best.select(*keys, point_id, f"hit.{quad_id}", "hit.inside")
+    corners = {f"{c}{k} of quad": q[k][c] for k in range(4) for c in "xy"}
+    flat = quads.select(*keys, quad_id, "ord", *(v.cast("double").alias(n) for n, v in corners.items()))
+    at = lambda k, c: F.col(f"{c}{k} of quad")
+    edge = lambda k, m: F.hypot(at(m, "x") - at(k, "x"), at(m, "y") - at(k, "y"))
+    ends = {f"{c}{n}": f(*(at(k, c) for k in range(4))) for c in "xy" for n, f in ((0, F.least), (1, F.greatest))}
+    shapes = flat.withColumns({"far": F.greatest(F.lit(reach), edge(0, 1), edge(0, 3)), "cx": (at(0, "x") + at(2, "x")) / 2, "cy": (at(0, "y") + at(2, "y")) / 2} | ends)
+    inside = G.inside_quad([(at(k, "x"), at(k, "y")) for k in range(4)], F.col("x"), F.col("y"))
+    return _first_or_nearest(points, shapes, keys, point_id, quad_id, inside, size)
 
 
 def hits(points: DataFrame, boxes: DataFrame, keys: list[str], point_id: str, box_id: str, reach: float, size: float) -> DataFrame:
-    """The same for boxes (x0, y0, x1, y1)."""
-    return quad_hits(points, boxes.withColumn("quad", box_quad()), keys, point_id, box_id, reach, size)
+    """The same for boxes (x0, y0, x1, y1), by comparisons alone."""
+    slim = boxes.select(*keys, box_id, "ord", "x0", "y0", "x1", "y1")
+    far = F.greatest(F.lit(reach), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    shapes = slim.withColumns({"far": far, "cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2})
+    return _first_or_nearest(points, shapes, keys, point_id, box_id, F.lit(True), size)
