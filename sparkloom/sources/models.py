@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -110,25 +111,35 @@ def load_models(spark: SparkSession, path: str, catalogue: DataFrame) -> DataFra
     return catalogue.join(files, "file", "left").withColumn("missing", F.col("content").isNull())
 
 
-def fetch_verified(wanted: DataFrame, fetch: Callable[[str], bytes], attempts: int = 3) -> DataFrame:
-    """Each wanted (url, sha256) with its content, tried up to ``attempts`` times until the hash is right; else with the last ``error``."""
+def fetch_verified(wanted: DataFrame, fetch: Callable[[str], bytes], attempts: int = 3, wait: Callable[[float], None] = time.sleep, first_wait: float = 0.5, local: str | None = None) -> DataFrame:
+    """Each wanted (url, sha256) with its content, tried up to ``attempts`` times until the hash is right; else with the last ``error``.
+
+    A copy in the column ``local`` with the right hash is taken without any try.
+    Between two tries there is a wait, ``first_wait`` seconds and then doubled.
+    """
+
+    def had(url: str, digest: str, copy: bytes | None) -> tuple:
+        if copy is not None and hashlib.sha256(copy).hexdigest() == digest:
+            return url, copy, 0, None
+        error = None
+        for tried in range(1, attempts + 1):
+            if tried > 1:
+                wait(first_wait * 2 ** (tried - 2))
+            try:
+                got = fetch(url)
+            except OSError as problem:
+                error = str(problem)
+                continue
+            if hashlib.sha256(got).hexdigest() == digest:
+                return url, got, tried, None
+            error = "another hash"
+        return url, None, attempts, error
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for url, digest in zip(*(c.to_pylist() for c in batch.columns)):
-                content, error, tried = None, None, 0
-                while content is None and tried < attempts:
-                    tried += 1
-                    try:
-                        got = fetch(url)
-                    except OSError as problem:
-                        error = str(problem)
-                        continue
-                    if hashlib.sha256(got).hexdigest() == digest:
-                        content, error = got, None
-                    else:
-                        error = "another hash"
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
                 kinds = (pa.string(), pa.binary(), pa.int32(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((url, content, tried, error), kinds)], ["url", "content", "tried", "error"])
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(had(*row), kinds)], ["url", "content", "tried", "error"])
 
-    return wanted.select("url", "sha256").mapInArrow(run, "url string, content binary, tried int, error string")
+    copy = F.col(local) if local else F.lit(None).cast("binary")
+    return wanted.select("url", "sha256", copy.alias("copy")).mapInArrow(run, "url string, content binary, tried int, error string")
