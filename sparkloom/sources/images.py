@@ -49,6 +49,13 @@ def _unfiltered(raw: bytes, rows: int, stride: int, step: int) -> np.ndarray:
     return out
 
 
+def png_size(head: bytes) -> tuple[int, int]:
+    """Width and height, from the first bytes of a file."""
+    if not head.startswith(SIGNATURE) or head[12:16] != b"IHDR":
+        raise ValueError("not a PNG file")
+    return struct.unpack_from(">II", head, 16)
+
+
 def decode_png(data: bytes) -> np.ndarray:
     """Height by width by RGBA; of 8 bits a sample and not interlaced, with any colour type."""
     if not data.startswith(SIGNATURE):

@@ -47,6 +47,41 @@ def model_metadata(data: bytes) -> dict[str, str]:
     return {e.get(KEY, b"").decode(): e.get(VALUE, b"").decode() for e in entries}
 
 
+def metadata_of_file(file) -> Iterator[tuple[str, str]]:
+    """The metadata entries of a model in an open file; other fields, weights among them, are skipped unread."""
+
+    def number() -> int:
+        value = shift = 0
+        while True:
+            byte = file.read(1)
+            if not byte:
+                raise ValueError("the file ends within a field")
+            value |= (byte[0] & 0x7F) << shift
+            shift += 7
+            if byte[0] < 0x80:
+                return value
+
+    size = file.size()
+    while file.tell() < size:
+        tag = number()
+        wire = tag & 7
+        if wire == 2:
+            length = number()
+            if file.tell() + length > size:
+                raise ValueError("the file ends within a field")
+            if tag >> 3 == METADATA:
+                entry = dict(fields(file.read(length)))
+                yield entry.get(KEY, b"").decode(), entry.get(VALUE, b"").decode()
+            else:
+                file.seek(length, 1)
+        elif wire == 0:
+            number()
+        elif wire in (1, 5):
+            file.seek(8 if wire == 1 else 4, 1)
+        else:
+            raise ValueError(f"unknown wire type {wire}")
+
+
 def read_model_metadata(spark: SparkSession, path: str) -> DataFrame:
     """path, key and value of each metadata entry of the model files."""
 
