@@ -74,10 +74,7 @@ def segment(words: DataFrame, lexicon: DataFrame, longest: int = LONGEST_WORD) -
     words = words.select("run").where("run is not null").distinct()
     lexicon = lexicon.select("word").where(F.length("word").between(2, longest)).distinct()
     small = lexicon.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
-    found = (_spans_by_broadcast if small else _spans_by_join)(words, lexicon, longest)
-    spans = found.select("run", F.posexplode("ends").alias("k", "end"), "ends")
-    spans = spans.select("run", F.when(F.col("k") == 0, 0).otherwise(F.get("ends", F.col("k") - 1)).alias("start"), "end")
-    return spans.withColumn("word", F.expr("substring(run, start + 1, end - start)"))
+    return _spans_of_ends((_spans_by_broadcast if small else _spans_by_join)(words, lexicon, longest))
 
 
 def lookup_taps(taps: DataFrame, lexicon: DataFrame, tap: str = "tap", longest: int = LONGEST_WORD) -> DataFrame:
@@ -99,16 +96,101 @@ def lookup_taps(taps: DataFrame, lexicon: DataFrame, tap: str = "tap", longest:
     return grouped.select(tap, "word", "start", "end", shown.alias("entries"), F.when(F.col("word").isNull(), "no character there").alias("error"))
 
 
-def first_readings(runs_: DataFrame, lexicon: DataFrame, longest: int = LONGEST_WORD) -> DataFrame:
-    """A reading for each character of the distinct ``run``: from the first entry of its word, the character itself where none has one for each."""
+def least_path(size: int, into: dict[int, list[tuple[int, int]]]) -> list[int]:
+    """Ends of the words of the cheapest path from 0 to ``size``; ``into`` has the (start, cost) of the words that end at a place.
+
+    Of equal costs the fewer words, then the longer last word.
+    """
+    best: list[tuple[int, int, int]] = [(0, 0, 0)]
+    for end in range(1, size + 1):
+        best.append(min((best[start][0] + cost, best[start][1] + 1, start) for start, cost in into[end]))
+    ends, at = [], size
+    while at:
+        ends.append(at)
+        at = best[at][2]
+    return ends[::-1]
+
+
+def _paths_by_broadcast(words: DataFrame, costs: DataFrame, unknown: int, longest: int) -> DataFrame:
+    known = words.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in costs.collect()})
+
+    @F.pandas_udf("array<int>")
+    def cuts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cost = known.value
+        for batch in batches:
+            rows = []
+            for run in batch:
+                into = {end: [(start, cost[run[start:end]]) for start in range(max(0, end - longest), end) if run[start:end] in cost] for end in range(1, len(run) + 1)}
+                for end, words_ in into.items():
+                    if run[end - 1] not in cost:
+                        words_.append((end - 1, unknown))
+                rows.append(least_path(len(run), into))
+            yield pd.Series(rows)
+
+    return words.select("run", cuts("run").alias("ends"))
+
+
+def _paths_by_join(words: DataFrame, costs: DataFrame, unknown: int, longest: int) -> DataFrame:
+    n = F.length("run")
+    starts = words.select("run", F.explode(F.sequence(F.lit(1), n)).alias("at"))
+    pieces = starts.select("run", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("at") + 1))).alias("size")).withColumn("word", F.expr("substring(run, at, size)"))
+    found = pieces.join(costs, "word").groupBy("run").agg(F.collect_list(F.struct("at", "size", "cost")).alias("edges"))
+
+    @F.pandas_udf("array<int>")
+    def cuts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for sizes, edges in batches:
+            rows = []
+            for size, own in zip(sizes, edges):
+                into: dict[int, list[tuple[int, int]]] = {end: [] for end in range(1, size + 1)}
+                for x in [] if own is None else own:
+                    into[x["at"] - 1 + x["size"]].append((x["at"] - 1, x["cost"]))
+                for end, words_ in into.items():
+                    if all(start != end - 1 for start, _ in words_):
+                        words_.append((end - 1, unknown))
+                rows.append(least_path(size, into))
+            yield pd.Series(rows)
+
+    return words.join(found, "run", "left").select("run", cuts(n, "edges").alias("ends"))
+
+
+def segment_by_cost(words: DataFrame, costs: DataFrame, unknown: int, longest: int = LONGEST_WORD) -> DataFrame:
+    """As ``segment``, but the words of a run are those whose costs (word, cost: whole numbers) add up to least, of all ways to read it.
+
+    A character that is no word costs ``unknown``. Of equal costs the fewer
+    words count, then, from the end, the longer ones. Time is linear in a run's
+    length. Of a word with several costs the least counts.
+    """
+    words = words.select("run").where("run is not null").distinct()
+    costs = costs.where(F.length("word").between(1, longest)).groupBy("word").agg(F.min("cost").cast("long").alias("cost"))
+    small = costs.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    return _spans_of_ends((_paths_by_broadcast if small else _paths_by_join)(words, costs, unknown, longest))
+
+
+def _spans_of_ends(found: DataFrame) -> DataFrame:
+    spans = found.select("run", F.posexplode("ends").alias("k", "end"), "ends")
+    spans = spans.select("run", F.when(F.col("k") == 0, 0).otherwise(F.get("ends", F.col("k") - 1)).alias("start"), "end")
+    return spans.withColumn("word", F.expr("substring(run, start + 1, end - start)"))
+
+
+def _read(spans: DataFrame, lexicon: DataFrame) -> DataFrame:
     first = lexicon.groupBy("word").agg(F.min_by("pinyin", "ord").alias("pinyin"))
-    spans = segment(runs_, lexicon, longest).join(first, "word", "left")
+    spans = spans.join(first, "word", "left")
     letters, parts = F.split("word", ""), F.split(T.strip_blank(F.col("pinyin")), f"{T.BLANK}+")
     own = F.when(F.size(parts) == F.length("word"), parts).otherwise(F.slice(letters, 1, F.length("word")))
     listed = spans.select("run", "start", own.alias("own")).groupBy("run").agg(F.array_sort(F.collect_list(F.struct("start", "own"))).alias("all"))
     return listed.select("run", F.flatten(F.transform("all", lambda x: x["own"])).alias("readings"))
 
 
+def first_readings(runs_: DataFrame, lexicon: DataFrame, longest: int = LONGEST_WORD) -> DataFrame:
+    """A reading for each character of the distinct ``run``: from the first entry of its word, the character itself where none has one for each."""
+    return _read(segment(runs_, lexicon, longest), lexicon)
+
+
+def context_readings(runs_: DataFrame, lexicon: DataFrame, costs: DataFrame, unknown: int, longest: int = LONGEST_WORD) -> DataFrame:
+    """The same with the words of the cheapest way to read the whole run, so that a character is read as its neighbours on both sides suggest."""
+    return _read(segment_by_cost(runs_, costs, unknown, longest), lexicon)
+
+
 def annotate_lines(lines: DataFrame, readings: DataFrame, keys: list[str], chars: str = T.CJK) -> DataFrame:
     """Lines with a character of the class, their runs as ``tokens``: text, in_class and for each character ch and reading.
 

@@ -42,6 +42,26 @@ def tap_lookup(spark, sf_dir):
     return found.select("tap", "word", "start", "end", F.coalesce(entries, F.lit("")).alias("entries"), "error")
 
 
+@query(
+    f"""WITH RECURSIVE {_RUNS}, {_LEXICON},
+    pieces AS (SELECT run, p.pos - 1 AS s, p.pos - 1 + z.size AS e, substr(run, p.pos, z.size) AS word FROM runs, unnest(range(1, length(run) + 1)) AS p(pos), range(1, 9) AS z(size) WHERE p.pos + z.size <= length(run) + 1),
+    edges AS (SELECT run, e, list({{'s': s, 'cost': CASE WHEN seen IS NULL THEN 300 ELSE (100 + 4000 // seen)::BIGINT END}}) AS ways FROM pieces LEFT JOIN lexicon USING (word) WHERE seen IS NOT NULL OR e = s + 1 GROUP BY run, e),
+    paths(run, e, best) AS (SELECT run, 0::BIGINT, [0::HUGEINT] FROM runs UNION ALL
+      SELECT f.run, g.e, list_append(best, list_min(list_transform(ways, lambda x: ((best[x.s + 1] // 1099511627776 + x.cost) * 1048576 + best[x.s + 1] // 1048576 % 1048576 + 1) * 1048576 + x.s))) FROM paths f JOIN edges g ON g.run = f.run AND g.e = f.e + 1),
+    back(run, best, e, s) AS (SELECT run, best, e, (best[e + 1] % 1048576)::BIGINT FROM paths WHERE e = length(run) UNION ALL SELECT run, best, s, (best[s + 1] % 1048576)::BIGINT FROM back WHERE s > 0)
+    SELECT run, string_agg(substr(run, s + i + 1, 1) || CASE WHEN e - s > 1 THEN (e - s)::VARCHAR ELSE '' END, ' ' ORDER BY s + i) AS readings FROM back, unnest(range(0, e - s)) AS t(i) GROUP BY run"""
+)
+def context_readings(spark, sf_dir):
+    """All distinct letter runs, each letter read by the length of its word in the cheapest way to read the run."""
+    counted = _distinct_runs(spark, sf_dir)
+    lexicon = materialized(_prefix_lexicon(counted))
+    costs = lexicon.select("word", (100 + F.expr("4000 div seen")).alias("cost"))
+    letters = F.transform(F.slice(F.split("word", ""), F.lit(1), F.length("word")), lambda c: F.concat(c, F.length("word").cast("string")))
+    entries = lexicon.select("word", F.lit(1).alias("ord"), F.array_join(letters, " ").alias("pinyin"))
+    read = words.context_readings(counted, entries, costs, 300)
+    return read.select("run", F.array_join("readings", " ").alias("readings"))
+
+
 @query(
     f"""WITH RECURSIVE {_RUNS}, {_LEXICON},
     lines AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+') AS parts FROM conversations WHERE regexp_matches(text, '[A-Za-z]')),

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -129,3 +130,40 @@ def test_report_and_version(spark, tmp_path):
 def test_stale_caches(spark):
     names = spark.createDataFrame([("app-1",), ("app-2",), ("other",)], "name string")
     assert [r.name for r in assets.stale(names, "name", "app-", "app-2").collect()] == ["app-1"]
+
+
+def test_readings_by_context(spark, monkeypatch):
+    """A character with two readings is read by the words on both sides, where the longest match from the left is wrong."""
+    entries = spark.createDataFrame([("ab", 1, "A1 B1"), ("bc", 1, "B2 C2"), ("abc", 1, "A3 B3 C3"), ("cd", 1, "C4 D4"), ("d", 1, "D5"), ("d", 2, "D6"), ("ad", 1, "one")], "word string, ord int, pinyin string")
+    costs = spark.createDataFrame([("ab", 10), ("bc", 10), ("abc", 12), ("cd", 10), ("d", 9), ("d", 15), ("ad", 1)], "word string, cost int")
+    runs = spark.createDataFrame([("abcd",), ("abc",), ("xabx",), ("dd",), ("",), (None,), ("adad",)], "run string").repartition(3)
+    want = {"abcd": ["A1", "B1", "C4", "D4"], "abc": ["A3", "B3", "C3"], "xabx": ["x", "A1", "B1", "x"], "dd": ["D5", "D5"], "adad": ["a", "d", "a", "d"]}
+    for most in (500_000, 0):
+        monkeypatch.setattr(words, "BROADCAST_WORDS", most)
+        assert {r.run: r.readings for r in words.context_readings(runs, entries, costs, 30).collect()} == want
+    assert [r.readings for r in words.first_readings(runs.where("run = 'abcd'"), entries).collect()] == [["A3", "B3", "C3", "D5"]]
+
+
+def test_cheapest_paths_equal_brute_force(spark):
+    from itertools import combinations
+
+    draw = random.Random(6)
+    pieces = ["".join(draw.choice("ab") for _ in range(draw.randrange(1, 5))) for _ in range(14)]
+    cost = {w: draw.randrange(3, 9) for w in pieces}
+    runs = {"".join(draw.choice("ab") for _ in range(draw.randrange(1, 11))) for _ in range(40)}
+
+    def cheapest(run):
+        ways = []
+        for n in range(len(run)):
+            for inner in combinations(range(1, len(run)), n):
+                ends = [*inner, len(run)]
+                spans = list(zip([0, *ends], ends))
+                if all(run[a:b] in cost or b == a + 1 for a, b in spans):
+                    ways.append((sum(cost.get(run[a:b], 7) for a, b in spans), len(spans), [a for a, _ in reversed(spans)], spans))
+        return min(ways)[-1]
+
+    table = spark.createDataFrame(list(cost.items()), "word string, cost int")
+    found = {}
+    for r in words.segment_by_cost(spark.createDataFrame([(r,) for r in runs], "run string"), table, 7).collect():
+        found.setdefault(r.run, []).append((r.start, r.end))
+    assert {r: sorted(s) for r, s in found.items()} == {r: cheapest(r) for r in runs}
