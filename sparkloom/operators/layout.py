@@ -1,18 +1,20 @@
-"""Labels beside the characters of lines: layout and greedy placement, an image at a time.
+"""Labels beside the characters of lines: layout and greedy placement.
 
 A line is (line_no, vertical, chars); a character is (reading, quad), its quad
 eight numbers: the corners from the start of the reading direction, clockwise.
-Placement of a line depends on the lines placed before it in the same image, so
-the lines of an image meet in one group; images are independent.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sparkloom.operators import graph, spatial
+from sparkloom.storage import materialized
 
 #: Fixed values, in ems unless said otherwise: gap, strip padding, text height, least scale and its step.
 GAP, PAD, HEIGHT, LEAST_SCALE, SCALE_STEP = 0.15, 0.15, 1.2, 0.5, 0.05
@@ -102,52 +104,74 @@ def _line_boxes(lines: list[tuple[bool, list[tuple[str | None, list[float]]]]])
     return [_box(np.array([q for _, q in chars], float).reshape(-1, 8)) for _, chars in lines]
 
 
-def place(lines: list[tuple[bool, list[tuple[str | None, list[float]]]]], width: float, height: float, measure: Measure = fixed_width) -> list[tuple[str, float, bool]]:
-    """Side, scale and halo for each line.
-
-    Lines are taken from the top; each takes the first of: after, before, then
-    both ever smaller, at which its labels stay on the image and off all other
-    characters and earlier labels. If none does, full size with a halo.
-    """
-    boxes = _line_boxes(lines)
-    owner = np.repeat(np.arange(len(lines)), [len(b) for b in boxes])
-    chars_boxes = np.concatenate([np.zeros((0, 4)), *boxes])
-    whole = [np.concatenate([b[:, :2].min(axis=0), b[:, 2:].max(axis=0)]) if len(b) else np.zeros(4) for b in boxes]
-    taken, used = np.zeros((sum(len(b) for b in boxes), 4)), 0
-    out: list[tuple[str, float, bool]] = [("after", 1.0, False)] * len(lines)
-    for n in sorted(range(len(lines)), key=lambda k: (whole[k][1], whole[k][0])):
-        vertical, chars = lines[n]
-        reach = REACH * (boxes[n][:, 2:] - boxes[n][:, :2]).max() if len(boxes[n]) else 0.0
-        zone = (whole[n] + np.array([-reach, -reach, reach, reach]))[None]
-        near, earlier = _meet(zone, chars_boxes)[0] & (owner != n), _meet(zone, taken[:used])[0]
-        others = np.concatenate([chars_boxes[near], taken[:used][earlier]])
-        tried = all_strips(chars, vertical, measure)
-        inside = (tried[:, :, :2] >= 0).all(axis=(1, 2)) & (tried[:, :, 2] <= width).all(axis=1) & (tried[:, :, 3] <= height).all(axis=1)
-        free = next((k for k in np.flatnonzero(inside) if not len(others) or not _meet(tried[k], others).any()), None)
-        if free is not None:
-            chosen, halo = int(free), False
-        else:
-            chosen, halo = next((k for k in (0, 1) if inside[k]), 0), True
-        out[n] = (*TRIES[chosen], halo)
-        taken[used : used + tried.shape[1]] = tried[chosen]
-        used += tried.shape[1]
-    return out
-
-
 def _lines_of(rows: pd.DataFrame) -> list[tuple[bool, list[tuple[str | None, list[float]]]]]:
     return [(bool(v), [(c["reading"], list(c["quad"])) for c in chars]) for v, chars in zip(rows["vertical"], rows["chars"])]
 
 
-def place_labels(lines: DataFrame, image: str, measure: Measure = fixed_width) -> DataFrame:
-    """Placements of the lines (image, width, height, line_no, vertical, chars array of reading and quad); an image's lines are one group."""
-    kind = lines.schema[image].dataType.simpleString()
+def _near_lines(lines: DataFrame, image: str) -> DataFrame:
+    """Each line with its box, its ``reach`` and how early it is placed: from the top, then from the left."""
+    corner = lambda at: F.flatten(F.transform("chars", lambda c: F.filter(c["quad"], lambda _, k: k % 2 == at)))
+    spread = lambda q, at: F.array_max(F.filter(q, lambda _, k: k % 2 == at)) - F.array_min(F.filter(q, lambda _, k: k % 2 == at))
+    sizes = F.transform("chars", lambda c: F.greatest(spread(c["quad"], 0), spread(c["quad"], 1)))
+    ends = {"left": F.array_min(corner(0)), "top": F.array_min(corner(1)), "right": F.array_max(corner(0)), "bottom": F.array_max(corner(1))}
+    boxed = lines.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in ends.items()} | {"reach": F.coalesce(REACH * F.array_max(sizes), F.lit(0.0))})
+    return boxed.withColumn("line id", F.struct(F.col(image), F.col("line_no")))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("line_no")
-        found = place(_lines_of(rows), float(rows["width"].iloc[0]), float(rows["height"].iloc[0]), measure)
-        return pd.DataFrame({image: rows[image].to_numpy(), "line_no": rows["line_no"].to_numpy(), "side": [f[0] for f in found], "scale": [f[1] for f in found], "halo": [f[2] for f in found]})
 
-    return lines.groupBy(image).applyInPandas(run, f"{image} {kind}, line_no int, side string, scale double, halo boolean")
+def place_labels(lines: DataFrame, image: str, measure: Measure = fixed_width, cell: float = 256.0) -> DataFrame:
+    """Placements of the lines (image, width, height, line_no, vertical, chars array of reading and quad).
+
+    Lines are taken from the top; each takes the first of: after, before, then
+    both ever smaller, at which its labels stay on the image and off all other
+    characters and earlier labels. If none does, full size with a halo.
+
+    Lines are near if their zones (with the reach of labels) meet, by a grid
+    join. Which places are free of near lines' characters is found line by
+    line; only lines that are linked by near ones meet in a group, for the
+    choice among what is left.
+    """
+    kind = lines.schema[image].dataType.simpleString()
+    boxed = materialized(_near_lines(lines, image))
+    ends = [F.col("left") - F.col("reach"), F.col("top") - F.col("reach"), F.col("right") + F.col("reach"), F.col("bottom") + F.col("reach")]
+    zone = boxed.select(image, "line_no", *(v.alias(n) for v, n in zip(ends, ("x0", "y0", "x1", "y1"))))
+    near = materialized(spatial.overlapping(zone, [image], "line_no", cell))
+    both = near.select(image, F.col("first").alias("line_no"), F.col("second").alias("other")).union(near.select(image, "second", "first"))
+    others = boxed.select(image, F.col("line_no").alias("other"), F.transform("chars", lambda c: c["quad"]).alias("quads"))
+    obstacles = both.join(others, [image, "other"]).groupBy(image, "line_no").agg(F.flatten(F.collect_list("quads")).alias("obstacles"))
+    node = lambda c: F.struct(F.col(image).alias("image"), F.col(c).alias("line"))
+    roots = graph.components(near.select(node("first").alias("a"), node("second").alias("b")))
+    rooted = roots.select(F.col("node.image").alias(image), F.col("node.line").alias("line_no"), F.col("root.line").alias("part"))
+    asked = boxed.join(obstacles, [image, "line_no"], "left").join(rooted, [image, "line_no"], "left").withColumn("part", F.coalesce("part", "line_no"))
+
+    def free_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                chars = [(c["reading"], list(c["quad"])) for c in r.chars]
+                tried = all_strips(chars, r.vertical, measure)
+                blocked = _box(np.array([list(q) for q in r.obstacles], float).reshape(-1, 8)) if r.obstacles is not None else np.zeros((0, 4))
+                blocked = blocked[_meet(np.array([r.zone]), blocked)[0]]
+                inside = (tried[:, :, :2] >= 0).all(axis=(1, 2)) & (tried[:, :, 2] <= r.width).all(axis=1) & (tried[:, :, 3] <= r.height).all(axis=1)
+                free = [k for k in np.flatnonzero(inside) if not len(blocked) or not _meet(tried[k], blocked).any()]
+                halo = next((k for k in (0, 1) if inside[k]), 0)
+                out.append((r[0], r.line_no, r.part, r.zone, r.top, r.left, free, halo, [tried[k].reshape(-1) for k in [*free, halo]]))
+            yield pd.DataFrame(out, columns=[image, "line_no", "part", "zone", "top", "left", "free", "with_halo", "strips"])
+
+    ddl = f"{image} {kind}, line_no int, part int, zone array<double>, top double, left double, free array<int>, with_halo int, strips array<array<double>>"
+    choices = asked.select(image, "line_no", "part", F.array(*ends).alias("zone"), "top", "left", "vertical", "width", "height", "chars", "obstacles").mapInPandas(free_places, ddl)
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        taken, out = np.zeros((0, 4)), []
+        for r in rows.sort_values(["top", "left", "line_no"]).itertuples(index=False):
+            strips_ = [np.asarray(s, float).reshape(-1, 4) for s in r.strips]
+            near = taken[_meet(np.asarray(r.zone, float)[None], taken)[0]]
+            found = next((k for k in range(len(r.free)) if not _meet(strips_[k], near).any()), None)
+            chosen = r.with_halo if found is None else r.free[found]
+            out.append((r[0], r.line_no, *TRIES[chosen], found is None))
+            taken = np.concatenate([taken, strips_[-1 if found is None else found]])
+        return pd.DataFrame(out, columns=[image, "line_no", "side", "scale", "halo"])
+
+    return choices.groupBy(image, "part").applyInPandas(choose, f"{image} {kind}, line_no int, side string, scale double, halo boolean")
 
 
 def violations(lines: DataFrame, placements: DataFrame, image: str, measure: Measure = fixed_width) -> DataFrame:

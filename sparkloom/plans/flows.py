@@ -255,15 +255,29 @@ def recognised_lines(spark, sf_dir):
 # Labels
 
 
-@query("SELECT p_partkey // 6 AS image, sum(length(replace(p_name, ' ', '')))::BIGINT AS syllables, sum(length(replace(p_name, ' ', '')))::BIGINT AS labels, 0::BIGINT AS covered, 0::BIGINT AS stacked, 0::BIGINT AS outside FROM part GROUP BY 1")
+@query(
+    """WITH RECURSIVE lines AS (SELECT p_partkey // 6 AS image, (p_partkey % 6)::INT AS line_no, length(replace(p_name, ' ', '')) AS n, p_size::DOUBLE AS x, (p_partkey % 6 * 97 + p_partkey * 37 % 50)::DOUBLE AS y FROM part),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY y, x, line_no) AS k FROM lines),
+    tries AS (SELECT t.i AS try, 18::DOUBLE * (1::DOUBLE - 0.05::DOUBLE * (t.i // 2)) AS f, t.i % 2 = 0 AS after FROM range(22) AS t(i)),
+    strips AS (SELECT image, k, try, f, n, x, CASE WHEN after THEN y + 40 + 0.15::DOUBLE * f ELSE y - 0.15::DOUBLE * f - 1.2::DOUBLE * f END AS text_y FROM ordered, tries),
+    boxes AS (SELECT image, k, try, list_transform(range(n), lambda i: {'x0': x + 30 * i + 15 - (0.6::DOUBLE * f) / 2 - 0.15::DOUBLE * f, 'y0': text_y - 0.15::DOUBLE * f, 'x1': x + 30 * i + 15 - (0.6::DOUBLE * f) / 2 + 0.6::DOUBLE * f + 0.15::DOUBLE * f, 'y1': text_y + 1.2::DOUBLE * f + 0.15::DOUBLE * f}) AS b FROM strips),
+    inside AS (SELECT *, len(list_filter(b, lambda s: s.x0 < 0 OR s.y0 < 0 OR s.x1 > 1500 OR s.y1 > 700)) = 0 AS fits FROM boxes),
+    free AS (SELECT i.*, fits AND NOT EXISTS (SELECT 1 FROM ordered o WHERE o.image = i.image AND o.k <> i.k AND o.y < b[1].y1 AND b[1].y0 < o.y + 40 AND len(list_filter(b, lambda s: s.x0 < o.x + 30 * o.n AND o.x < s.x1)) > 0) AS open FROM inside i),
+    choices AS (SELECT image, k, list({'try': try, 'b': b} ORDER BY try) FILTER (open) AS free, coalesce(min(try) FILTER (fits AND try < 2), 0) AS with_halo, list(b ORDER BY try) AS every FROM free GROUP BY image, k),
+    walk(image, k, taken, chosen, halo) AS (SELECT DISTINCT image, 0::BIGINT, []::STRUCT(x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[], 0::BIGINT, false FROM ordered UNION ALL
+      SELECT image, k, list_concat(taken, every[coalesce(good, with_halo) + 1]), coalesce(good, with_halo), good IS NULL FROM (
+        SELECT c.*, w.taken, list_min(list_transform(list_filter(c.free, lambda t: len(list_filter(w.taken, lambda o: o.y0 < t.b[1].y1 AND t.b[1].y0 < o.y1 AND len(list_filter(t.b, lambda s: s.x0 < o.x1 AND o.x0 < s.x1)) > 0)) = 0), lambda t: t.try)) AS good
+        FROM walk w JOIN choices c ON c.image = w.image AND c.k = w.k + 1))
+    SELECT image, line_no, CASE WHEN chosen % 2 = 0 THEN 'after' ELSE 'before' END AS side, round(1 - 0.05 * (chosen // 2), 2)::DOUBLE AS scale, halo FROM walk JOIN ordered USING (image, k)"""
+)
 def place_labels(spark, sf_dir):
-    """Six parts' names as lines of an image: every letter keeps its label, and no strip without a halo covers another line's letters or labels or leaves the image."""
+    """Six parts' names as lines of an image: side and scale of each line's labels, and whether they have a halo."""
     letters = F.split(F.regexp_replace("p_name", " ", ""), "")
     y = ((F.col("p_partkey") % 6) * 97 + F.col("p_partkey") * 37 % 50).cast("double")
     corners = F.array(*(F.lit(float(v)) for v in (0, 0, 30, 0, 30, 40, 0, 40)))
     chars = F.transform(F.slice(letters, F.lit(1), F.length(F.regexp_replace("p_name", " ", ""))), lambda c, k: F.struct(c.alias("reading"), F.transform(corners, lambda v, i: v + F.when(i % 2 == 0, k * 30.0 + F.col("p_size")).otherwise(y)).alias("quad")))
     lines = _table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 6).alias("image"), F.lit(1500.0).alias("width"), F.lit(700.0).alias("height"), (F.col("p_partkey") % 6).cast("int").alias("line_no"), F.lit(False).alias("vertical"), chars.alias("chars"))
-    return layout.violations(lines, layout.place_labels(lines, "image"), "image")
+    return layout.place_labels(lines, "image").withColumn("scale", F.round("scale", 2))
 
 
 # States and messages
