@@ -133,9 +133,10 @@ def running_total(events: DataFrame, keys: list[str], order: list[str], value: s
     return joined.withColumn(name, F.when(F.col("sum before").isNull(), own).otherwise(F.col("sum before") + F.coalesce(own, F.lit(0)))).select(*names, name)
 
 
-def taps(moves: DataFrame, session: str, ts: str, x: str, y: str, most_px: float = 10.0, most_seconds: float = 0.3) -> DataFrame:
-    """Pointer sessions that are taps: never ``most_px`` from where they began and shorter than ``most_seconds``."""
-    start = moves.groupBy(session).agg(F.min_by(F.struct(x, y), ts).alias("from"), F.min(ts).alias("t0"), F.max(ts).alias("t1"))
+def taps(moves: DataFrame, session: str, ts: str, x: str, y: str, most_px: float = 10.0, most_seconds: float = 0.3, pointer: str | None = None) -> DataFrame:
+    """Pointer sessions that are taps: never ``most_px`` from where they began and shorter than ``most_seconds``; if ``pointer`` is named, by one pointer alone."""
+    alone = (F.min(pointer).eqNullSafe(F.max(pointer)) if pointer else F.lit(True)).alias("alone")
+    start = moves.groupBy(session).agg(F.min_by(F.struct(x, y), ts).alias("from"), F.min(ts).alias("t0"), F.max(ts).alias("t1"), alone).where("alone").drop("alone")
     far = moves.join(start, session).groupBy(session, "t0", "t1").agg(F.max(F.hypot(F.col(x) - F.col(f"from.{x}"), F.col(y) - F.col(f"from.{y}"))).alias("far"))
     quick = F.col("t1").cast("double") - F.col("t0").cast("double") < most_seconds
     return far.where((F.col("far") < most_px) & quick).select(session, "t0", "far")

@@ -89,3 +89,9 @@ def test_stretches_give_the_same(spark):
     plain = lambda df: sorted(map(tuple, df.collect()), key=lambda r: r[1])
     assert plain(E.deltas(events, "k", ["n"], "v", 20)) == plain(E.deltas(events, "k", ["n"], "v"))
     assert plain(E.running_total(events, ["k"], ["n"], "v", width=20)) == plain(E.running_total(events, ["k"], ["n"], "v"))
+
+
+def test_taps_by_one_pointer_alone(spark):
+    moves = spark.createDataFrame([("one", 0.0, 1, 5.0, 5.0), ("one", 0.1, 1, 6.0, 5.0), ("two", 0.0, 1, 5.0, 5.0), ("two", 0.1, 2, 6.0, 5.0), ("far", 0.0, 1, 0.0, 0.0), ("far", 0.2, 1, 30.0, 0.0), ("slow", 0.0, 1, 0.0, 0.0), ("slow", 0.4, 1, 0.0, 0.0)], "s string, t double, p int, x double, y double")
+    assert sorted(r.s for r in E.taps(moves, "s", "t", "x", "y").collect()) == ["one", "two"]
+    assert [r.s for r in E.taps(moves, "s", "t", "x", "y", pointer="p").collect()] == ["one"]
