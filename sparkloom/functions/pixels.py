@@ -30,8 +30,12 @@ def resized(image: np.ndarray, width: int, height: int) -> np.ndarray:
     high, wide = image.shape[:2]
     if (high, wide) == (height, width):
         return image
-    x, y = (np.arange(width) + 0.5) * wide / width - 0.5, (np.arange(height) + 0.5) * high / height - 0.5
-    return sampled(image, *np.meshgrid(x, y))
+    x = np.clip((np.arange(width) + 0.5) * wide / width - 0.5, 0, wide - 1)
+    y = np.clip((np.arange(height) + 0.5) * high / height - 0.5, 0, high - 1)
+    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
+    fx, fy = (x - x0)[None, :, None], (y - y0)[:, None, None]
+    across = image[:, x0] * (1 - fx) + image[:, np.minimum(x0 + 1, wide - 1)] * fx  # once for each row there is
+    return np.rint(across[y0] * (1 - fy) + across[np.minimum(y0 + 1, high - 1)] * fy).astype(np.uint8)
 
 
 def warped(image: np.ndarray, frame: dict) -> np.ndarray:
