@@ -491,4 +491,4 @@ def test_grammar_round_trip():
 
 
 def test_registry_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
