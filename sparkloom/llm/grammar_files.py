@@ -247,6 +247,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.model._resize_cache(0)  # what gets here is in no cache, so its own would only be filled in vain
         self.first_free = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.first = WorkerCache(lambda keys: self.fresh([k.decode() for k in keys]), CACHE_CHUNKS // 4)
