@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 #: The class that is used unless another is given.
 CJK = "一-鿿"
@@ -64,24 +64,113 @@ def mark_pinyin(text: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[A-Za-zÜü:]+[1-5]$"), mark_syllable(p)).otherwise(p)), "")
 
 
+def _spread(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of texts, and of each character its code, text and place."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    places = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return lengths, codes, np.repeat(np.arange(len(texts)), lengths), places
+
+
+def _edits_by_rows(label: str, text: str) -> int:
+    """The table of edits, a row for each character of the label: for few long texts."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    row, steps = np.zeros(len(codes) + 1, np.int64), np.arange(len(codes) + 1)
+    for n, c in enumerate(label, 1):
+        best = np.empty_like(row)
+        best[0] = n
+        best[1:] = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))
+        row = np.minimum.accumulate(best - steps) + steps
+    return int(row.min())
+
+
+def _edits_in_step(labels: list[str], texts: list[str], words: int) -> np.ndarray:
+    """Columns of that table as differences in 64-bit words (Myers), all pairs a character at a time.
+
+    Labels take ``words`` words each. A shorter text is filled up with a character
+    that no label has, which never makes the least distance less.
+    """
+    size, codes, own, place = _spread(labels)
+    letters = np.unique(codes)
+    wide = len(letters) + 1
+    masks = np.zeros((words, len(labels) * wide), np.uint64)
+    np.bitwise_or.at(masks, (place // 64, own * wide + np.searchsorted(letters, codes)), np.uint64(1) << (place % 64).astype(np.uint64))
+    lengths, codes, own, place = _spread(texts)
+    number = np.minimum(np.searchsorted(letters, codes), len(letters) - 1)
+    number[letters[number] != codes] = wide - 1
+    columns = np.full((int(lengths.max(initial=0)), len(texts)), wide - 1, np.int32)
+    columns[place, own] = number
+    one, none = np.uint64(1), np.zeros(len(labels), np.uint64)
+    up, down = np.full((words, len(labels)), ~np.uint64(0)), np.zeros((words, len(labels)), np.uint64)
+    end, base = ((size - 1) % 64).astype(np.uint64), np.arange(len(labels)) * wide
+    score, best = size.copy(), size.copy()
+    for column in columns:
+        at, more, less = base + column, none, none
+        for w in range(words):
+            same, p, m = masks[w].take(at), up[w], down[w]
+            cross = same | m
+            same = same | less
+            level = (((same & p) + p) ^ p) | same
+            rise, fall = m | ~(level | p), p & level
+            if w == words - 1:
+                score += ((rise >> end) & one).astype(np.int64) - ((fall >> end) & one).astype(np.int64)
+            shifted, more = (rise << one) | more, rise >> np.uint64(63)
+            lower, less = (fall << one) | less, fall >> np.uint64(63)
+            up[w], down[w] = lower | ~(cross | shifted), shifted & cross
+        np.minimum(best, score, out=best)
+    return best
+
+
+def substring_edits(labels: list[str], texts: list[str], together: int = 1024, cells: int = 1 << 22) -> np.ndarray:
+    """For each pair the least edits that turn the label into some substring of the text.
+
+    Pairs of like sizes are worked on together, ``cells`` table cells at most.
+    """
+    size, lengths = (np.fromiter(map(len, x), np.int64, len(x)) for x in (labels, texts))
+    words = (size + 63) // 64
+    out = np.zeros(len(labels), np.int64)
+    order = np.lexsort((lengths, words))
+    order = order[size[order] > 0]
+    starts = np.flatnonzero(np.r_[True, words[order[1:]] != words[order[:-1]]]) if len(order) else []
+    waiting = [part[k : k + together] for part in np.split(order, starts[1:]) for k in range(0, len(part), together)]
+    while waiting:
+        part = waiting.pop()
+        n, w = len(part), int(words[part[0]])
+        in_step = int(lengths[part].max()) * w * (1.5e-5 + n * 1.5e-8)
+        by_rows = float((size[part] * (1e-5 + lengths[part] * 6e-9)).sum())
+        own = [labels[i] for i in part]
+        if n > 1 and n * max(w * (len(set().union(*own)) + 1), int(lengths[part].max())) > cells:
+            waiting += [part[: n // 2], part[n // 2 :]]
+        elif by_rows < in_step:
+            out[part] = [_edits_by_rows(label, texts[i]) for label, i in zip(own, part)]
+        else:
+            out[part] = _edits_in_step(own, [texts[i] for i in part], w)
+    return out
+
+
 @F.pandas_udf(IntegerType())
 def substring_distance(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Edits that turn a label into some substring of a text; null if either is null."""
+    for labels, texts in pairs:
+        out = pd.Series([None] * len(labels), dtype="Int32")
+        known = np.flatnonzero(labels.notna() & texts.notna())
+        out.iloc[known] = substring_edits(labels.iloc[known].tolist(), texts.iloc[known].tolist())
+        yield out
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def nearest_texts(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """For each label of an array the nearest text of another one, the first of equals: edits * 2^32 + its place."""
 
-    def distance(label: str | None, text: str | None) -> int | None:
-        if label is None or text is None:
-            return None
-        codes = np.array([ord(c) for c in text], np.int64)
-        row, steps = np.zeros(len(codes) + 1, np.int64), np.arange(len(codes) + 1)
-        for n, c in enumerate(label, 1):
-            best = np.empty_like(row)
-            best[0] = n
-            best[1:] = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))
-            row = np.minimum.accumulate(best - steps) + steps
-        return int(row.min())
+    def nearest(labels: list[str], texts: list[str]) -> list[int]:
+        held = [next((k for k, text in enumerate(texts) if label in text), -1) for label in labels]
+        rest = [label for label, k in zip(labels, held) if k < 0]
+        edits = substring_edits([label for label in rest for _ in texts], texts * len(rest)).reshape(len(rest), len(texts))
+        found = iter((int(row.min()) << 32) + int(row.argmin()) for row in edits)
+        return [next(found) if k < 0 else k for k in held]
 
     for labels, texts in pairs:
-        yield pd.Series([distance(a, b) for a, b in zip(labels, texts)], dtype="Int32")
+        yield pd.Series([nearest(list(a), list(b)) for a, b in zip(labels, texts)], dtype=object)
 
 
 def round_half_up(value: Column) -> Column:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
@@ -83,6 +84,62 @@ def test_scores(spark):
     assert (total.exact, total.required) == (2, 4) and abs(total.mean_cer - (0.2 + 1) / 4) < 1e-9
 
 
+def _edits(label, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(label, 1):
+        last, row = row, [i]
+        for j, t in enumerate(text, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != t)))
+    return min(row)
+
+
+def test_edits_in_words_of_bits():
+    draw = random.Random(5)
+    text = lambda most: "".join(draw.choice("abc面粉😀") for _ in range(draw.randint(0, most)))
+    labels = [text(m) for m in (3, 20, 63, 64, 65, 128, 129, 200) for _ in range(25)]
+    texts = [text(m) for m in (0, 5, 40, 300) for _ in range(50)]
+    texts[::3] = [text(10) + label[: len(label) * 2 // 3] + text(4) + label[len(label) // 2 :] for label in labels[::3]]
+    want = [_edits(a, b) for a, b in zip(labels, texts)]
+    assert T.substring_edits(labels, texts).tolist() == want
+    assert T.substring_edits(labels, texts, together=7, cells=500).tolist() == want
+    assert [T._edits_by_rows(a, b) for a, b in zip(labels, texts)] == want
+    for words in {(len(a) + 63) // 64 for a in labels} - {0}:
+        some = [k for k, a in enumerate(labels) if (len(a) + 63) // 64 == words]
+        assert T._edits_in_step([labels[k] for k in some], [texts[k] for k in some], words).tolist() == [want[k] for k in some]
+
+
+@pytest.mark.parametrize("direct", [0, 1 << 16])
+def test_best_matches_by_brute_force(spark, monkeypatch, direct):
+    monkeypatch.setattr(evaluation, "DIRECT_PAIRS", direct)
+    monkeypatch.setattr(evaluation, "LABELS", 4)
+    monkeypatch.setattr(evaluation, "TEXTS", 5)
+    draw = random.Random(7)
+    text = lambda least, most: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(least, most)))
+    lines = [(key, k, text(0, 30)) for key in "pq" for k in range(40)] + [("r", 0, "..")]
+    lines += [("q", 40, lines[50][2]), ("p", 41, None)]
+    labels = []
+    for key, k, line in lines[:81]:
+        whole = (line or "")[:12]
+        labels += [(key, 2 * k, whole), (key, 2 * k + 1, "".join(c for c in whole if draw.random() < 0.8) + text(0, 2))]
+    labels += [("s", 0, "abc"), ("q", 900, "xyz"), ("q", 901, None), ("q", 900, "xyz"), ("p", 902, "ab")]
+    found = evaluation.best_matches(spark.createDataFrame(labels, "f string, ord int, label string"), spark.createDataFrame(lines, "f string, line_no int, text string"), ["f"], "a-z").collect()
+    want = set()
+    for key, at, label in labels:
+        if label:
+            best = min([(_edits(label, t), n, t) for f, n, t in lines if f == key and t and t != ".."] + [(len(label), -1, "")])
+            want.add((key, at, label, best[2] if best[0] < len(label) else "", best[0]))
+    assert len(found) == len(want) and {tuple(r)[:5] for r in found} == want
+
+
+def test_candidates_are_few(spark):
+    """Labels one edit away from one of many lines meet few of them, and theirs among these."""
+    draw = random.Random(9)
+    lines = [("k", n, "".join(draw.choice("abcdefghijklmnopqrst") for _ in range(30))) for n in range(300)]
+    labels = [("k", n, line[4:12] + "z" + line[13:22]) for _, n, line in lines]
+    pairs = evaluation.candidates(spark.createDataFrame(labels, "f string, ord int, label string"), spark.createDataFrame(lines, "f string, line_no int, text string"), ["f"]).select("ord", "line_no").collect()
+    assert {(n, n) for n in range(300)} <= {tuple(r) for r in pairs} and len(pairs) < 300 * 300 / 20
+
+
 def test_choice(spark):
     schema = "id string, download_mb double, exact int, required int, total_ms double, ord int"
     pick = lambda rows: [r.id for r in evaluation.choose(spark.createDataFrame([(i, m, e, 100, t, k) for k, (i, m, e, t) in enumerate(rows)], schema).withColumn("all", F.lit(1)), ["all"]).collect()]
