@@ -33,7 +33,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +40,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.chunks import WorkerCache, split_chunks, whole_chunks
+from sparkloom.llm.chunk_table import ChunkTable
+from sparkloom.llm.chunks import IRREGULAR, whole_chunks
 from sparkloom.llm.common import fresh_path, map_batches, utf8
 
-#: Chunks that a worker keeps at most, about 200 bytes each.
+#: Chunks that a worker keeps at most, about 80 bytes each.
 CACHE_CHUNKS = 1_000_000
 #: Bytes of text that are encoded together.
 TOGETHER = 1 << 19
@@ -240,7 +240,7 @@ class Expander:
 
 
 class Encoder:
-    """A worker's tokenizer with its chunk caches."""
+    """A worker's tokenizer with its table of chunks."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -250,8 +250,7 @@ class Encoder:
         self.tokenizer.model._resize_cache(0)  # what gets here is in no cache, so its own would only be filled in vain
         self.first_free = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.first = WorkerCache(lambda keys: self.fresh([k.decode() for k in keys]), CACHE_CHUNKS // 4)
-        self.later = WorkerCache(self.fresh_together, CACHE_CHUNKS)
+        self.table = ChunkTable(self.fresh_chunks, CACHE_CHUNKS)
         space, line = (self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in " \n")
         self.opening = np.zeros(self.first_free, bool)
         for token, number in self.tokenizer.get_vocab().items():
@@ -267,21 +266,22 @@ class Encoder:
         raw, cuts = ids.tobytes(), (4 * np.r_[starts, len(ids)]).tolist()
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
+    def fresh_chunks(self, keys: list[bytes]) -> list[bytes]:
+        """The ids of each chunk; those that begin a text have no space or line end before them."""
+        opens = [key[:1] not in (b" ", b"\n") for key in keys]
+        first = iter(self.fresh([key.decode() for key, own in zip(keys, opens) if own]))
+        rest = [key.removeprefix(b" ") for key, own in zip(keys, opens) if not own]
+        later = iter(self.fresh_together(rest) if rest else [])
+        return [next(first) if own else next(later) for own in opens]
+
     def fresh(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as 4-byte integers; what no cache holds is encoded together."""
-        every = [None if any(s in text for s in self.special) else split_chunks(text) for text in texts]
-        first = iter(self.first.lookup([chunks[0] for chunks in every if chunks is not None]))
-        later = iter(self.later.lookup([chunk for chunks in every if chunks is not None for chunk in islice(chunks, 1, None)]))
-        found = []
-        for text, chunks in zip(texts, every):
-            if chunks is None:
-                found.append(self.fresh([text.decode()])[0])
-            else:
-                found.append(b"".join([next(first), *islice(later, len(chunks) - 1)]))
-        return found
+        odd = [any(s in text for s in self.special) or IRREGULAR.search(text) is not None for text in texts]
+        plain = iter(self.table.encode([text for text, own in zip(texts, odd) if not own]))
+        return [self.fresh([text.decode()])[0] if own else next(plain) for text, own in zip(texts, odd)]
 
 
 #: Of this worker process: it outlives tasks.
