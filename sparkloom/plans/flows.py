@@ -159,10 +159,12 @@ def crop_frames(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_QUADS}, q AS (SELECT *, greatest(22.0, sqrt(w * w + k * k), sqrt(k * k + h * h)) AS far, (x + x + w - k) / 2 AS cx, (y + y + h + k) / 2 AS cy FROM quads),
+    f"""WITH {_QUADS}, c AS (SELECT p_partkey, p_brand, w, h, x AS x0, y AS y0, x + w AS x1, y + k AS y1, x + w - k AS x2, y + h + k AS y2, x - k AS x3, y + h AS y3 FROM quads),
+    q AS (SELECT *, greatest(22.0, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)), sqrt((x3 - x0) * (x3 - x0) + (y3 - y0) * (y3 - y0))) AS far, (x0 + x2) / 2 AS cx, (y0 + y2) / 2 AS cy FROM c),
     p AS (SELECT o_orderkey, 'Brand#' || (o_orderkey % 5 + 1) || (o_custkey % 5 + 1) AS p_brand, 900 + (o_custkey % 1100)::DOUBLE AS px, (o_orderkey % 101)::DOUBLE AS py FROM orders),
-    j AS (SELECT o_orderkey, p_partkey, far, sqrt((px - cx) * (px - cx) + (py - cy) * (py - cy)) AS away, [w * (py - y) - k * (px - x), -k * (py - y - k) - h * (px - x - w), -w * (py - y - h - k) + k * (px - x - w + k), k * (py - y - h) + h * (px - x + k)] AS s FROM p JOIN q USING (p_brand) WHERE abs(px - cx) <= far + w + h AND abs(py - cy) <= far + w + h),
-    t AS (SELECT *, list_min(s) >= 0 OR list_max(s) <= 0 AS inside FROM j)
+    j AS (SELECT o_orderkey, p_partkey, far, sqrt((px - cx) * (px - cx) + (py - cy) * (py - cy)) AS away, [(x1 - x0) * (py - y0) - (y1 - y0) * (px - x0), (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1), (x3 - x2) * (py - y2) - (y3 - y2) * (px - x2), (x0 - x3) * (py - y3) - (y0 - y3) * (px - x3)] AS s,
+      px BETWEEN least(x0, x1, x2, x3) AND greatest(x0, x1, x2, x3) AND py BETWEEN least(y0, y1, y2, y3) AND greatest(y0, y1, y2, y3) AS boxed FROM p JOIN q USING (p_brand) WHERE abs(px - cx) <= far + w + h AND abs(py - cy) <= far + w + h),
+    t AS (SELECT *, boxed AND (list_min(s) >= 0 OR list_max(s) <= 0) AS inside FROM j)
     SELECT o_orderkey, p_partkey, inside FROM t WHERE inside OR away <= far QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY inside DESC, CASE WHEN inside THEN 0 ELSE away END, p_partkey) = 1"""
 )
 def quad_taps(spark, sf_dir):

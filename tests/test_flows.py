@@ -75,6 +75,14 @@ def test_covered_entries_by_brute_force(spark):
     assert sorted((r.w, r.k) for r in found.collect()) == sorted(expected) and found.columns == ["w", "k", "g"]
 
 
+def test_covered_entries_of_which_most_are_copies(spark):
+    # 60,000 equal entries: as pairs they would be 3.6e9 rows.
+    copies = spark.range(60_000).selectExpr("'x' AS w", "cast(id + 5 AS int) AS k", "array('a', 'b') AS g")
+    few = spark.createDataFrame([("x", 1, ["a"]), ("x", 2, ["c"]), ("x", 3, ["c"]), ("x", 4, []), ("y", 1, []), ("y", 2, None), (None, 3, ["a"]), (None, 4, ["a"])], "w string, k int, g array<string>")
+    found = words.drop_covered(copies.union(few), ["w"], "k", "g").collect()
+    assert sorted((str(r.w), r.k) for r in found) == [("None", 3), ("None", 4), ("x", 2), ("x", 5), ("y", 1), ("y", 2)]
+
+
 def quads(rows):
     return [(*head, [tuple(map(float, p)) for p in quad]) for *head, quad in rows]
 
@@ -301,3 +309,53 @@ def test_labels_inside_tokens(spark):
     labels = spark.createDataFrame([("f", 0, "bc"), ("f", 1, "zz"), ("g", 2, "a")], "f string, ord int, label string")
     tokens = spark.createDataFrame([("f", 3, "xbc", ["X", "B", "C"]), ("f", 1, "abcd", ["A", "B", None, "D"]), ("g", 0, "b", ["B"])], "f string, token_no int, text string, readings array<string>")
     assert [(r.ord, r.token_no, r.readings) for r in words.contained(labels, tokens, ["f"]).collect()] == [(0, 1, ["B", None])]
+
+
+def test_taps_between_equal_centres_take_the_first_quad(spark):
+    # Hypotenuses by another formula than roots of sums of squares tell such distances apart.
+    draw = random.Random(8)
+    given, taps, want = [], [], {}
+    for k in range(300):
+        x, y, dx, dy = draw.randrange(900, 1000) + draw.randrange(10) / 10, draw.randrange(97), draw.randrange(1, 12) + 0.1, draw.randrange(1, 12) + 0.3
+        for n, (sx, sy) in enumerate(((dx, dy), (dy, dx))):
+            cx, cy = x + sx, y + sy
+            given.append((str(k), 2 * k + n, [(cx - 0.1, cy - 0.1), (cx + 0.1, cy - 0.1), (cx + 0.1, cy + 0.1), (cx - 0.1, cy + 0.1)]))
+        taps.append((k, str(k), x, float(y)))
+        own = [(np.sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)), i) for _, i, q in given[-2:] for cx, cy in [((q[0][0] + q[2][0]) / 2, (q[0][1] + q[2][1]) / 2)]]
+        want[k] = min(own)[1]
+    frame = spark.createDataFrame([(g, i, [{"x": a, "y": b} for a, b in q]) for g, i, q in given], f"g string, id int, {QUAD}").withColumn("ord", F.col("id"))
+    found = spatial.quad_hits(spark.createDataFrame(taps, "p int, g string, x double, y double"), frame, ["g"], "p", "id", 22.0, 32.0).collect()
+    assert {r.p: r.id for r in found} == want and not any(r.inside for r in found)
+
+
+def test_taps_on_piles_of_shapes_by_brute_force(spark):
+    draw = random.Random(11)
+    boxes, quads_ = [], []
+    for k in range(400):
+        x, y = draw.randrange(900, 960) + draw.randrange(10) / 10, float(draw.randrange(40))
+        w, h, lean = float(draw.randrange(1, 51)), float(draw.randrange(1, 30)), float(draw.randrange(7))
+        boxes.append(("a", k, x, y, x + w, y + h))
+        quads_.append(("a", k, [(x, y), (x + w, y + lean), (x + w - lean, y + h + lean), (x - lean, y + h)]))
+    points = [(k, "a", float(draw.randrange(860, 1060)), float(draw.randrange(-30, 90))) for k in range(500)] * 2
+    points = [(k, *p[1:]) for k, p in enumerate(points)]
+    taps = spark.createDataFrame(points, "p int, g string, x double, y double")
+    away = lambda x, y, cx, cy: float(np.sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)))
+
+    def best(judged):
+        found = [(not i, 0.0 if i else d, k) for k, i, d, far in judged if i or d <= far]
+        return (min(found)[2], not min(found)[0]) if found else None
+
+    frame = spark.createDataFrame(boxes, "g string, id int, x0 double, y0 double, x1 double, y1 double").withColumn("ord", -F.col("id"))
+    hits = {r.p: (-r.id, r.inside) for r in spatial.hits(taps, frame, ["g"], "p", "id", 22.0, 16.0).collect()}
+    want = {p: best([(-k, x0 <= x <= x1 and y0 <= y <= y1, away(x, y, (x0 + x1) / 2, (y0 + y1) / 2), max(22.0, x1 - x0, y1 - y0)) for _, k, x0, y0, x1, y1 in boxes]) for p, _, x, y in points}
+    assert hits == {p: v for p, v in want.items() if v} and {v[1] for v in hits.values()} == {True, False}
+    frame = spark.createDataFrame([(g, i, [{"x": a, "y": b} for a, b in q]) for g, i, q in quads_], f"g string, id int, {QUAD}").withColumn("ord", F.col("id"))
+    hits = {r.p: (r.id, r.inside) for r in spatial.quad_hits(taps, frame, ["g"], "p", "id", 22.0, 32.0).collect()}
+
+    def judge(k, q, x, y):
+        sides = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for (ax, ay), (bx, by) in zip(q, q[1:] + q[:1])]
+        far = max(22.0, away(*q[1], *q[0]), away(*q[3], *q[0]))
+        return k, min(sides) >= 0 or max(sides) <= 0, away(x, y, (q[0][0] + q[2][0]) / 2, (q[0][1] + q[2][1]) / 2), far
+
+    want = {p: best([judge(k, q, x, y) for _, k, q in quads_]) for p, _, x, y in points}
+    assert hits == {p: v for p, v in want.items() if v}
