@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
+from sparkloom.storage import materialized
 
 LONGEST_WORD = 8
 #: Lexicons of up to so many words are broadcast; larger ones are joined by a shuffle.
@@ -269,21 +270,28 @@ def clean_gloss(gloss):
 def drop_covered(entries: DataFrame, keys: list[str], order: str, glosses: str) -> DataFrame:
     """Entries whose glosses do not all appear in another entry of the group that has more, or as many and comes first.
 
-    Candidates are looked up by an entry's rarest gloss in its group, so they
-    grow with the copies of that gloss and not with the group.
+    Entries with the same glosses are one, of which the first may stay.
+    Candidates among those are looked up by the rarest gloss in the group, so
+    they grow with the different sets that have it, not with the group.
     """
-    each = entries.select(*keys, F.col(order).alias("own order"), F.col(glosses).alias("own glosses"), F.explode(glosses).alias("gloss")).distinct()
+    known = F.col(glosses).isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    own = {"own glosses": F.array_sort(F.array_distinct(glosses)), "own size": F.size(glosses)}
+    sets = materialized(entries.where(known).groupBy(*keys, *(v.alias(k) for k, v in own.items())).agg(F.min(order).alias("own order"), F.max(order).alias("own last")))
+    each = sets.withColumn("gloss", F.explode("own glosses"))
     counts = each.groupBy(*keys, "gloss").agg(F.count("*").alias("copies"))
-    rarest = each.join(counts, [*keys, "gloss"]).groupBy(*keys, "own order", "own glosses").agg(F.min_by("gloss", F.struct("copies", "gloss")).alias("gloss"))
-    others = each.withColumnsRenamed({"own order": "other order", "own glosses": "other glosses"})
-    pairs = rarest.join(others, [*keys, "gloss"]).where("`own order` <> `other order`")
-    more, fewer = F.size(F.array_distinct("other glosses")), F.size(F.array_distinct("own glosses"))
-    inside = (F.size(F.array_except("own glosses", "other glosses")) == 0) & ((F.size("other glosses") > F.size("own glosses")) | (F.col("other order") < F.col("own order"))) & (more >= fewer)
-    covered = pairs.where(inside).select(*keys, F.col("own order").alias(order)).distinct()
+    rarest = each.join(counts, [*keys, "gloss"]).groupBy(*keys, "own order", "own glosses", "own size").agg(F.min_by("gloss", F.struct("copies", "gloss")).alias("gloss"))
+    others = each.withColumnsRenamed({f"own {c}": f"other {c}" for c in ("order", "last", "glosses", "size")})
+    another = (F.col("other order") != F.col("own order")) | (F.col("other last") != F.col("own order"))
+    better = ((F.col("other size") > F.col("own size")) & another) | (F.col("other order") < F.col("own order"))
+    pairs = rarest.join(others, [*keys, "gloss"]).where(better & (F.size(F.array_except("own glosses", "other glosses")) == 0))
+    covered = pairs.select(*keys, "own order", "own glosses", "own size").distinct()
     # An entry without glosses is covered by any that has some, or by an earlier one.
-    group = entries.groupBy(*keys).agg(F.max(F.size(glosses)).alias("most"), F.min(order).alias("earliest"))
-    bare = entries.where(F.size(glosses) == 0).join(group, keys).where((F.col("most") > 0) | (F.col("earliest") < F.col(order))).select(*keys, order)
-    return entries.join(covered.unionByName(bare), [*keys, order], "left_anti").select(*entries.columns)
+    group = sets.groupBy(*keys).agg(F.max("own size").alias("most"), F.min("own order").alias("earliest"))
+    bare = sets.where("`own size` = 0").join(group, keys).where("most > 0 or earliest < `own order`").select(*keys, "own order", "own glosses", "own size")
+    stay = sets.join(covered.unionByName(bare), [*keys, "own order", "own glosses", "own size"], "left_anti").select(*keys, F.col("own order").alias(order))
+    return entries.where(known).join(stay, [*keys, order], "left_semi").select(*entries.columns).unionByName(entries.where(~known))
 
 
 def compact_dictionary(lines: DataFrame, line: str = "line", order: str = "line_no", most: int = 3) -> DataFrame:
