@@ -316,8 +316,8 @@ def test_taps_between_equal_centres_take_the_first_quad(spark):
     draw = random.Random(8)
     given, taps, want = [], [], {}
     for k in range(300):
-        x, y, dx, dy = draw.randrange(900, 1000) + draw.randrange(10) / 10, draw.randrange(97), draw.randrange(1, 12) + 0.1, draw.randrange(1, 12) + 0.3
-        for n, (sx, sy) in enumerate(((dx, dy), (dy, dx))):
+        x, y = draw.randrange(900, 1000) + draw.randrange(10) / 10, draw.randrange(97)
+        for n, (sx, sy) in enumerate(draw.sample([(6.5, 0.0), (2.5, 6.0), (3.9, 5.2), (1.6, 6.3), (3.3, 5.6), (5.2, 3.9)], 2)):
             cx, cy = x + sx, y + sy
             given.append((str(k), 2 * k + n, [(cx - 0.1, cy - 0.1), (cx + 0.1, cy - 0.1), (cx + 0.1, cy + 0.1), (cx - 0.1, cy + 0.1)]))
         taps.append((k, str(k), x, float(y)))
