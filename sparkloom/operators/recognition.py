@@ -14,6 +14,8 @@ from sparkloom.functions import pixels
 
 #: Fixed values of the recogniser: height of a line, least and largest width of a batch; a step covers so many columns.
 LINE_HEIGHT, LEAST_WIDTH, MOST_WIDTH, STEP = 48, 320, 3200, 8
+#: Bytes of scaled lines that wait in a task for others of their class, at most.
+HELD = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -67,47 +69,53 @@ def char_runs(scores: np.ndarray) -> list[dict]:
 def recognised(crops: DataFrame, keys: list[str], model: Model, classes: int, grain: int = 64, batch: int = 16) -> DataFrame:
     """The ``keys`` of crops (width, height, data), their width class ``wide``, the columns that are ``filled``, ``steps`` and ``chars``.
 
-    Lines are sorted by width class, in ranges, so that those of a class meet in
-    a batch; each is scaled to the line height, and zeros fill the rest of the
-    tensor. The class depends on the line alone, so which lines share a batch
-    changes nothing. Scores must be steps of so many ``classes``.
+    Each task keeps the lines of a width class until they fill a batch (or all
+    that wait take ``HELD`` bytes), so no pixel crosses the network; each is
+    scaled to the line height, and zeros fill the rest of the tensor. The class
+    depends on the line alone, so which lines share a batch changes nothing.
+    Scores must be steps of so many ``classes``.
     """
     width, height = F.col("width"), F.col("height")
     wide = width_class(width, height, grain)
     filled = F.greatest(F.lit(1), F.least(wide, scaled_width(width, height))).cast("int")
     sized = crops.select(*keys, "width", "height", wide.alias("wide"), filled.alias("filled"), "data")
-    sorted_ = sized.repartitionByRange("wide", *keys).sortWithinPartitions("wide")
     n, kinds = len(keys), {c: crops.schema[c].dataType.simpleString() for c in keys}
 
     def answers(held: list[tuple], wide_: int) -> pa.RecordBatch:
         tensor = np.zeros((len(held), 3, LINE_HEIGHT, wide_), np.float32)
-        for k, (_, w, h, _, used, data) in enumerate(held):
-            tensor[k, :, :, :used] = pixels.recogniser_tensor(pixels.resized(pixels.image_of(data, w, h), used, LINE_HEIGHT))
+        for k, (_, used, planes) in enumerate(held):
+            tensor[k, :, :, :used] = pixels.recogniser_tensor(planes)
         scores = np.asarray(running(model)(tensor))
         if scores.ndim != 3 or len(scores) != len(held) or scores.shape[2] != classes:
             raise ValueError(f"scores of shape {scores.shape} are no steps of {classes} classes for {len(held)} lines")
-        rows = [dict(zip(keys, key)) | {"wide": wide_, "filled": used, "steps": scores.shape[1], "chars": char_runs(s)} for (key, _, _, _, used, _), s in zip(held, scores)]
+        rows = [dict(zip(keys, key)) | {"wide": wide_, "filled": used, "steps": scores.shape[1], "chars": char_runs(s)} for (key, used, _), s in zip(held, scores)]
         return pa.RecordBatch.from_pylist(rows, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        waiting: dict[int, list[tuple]] = {}
+        size = 0
         for part in batches:
             columns = [c.to_pylist() for c in part.columns[: n + 4]]
             for k, data in enumerate(part.column(n + 4)):
-                row = (tuple(c[k] for c in columns[:n]), *(c[k] for c in columns[n:]), data.as_py())
-                if held and (len(held) == batch or held[0][3] != row[3]):
-                    yield answers(held, held[0][3])
-                    held = []
-                held.append(row)
-        if held:
-            yield answers(held, held[0][3])
+                w, h, wide_, used = (c[k] for c in columns[n:])
+                image = pixels.image_of(data.as_py(), w, h)[..., :3]
+                line = np.ascontiguousarray(pixels.resized(image, used, LINE_HEIGHT))
+                waiting.setdefault(wide_, []).append((tuple(c[k] for c in columns[:n]), used, line))
+                size += line.nbytes
+                if len(waiting[wide_]) == batch or size > HELD:
+                    most = wide_ if len(waiting[wide_]) == batch else max(waiting, key=lambda c: c * len(waiting[c]))
+                    held = waiting.pop(most)
+                    size -= sum(x.nbytes for *_, x in held)
+                    yield answers(held, most)
+        for wide_, held in waiting.items():
+            yield answers(held, wide_)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     char = "array<struct<class:int,t0:int,t1:int,score:double>>"
     ddl = ", ".join(f"`{c}` {kind}" for c, kind in kinds.items()) + f", wide int, filled int, steps int, chars {char}"
     schema = to_arrow_schema(crops.sparkSession.createDataFrame([], ddl).schema)
-    return sorted_.mapInArrow(run, ddl)
+    return sized.mapInArrow(run, ddl)
 
 
 def detected(images: DataFrame, image: str, model: Model) -> DataFrame:

@@ -244,7 +244,9 @@ def recognised_lines(spark, sf_dir):
     bands = F.transform(F.sequence(F.lit(0), F.col("p_size") + 2), lambda k: ((F.col("p_partkey") * (k + 1) + k) % 3).cast("int"))
     colours = F.array(F.lit("000000FF"), F.lit("000064FF"), F.lit("0000C8FF"))
     row = F.array_join(F.transform("bands", lambda c: F.repeat(F.element_at(colours, c + 1), (F.col("height") / 3).cast("int"))), "")
-    crops = _table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition("p_partkey").select("p_partkey", high.alias("height"), bands.alias("bands"))
+    # Rows are small before they are drawn: without a number they would be put together in one task.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    crops = _table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(tasks, "p_partkey").select("p_partkey", high.alias("height"), bands.alias("bands"))
     crops = crops.select("p_partkey", (F.size("bands") * F.col("height") / 3).cast("int").alias("width"), "height", F.unhex(F.repeat(row, F.col("height"))).alias("data"))
     read = materialized(recognition.recognised(crops, ["p_partkey"], recognition.Model("bands", _band_reader, (1, 3, 48, 320)), 4))
     origin, right, down = G.point(F.lit(0.0), F.lit(0.0)), G.point(F.lit(1.0), F.lit(0.0)), G.point(F.lit(0.0), F.lit(1.0))

@@ -72,6 +72,15 @@ def test_batches_change_nothing(spark):
         assert all(c.t0 * 8 < r.filled for c in r.chars)
 
 
+def test_no_pixel_crosses_the_network(spark, monkeypatch):
+    crops = images(spark, [page(20, 30 * (k + 1), [(0, 0, 20, 30, 0.9)]) for k in range(12)]).coalesce(1)
+    read = recognition.recognised(crops, ["img"], READER, 4, batch=5)
+    assert "rangepartitioning" not in read._jdf.queryExecution().executedPlan().toString()
+    plain = sorted(tuple(r) for r in read.collect())
+    monkeypatch.setattr(recognition, "HELD", 1)
+    assert plain == sorted(tuple(r) for r in recognition.recognised(crops, ["img"], READER, 4, batch=5).collect()) and len(plain) == 12
+
+
 def test_models_are_made_once(spark, tmp_path):
     log = str(tmp_path / "made")
 
