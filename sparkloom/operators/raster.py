@@ -68,6 +68,8 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
     return np.array(half(pts) + half(pts[::-1]), float)
 
 
+#: Sides and distances that differ by rounding alone count as equal.
+NEAR = 1e-9
 RECT = "cx double, cy double, ux double, uy double, vx double, vy double, half_u double, half_v double"
 
 
@@ -107,7 +109,7 @@ def region_mean(rects: DataFrame, cells: DataFrame, keys: list[str]) -> DataFram
     around = lambda c, d: F.explode(F.sequence(F.ceil(F.col(c) - d - 1e-9), F.floor(F.col(c) + d + 1e-9)))
     box = numbered.withColumn("px", around("cx", spread("ux", "vx"))).withColumn("py", around("cy", spread("uy", "vy")))
     dx, dy = F.col("px") - F.col("cx"), F.col("py") - F.col("cy")
-    inside = (F.abs(dx * F.col("ux") + dy * F.col("uy")) <= F.col("half_u") + 0.5) & (F.abs(dx * F.col("vx") + dy * F.col("vy")) <= F.col("half_v") + 0.5)
+    inside = (F.abs(dx * F.col("ux") + dy * F.col("uy")) <= F.col("half_u") + 0.5 + NEAR) & (F.abs(dx * F.col("vx") + dy * F.col("vy")) <= F.col("half_v") + 0.5 + NEAR)
     c = cells.select(*keys, F.col("x").cast("long").alias("px"), F.col("y").cast("long").alias("py"), "value")
     means = box.where(inside).select(*keys, "rect no", "px", "py").join(c, [*keys, "px", "py"]).groupBy(*keys, "rect no").agg(F.avg("value").alias("mean"))
     return numbered.join(means, [*keys, "rect no"], "left").select(*names, F.coalesce("mean", F.lit(0.0)).alias("mean"))
@@ -120,12 +122,12 @@ def first_components(cells: DataFrame, grid: list[str], most: int) -> DataFrame:
 
 def boxes(cells: DataFrame, all_cells: DataFrame, grid: list[str], box_threshold: float, ratio: float, least: float = 3.0) -> DataFrame:
     """Scored boxes of components: short sides below ``least`` and means below the threshold go, then each grows and must reach ``least + 2``."""
-    rects = rectangles(cells, [*grid, "comp"]).where(G.short_side(F.col("half_u"), F.col("half_v")) >= least)
+    rects = rectangles(cells, [*grid, "comp"]).where(G.short_side(F.col("half_u"), F.col("half_v")) >= least - NEAR)
     scored = region_mean(rects, all_cells, grid).where(F.col("mean") >= box_threshold)
     grow = G.grown_by(F.col("half_u"), F.col("half_v"), F.lit(ratio))
     grown = scored.withColumn("grow", grow).withColumns({"half_u": F.col("half_u") + F.col("grow"), "half_v": F.col("half_v") + F.col("grow")})
     names = [c.split()[0] for c in RECT.split(", ")]
-    return grown.where(G.short_side(F.col("half_u"), F.col("half_v")) >= least + 2).withColumn("quad", G.corners(*map(F.col, names)))
+    return grown.where(G.short_side(F.col("half_u"), F.col("half_v")) >= least + 2 - NEAR).withColumn("quad", G.corners(*map(F.col, names)))
 
 
 def text_boxes(grids: DataFrame, values: str, width: int, grid: list[str], threshold: float, box_threshold: float, ratio: float, most: int, target: tuple[float, float]) -> DataFrame:
@@ -164,7 +166,7 @@ def map_rectangles(values: np.ndarray, width: int, threshold: float, most: int)
         part = grid[top : int(np.floor(cy + reach_y)) + 1, left : int(np.floor(cx + reach_x)) + 1]
         dy, dx = np.mgrid[top : top + part.shape[0], left : left + part.shape[1]]
         dx, dy = dx - cx, dy - cy
-        inside = (np.abs(dx * ux + dy * uy) <= half_u + 0.5) & (np.abs(dx * vx + dy * vy) <= half_v + 0.5)
+        inside = (np.abs(dx * ux + dy * uy) <= half_u + 0.5 + NEAR) & (np.abs(dx * vx + dy * vy) <= half_v + 0.5 + NEAR)
         out.append((int(labels[of[0]]), *map(float, rect), float(part[inside].mean()) if inside.any() else 0.0))
     return out
 
@@ -181,9 +183,9 @@ def map_boxes(maps: DataFrame, values: str, grid: list[str], threshold: float, b
 
     rects = maps.where(F.size(values) > 0).select(*grid, "wide", "high", "image width", "image height", F.explode(found(values, "wide")).alias("r")).select(*grid, "wide", "high", "image width", "image height", "r.*")
     short = G.short_side(F.col("half_u"), F.col("half_v"))
-    scored = rects.where((short >= least) & (F.col("mean") >= box_threshold))
+    scored = rects.where((short >= least - NEAR) & (F.col("mean") >= box_threshold))
     grow = G.grown_by(F.col("half_u"), F.col("half_v"), F.lit(ratio))
-    grown = scored.withColumn("grow", grow).withColumns({"half_u": F.col("half_u") + F.col("grow"), "half_v": F.col("half_v") + F.col("grow")}).where(short >= least + 2)
+    grown = scored.withColumn("grow", grow).withColumns({"half_u": F.col("half_u") + F.col("grow"), "half_v": F.col("half_v") + F.col("grow")}).where(short >= least + 2 - NEAR)
     at = lambda v, size, of: G.clamp(F.floor(F.round(v * size / of, 9) + 0.5), F.lit(0).cast("long"), size.cast("long")).cast("long")
     corners = G.ordered_quad(G.corners(*map(F.col, names)))
     scaled = F.transform(corners, lambda p: F.struct(at(p["x"], F.col("image width"), F.col("wide")).alias("x"), at(p["y"], F.col("image height"), F.col("high")).alias("y")))

@@ -115,10 +115,10 @@ dirs AS (SELECT DISTINCT p.vec_id, p.comp, (q.x - p.x) / sqrt((q.x - p.x) * (q.x
     AND EXISTS (SELECT 1 FROM pts o WHERE o.vec_id = p.vec_id AND o.comp = p.comp AND (q.x - p.x) * (o.y - p.y) - (q.y - p.y) * (o.x - p.x) > 0)),
 spans AS (SELECT vec_id, comp, ux, uy, min(x * ux + y * uy) AS a0, max(x * ux + y * uy) AS a1, min(-x * uy + y * ux) AS b0, max(-x * uy + y * ux) AS b1 FROM dirs JOIN pts USING (vec_id, comp) GROUP BY 1, 2, 3, 4),
 rects AS (SELECT *, (a1 - a0) / 2 AS hu, (b1 - b0) / 2 AS hv, (a0 + a1) / 2 * ux - (b0 + b1) / 2 * uy AS cx, (a0 + a1) / 2 * uy + (b0 + b1) / 2 * ux AS cy FROM spans
-  QUALIFY row_number() OVER (PARTITION BY vec_id, comp ORDER BY round((a1 - a0) * (b1 - b0), 9), CASE WHEN round(atan2(uy, ux), 9) > round(-pi() / 2, 9) THEN round(atan2(uy, ux), 9) ELSE 10 END) = 1),
-scored AS (SELECT r.*, coalesce((SELECT avg(v) FROM cells c WHERE c.vec_id = r.vec_id AND abs((c.x - cx) * ux + (c.y - cy) * uy) <= hu + 0.5 AND abs(-(c.x - cx) * uy + (c.y - cy) * ux) <= hv + 0.5), 0) AS score FROM rects r WHERE 2 * least(hu, hv) >= 3),
+  QUALIFY row_number() OVER (PARTITION BY vec_id, comp ORDER BY round((a1 - a0) * (b1 - b0), 9), round(atan2(uy, ux), 9) + CASE WHEN round(atan2(uy, ux), 9) > round(-pi() / 2, 9) THEN 0 ELSE 2 * pi() END, ux, uy) = 1),
+scored AS (SELECT r.*, coalesce((SELECT avg(v) FROM cells c WHERE c.vec_id = r.vec_id AND abs((c.x - cx) * ux + (c.y - cy) * uy) <= hu + 0.5 + 1e-9 AND abs(-(c.x - cx) * uy + (c.y - cy) * ux) <= hv + 0.5 + 1e-9), 0) AS score FROM rects r WHERE 2 * least(hu, hv) >= 3 - 1e-9),
 grown AS (SELECT *, 4 * hu * hv * 1.5 / (4 * (hu + hv)) AS g FROM scored WHERE score >= 0.02),
-corners AS (SELECT vec_id, comp, score, s.k, cx + s.a * (hu + g) * ux - s.b * (hv + g) * uy AS x, cy + s.a * (hu + g) * uy + s.b * (hv + g) * ux AS y FROM grown, (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1)) AS s(k, a, b) WHERE 2 * (least(hu, hv) + g) >= 5),
+corners AS (SELECT vec_id, comp, score, s.k, cx + s.a * (hu + g) * ux - s.b * (hv + g) * uy AS x, cy + s.a * (hu + g) * uy + s.b * (hv + g) * ux AS y FROM grown, (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1)) AS s(k, a, b) WHERE 2 * (least(hu, hv) + g) >= 5 - 1e-9),
 sided AS (SELECT *, row_number() OVER (PARTITION BY vec_id, comp ORDER BY round(x, 9), k) > 2 AS is_right, row_number() OVER (PARTITION BY vec_id, comp ORDER BY round(x, 9), k) AS nx FROM corners),
 placed AS (SELECT *, row_number() OVER (PARTITION BY vec_id, comp, is_right ORDER BY round(y, 9), nx) AS down FROM sided),
 quads AS (SELECT vec_id, comp, any_value(score) AS score, string_agg(least(160, greatest(0, floor(round(x * 20, 9) + 0.5)))::BIGINT || ',' || least(240, greatest(0, floor(round(y * 30, 9) + 0.5)))::BIGINT, ' ' ORDER BY CASE WHEN NOT is_right AND down = 1 THEN 0 WHEN is_right AND down = 1 THEN 1 WHEN is_right THEN 2 ELSE 3 END) AS quad FROM placed GROUP BY 1, 2)

@@ -113,3 +113,17 @@ def test_first_source(spark):
     broken = wanted.where("file = 'a'").withColumn("sha256", F.lit("0"))
     rows = assets.first_source(wanted, [("current", broken), ("older", wanted.where("file <> 'c'"))], "file").collect()
     assert {r.file: r.source for r in rows} == {"a": "older", "b": "older", "c": None}
+
+
+def test_cells_on_the_edge_of_a_leaning_rectangle_count(spark):
+    # Of exact distances 2.5 to the rectangle's middle line, some are a little more when rounded.
+    cells, rects, want = [], [], {}
+    for k in range(12):
+        cells += [(k, x, y, float(x + 20 * y)) for x in range(16) for y in range(16)]
+        cx, cy = 5 + k / 10, 7.3
+        rects.append((k, 1, cx, cy, 0.6, 0.8, -0.8, 0.6, 2.0, 1.0))
+        inside = [x + 20 * y for x in range(16) for y in range(16) if abs(30 * (2 * x - 10) - 6 * k + 40 * (2 * y) - 584) <= 250 and abs(-40 * (2 * x - 10) + 8 * k + 30 * (2 * y) - 438) <= 150]
+        want[k] = sum(inside) / len(inside)
+    names = "g int, comp int, cx double, cy double, ux double, uy double, vx double, vy double, half_u double, half_v double"
+    found = raster.region_mean(spark.createDataFrame(rects, names), spark.createDataFrame(cells, "g int, x int, y int, value double"), ["g"]).collect()
+    assert {r.g: round(r["mean"], 9) for r in found} == {k: round(v, 9) for k, v in want.items()}
