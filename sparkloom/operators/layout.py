@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,10 +73,14 @@ TRIES = [(side, float(scale)) for scale in _SCALES for side in ("after", "before
 def all_strips(chars: list[tuple[str | None, list[float]]], vertical: bool, measure: Measure = fixed_width) -> np.ndarray:
     """The strips of a line's labels for each of ``TRIES``: tries by labels by box; a text's width must be in proportion to its size."""
     shown = [(measure(reading, 1.0), quad) for reading, quad in chars if reading]
-    if not shown:
+    return _all_strips(np.array([u for u, _ in shown], float), np.array([quad for _, quad in shown], float), vertical)
+
+
+def _all_strips(unit: np.ndarray, quads: np.ndarray, vertical: bool) -> np.ndarray:
+    """The same for labels of so many ems beside these quads."""
+    if not len(unit):
         return np.zeros((len(TRIES), 0, 4))
-    unit = np.array([u for u, _ in shown])
-    q = np.array([quad for _, quad in shown], float).reshape(-1, 4, 2)
+    q = quads.reshape(-1, 4, 2)
     along, across = np.hypot(*(q[:, 1] - q[:, 0]).T), np.hypot(*(q[:, 3] - q[:, 0]).T)
     wide, high = (across, along) if vertical else (along, across)
     font = FONT * high * _SCALES[:, None]
@@ -108,14 +114,52 @@ def _lines_of(rows: pd.DataFrame) -> list[tuple[bool, list[tuple[str | None, lis
     return [(bool(v), [(c["reading"], list(c["quad"])) for c in chars]) for v, chars in zip(rows["vertical"], rows["chars"])]
 
 
-def _near_lines(lines: DataFrame, image: str) -> DataFrame:
-    """Each line with its box, its ``reach`` and how early it is placed: from the top, then from the left."""
-    corner = lambda at: F.flatten(F.transform("chars", lambda c: F.filter(c["quad"], lambda _, k: k % 2 == at)))
-    spread = lambda q, at: F.array_max(F.filter(q, lambda _, k: k % 2 == at)) - F.array_min(F.filter(q, lambda _, k: k % 2 == at))
-    sizes = F.transform("chars", lambda c: F.greatest(spread(c["quad"], 0), spread(c["quad"], 1)))
-    ends = {"left": F.array_min(corner(0)), "top": F.array_min(corner(1)), "right": F.array_max(corner(0)), "bottom": F.array_max(corner(1))}
-    boxed = lines.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in ends.items()} | {"reach": F.coalesce(REACH * F.array_max(sizes), F.lit(0.0))})
-    return boxed.withColumn("line id", F.struct(F.col(image), F.col("line_no")))
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where the lists of a column begin and end in its numbers, and these; a null list is empty."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(int), column.flatten().to_numpy(zero_copy_only=False).astype(float)
+
+
+def _lists(ends: np.ndarray, numbers: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers.reshape(-1), pa.float64()))
+
+
+def _measured(lines: DataFrame, image: str, measure: Measure) -> DataFrame:
+    """Each line with, for each character, its label's ``ems`` (negative: none), its corners (``quads``) and its box (``boxes``), all flat; the line's box and ``reach``."""
+    kind = lines.schema[image].dataType.simpleString()
+    plain = [image, "line_no", "vertical", "width", "height"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chars = batch.column(5)
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(chars), 0).to_numpy(zero_copy_only=False))]).astype(int)
+            every = chars.flatten()
+            ems = np.array([measure(r, 1.0) if r else -1.0 for r in pc.struct_field(every, "reading").to_pylist()], float)
+            quads = pc.struct_field(every, "quad").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 8)
+            boxes, some = _box(quads), np.flatnonzero(np.diff(ends))
+            whole = np.zeros((5, batch.num_rows))
+            if len(some):
+                starts = ends[some]
+                whole[:2, some], whole[2:4, some] = np.minimum.reduceat(boxes[:, :2], starts).T, np.maximum.reduceat(boxes[:, 2:], starts).T
+                whole[4, some] = REACH * np.maximum.reduceat((boxes[:, 2:] - boxes[:, :2]).max(axis=1), starts)
+            lists = [_lists(ends, ems), _lists(8 * ends, quads), _lists(4 * ends, boxes)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *lists, *map(pa.array, whole)], [*plain, "ems", "quads", "boxes", "left", "top", "right", "bottom", "reach"])
+
+    numbers = ", ".join([*(f"{c} array<double>" for c in ("ems", "quads", "boxes")), *(f"{c} double" for c in ("left", "top", "right", "bottom", "reach"))])
+    ddl = f"`{image}` {kind}, line_no int, vertical boolean, width double, height double, {numbers}"
+    typed = (F.col("line_no").cast("int"), F.col("vertical").cast("boolean"), F.col("width").cast("double"), F.col("height").cast("double"))
+    quad = F.transform("chars", lambda c: F.struct(c["reading"].alias("reading"), c["quad"].cast("array<double>").alias("quad")))
+    return lines.select(image, *typed, quad.alias("chars")).mapInArrow(run, ddl)
+
+
+def _free(tried: np.ndarray, blocked: np.ndarray) -> np.ndarray:
+    """Which tries meet none of the boxes."""
+    step = max(1, (1 << 20) // max(1, tried.shape[1] * len(blocked)))
+    found = [np.zeros(0, bool)]
+    for at in range(0, len(tried), step):
+        t = tried[at : at + step, :, None]
+        found.append(~((t[..., :2] < blocked[:, 2:]).all(axis=-1) & (blocked[:, :2] < t[..., 2:]).all(axis=-1)).any(axis=(1, 2)))
+    return np.concatenate(found)
 
 
 def place_labels(lines: DataFrame, image: str, measure: Measure = fixed_width, cell: float = 256.0) -> DataFrame:
@@ -127,51 +171,73 @@ def place_labels(lines: DataFrame, image: str, measure: Measure = fixed_width, c
 
     Lines are near if their zones (with the reach of labels) meet, by a grid
     join. Which places are free of near lines' characters is found line by
-    line; only lines that are linked by near ones meet in a group, for the
-    choice among what is left.
+    line; only lines that are linked by near ones are walked together, for the
+    choice among what is left. All joins are by shuffles: what Spark guesses of
+    the size of arrays is far too low, and a broadcast would go through the
+    driver.
     """
     kind = lines.schema[image].dataType.simpleString()
-    boxed = materialized(_near_lines(lines, image))
+    boxed = materialized(_measured(lines, image, measure))
     ends = [F.col("left") - F.col("reach"), F.col("top") - F.col("reach"), F.col("right") + F.col("reach"), F.col("bottom") + F.col("reach")]
     zone = boxed.select(image, "line_no", *(v.alias(n) for v, n in zip(ends, ("x0", "y0", "x1", "y1"))))
     near = materialized(spatial.overlapping(zone, [image], "line_no", cell))
     both = near.select(image, F.col("first").alias("line_no"), F.col("second").alias("other")).union(near.select(image, "second", "first"))
-    others = boxed.select(image, F.col("line_no").alias("other"), F.transform("chars", lambda c: c["quad"]).alias("quads"))
-    obstacles = both.join(others, [image, "other"]).groupBy(image, "line_no").agg(F.flatten(F.collect_list("quads")).alias("obstacles"))
+    others = boxed.select(image, F.col("line_no").alias("other"), "boxes")
+    obstacles = both.join(others.hint("merge"), [image, "other"]).groupBy(image, "line_no").agg(F.flatten(F.collect_list("boxes")).alias("obstacles"))
     node = lambda c: F.struct(F.col(image).alias("image"), F.col(c).alias("line"))
     roots = graph.components(near.select(node("first").alias("a"), node("second").alias("b")))
     rooted = roots.select(F.col("node.image").alias(image), F.col("node.line").alias("line_no"), F.col("root.line").alias("part"))
-    asked = boxed.join(obstacles, [image, "line_no"], "left").join(rooted, [image, "line_no"], "left").withColumn("part", F.coalesce("part", "line_no"))
-
-    def free_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for r in rows.itertuples(index=False):
-                chars = [(c["reading"], list(c["quad"])) for c in r.chars]
-                tried = all_strips(chars, r.vertical, measure)
-                blocked = _box(np.array([list(q) for q in r.obstacles], float).reshape(-1, 8)) if r.obstacles is not None else np.zeros((0, 4))
-                blocked = blocked[_meet(np.array([r.zone]), blocked)[0]]
-                inside = (tried[:, :, :2] >= 0).all(axis=(1, 2)) & (tried[:, :, 2] <= r.width).all(axis=1) & (tried[:, :, 3] <= r.height).all(axis=1)
-                free = [k for k in np.flatnonzero(inside) if not len(blocked) or not _meet(tried[k], blocked).any()]
-                halo = next((k for k in (0, 1) if inside[k]), 0)
-                out.append((r[0], r.line_no, r.part, r.zone, r.top, r.left, free, halo, [tried[k].reshape(-1) for k in [*free, halo]]))
-            yield pd.DataFrame(out, columns=[image, "line_no", "part", "zone", "top", "left", "free", "with_halo", "strips"])
-
-    ddl = f"{image} {kind}, line_no int, part int, zone array<double>, top double, left double, free array<int>, with_halo int, strips array<array<double>>"
-    choices = asked.select(image, "line_no", "part", F.array(*ends).alias("zone"), "top", "left", "vertical", "width", "height", "chars", "obstacles").mapInPandas(free_places, ddl)
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, out = np.zeros((0, 4)), []
-        for r in rows.sort_values(["top", "left", "line_no"]).itertuples(index=False):
-            strips_ = [np.asarray(s, float).reshape(-1, 4) for s in r.strips]
-            near = taken[_meet(np.asarray(r.zone, float)[None], taken)[0]]
-            found = next((k for k in range(len(r.free)) if not _meet(strips_[k], near).any()), None)
-            chosen = r.with_halo if found is None else r.free[found]
-            out.append((r[0], r.line_no, *TRIES[chosen], found is None))
-            taken = np.concatenate([taken, strips_[-1 if found is None else found]])
-        return pd.DataFrame(out, columns=[image, "line_no", "side", "scale", "halo"])
-
-    return choices.groupBy(image, "part").applyInPandas(choose, f"{image} {kind}, line_no int, side string, scale double, halo boolean")
+    asked = boxed.join(obstacles.hint("merge"), [image, "line_no"], "left").join(rooted.hint("merge"), [image, "line_no"], "left").withColumn("part", F.coalesce("part", "line_no"))
+
+    def free_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            zones = _flat(batch.column("zone"))[1].reshape(-1, 4)
+            (at, ems), (_, quads), (near_at, boxes) = (_flat(batch.column(c)) for c in ("ems", "quads", "obstacles"))
+            quads, boxes, near_at = quads.reshape(-1, 8), boxes.reshape(-1, 4), near_at // 4
+            vertical, width, height = (batch.column(c).to_pylist() for c in ("vertical", "width", "height"))
+            free, halo = [], []
+            for k in range(batch.num_rows):
+                own, blocked = slice(at[k], at[k + 1]), boxes[near_at[k] : near_at[k + 1]]
+                shown = ems[own] >= 0
+                tried = _all_strips(ems[own][shown], quads[own][shown], bool(vertical[k]))
+                inside = (tried[:, :, :2] >= 0).all(axis=(1, 2)) & (tried[:, :, 2] <= width[k]).all(axis=1) & (tried[:, :, 3] <= height[k]).all(axis=1)
+                places = np.flatnonzero(inside)
+                free.append(places[_free(tried[places], blocked[_meet(zones[k : k + 1], blocked)[0]])].astype(np.int32))
+                halo.append(next((j for j in (0, 1) if inside[j]), 0))
+            kept = [batch.column(c) for c in (image, "part", "top", "left", "line_no", "vertical", "zone", "ems", "quads")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(free, pa.list_(pa.int32())), pa.array(halo, pa.int32())], names)
+
+    names = [image, "part", "top", "left", "line_no", "vertical", "zone", "ems", "quads", "free", "with_halo"]
+    ddl = f"`{image}` {kind}, part int, top double, left double, line_no int, vertical boolean, zone array<double>, ems array<double>, quads array<double>, free array<int>, with_halo int"
+    choices = asked.select(image, "part", "top", "left", "line_no", "vertical", F.array(*ends).alias("zone"), "ems", "quads", "width", "height", "obstacles").mapInArrow(free_places, ddl)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, taken, used = None, np.zeros((64, 4)), 0
+        for batch in batches:
+            zones = _flat(batch.column("zone"))[1].reshape(-1, 4)
+            (at, ems), (_, quads) = (_flat(batch.column(c)) for c in ("ems", "quads"))
+            quads = quads.reshape(-1, 8)
+            images, parts, vertical, free, halo = (batch.column(c).to_pylist() for c in (image, "part", "vertical", "free", "with_halo"))
+            chosen, plain = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows, bool)
+            for k in range(batch.num_rows):
+                if (images[k], parts[k]) != group:
+                    group, used = (images[k], parts[k]), 0
+                own = slice(at[k], at[k + 1])
+                shown = ems[own] >= 0
+                tried = _all_strips(ems[own][shown], quads[own][shown], bool(vertical[k]))
+                earlier = taken[:used]
+                good = np.flatnonzero(_free(tried[free[k]], earlier[_meet(zones[k : k + 1], earlier)[0]]))
+                plain[k] = len(good)
+                chosen[k] = free[k][good[0]] if len(good) else halo[k]
+                end = used + tried.shape[1]
+                if end > len(taken):
+                    taken = np.concatenate([taken, np.zeros((end, 4))])
+                taken[used:end], used = tried[chosen[k]], end
+            sides, scales = ([TRIES[c][n] for c in chosen] for n in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(image), batch.column("line_no"), pa.array(sides, pa.string()), pa.array(scales, pa.float64()), pa.array(~plain)], [image, "line_no", "side", "scale", "halo"])
+
+    ordered = choices.repartition(image, "part").sortWithinPartitions(image, "part", "top", "left", "line_no")
+    return ordered.mapInArrow(walk, f"`{image}` {kind}, line_no int, side string, scale double, halo boolean")
 
 
 def violations(lines: DataFrame, placements: DataFrame, image: str, measure: Measure = fixed_width) -> DataFrame:

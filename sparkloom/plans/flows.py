@@ -280,7 +280,10 @@ def place_labels(spark, sf_dir):
     y = ((F.col("p_partkey") % 6) * 97 + F.col("p_partkey") * 37 % 50).cast("double")
     corners = F.array(*(F.lit(float(v)) for v in (0, 0, 30, 0, 30, 40, 0, 40)))
     chars = F.transform(F.slice(letters, F.lit(1), F.length(F.regexp_replace("p_name", " ", ""))), lambda c, k: F.struct(c.alias("reading"), F.transform(corners, lambda v, i: v + F.when(i % 2 == 0, k * 30.0 + F.col("p_size")).otherwise(y)).alias("quad")))
-    lines = _table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 6).alias("image"), F.lit(1500.0).alias("width"), F.lit(700.0).alias("height"), (F.col("p_partkey") % 6).cast("int").alias("line_no"), F.lit(False).alias("vertical"), chars.alias("chars"))
+    # Rows are small before their characters are drawn: without a number they would be put together in one task.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").repartition(tasks, "p_partkey")
+    lines = parts.select(F.floor(F.col("p_partkey") / 6).alias("image"), F.lit(1500.0).alias("width"), F.lit(700.0).alias("height"), (F.col("p_partkey") % 6).cast("int").alias("line_no"), F.lit(False).alias("vertical"), chars.alias("chars"))
     return layout.place_labels(lines, "image").withColumn("scale", F.round("scale", 2))
 
 

@@ -103,6 +103,17 @@ def test_placement_in_parts_equals_one_pass(spark):
     assert layout.place_labels(frame.limit(0), "img").count() == 0
 
 
+def test_nothing_of_an_image_goes_through_the_driver(spark):
+    """Spark takes arrays of characters for far smaller than they are, so joins must not leave the choice to it."""
+    rows = [(img, 500.0, 500.0, k, False, [{"reading": r, "quad": [float(v) for v in q]} for r, q in row(0, y, "ā")[1]]) for img in (1, 2) for k, y in enumerate((50, 100))]
+    lines = spark.createDataFrame([*rows, (3, 500.0, 500.0, 0, False, None), (None, 500.0, 500.0, 1, False, rows[0][5])], "img int, width double, height double, line_no int, vertical boolean, chars array<struct<reading:string,quad:array<double>>>")
+    placed = layout.place_labels(lines, "img")
+    assert "Broadcast" not in placed._jdf.queryExecution().executedPlan().toString()
+    assert {(r.img, r.line_no): r.side for r in placed.collect()} == {(1, 0): "before", (1, 1): "after", (2, 0): "before", (2, 1): "after", (3, 0): "after", (None, 1): "after"}
+    zones = spark.createDataFrame([(1, 1, 0.0, 0.0, 9.0, 9.0), (1, 2, 5.0, 5.0, 12.0, 12.0)], "img int, line_no int, x0 double, y0 double, x1 double, y1 double")
+    assert "Broadcast" not in layout.spatial.overlapping(zones, ["img"], "line_no", 8.0)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_violations(spark):
     schema = "img int, width double, height double, line_no int, vertical boolean, chars array<struct<reading:string,quad:array<double>>>"
     rows = [(1, 300.0, 200.0, k, False, [{"reading": r, "quad": [float(v) for v in q]} for r, q in row(20, y, "ā", "b")[1]]) for k, y in enumerate((40, 100))]
