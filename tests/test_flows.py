@@ -359,3 +359,18 @@ def test_taps_on_piles_of_shapes_by_brute_force(spark):
 
     want = {p: best([judge(k, q, x, y) for _, k, q in quads_]) for p, _, x, y in points}
     assert hits == {p: v for p, v in want.items() if v}
+
+
+def test_overlaps_are_counted_without_pairs(spark, monkeypatch):
+    """A row for each box, also for copies, boxes without an inside, and keys with more events than a range holds."""
+    draw = random.Random(4)
+    rows = [(draw.choice(["g", "h", None]), k, *(float(draw.randrange(9)) for _ in range(4))) for k in range(300)]
+    rows += [("g", 1000 + k, *rows[0][2:]) for k in range(5)] + [("g", 2000, None, 1.0, 1.0, 2.0), ("h", 2001, -0.0, 3.0, 0.0, 5.0), ("h", 2002, 0.0, 3.0, -0.0, 5.0)]
+    met = lambda a, b: a[0] == b[0] and a[0] and None not in (*a[2:], *b[2:]) and a[2] < b[3] and b[2] < a[3] and a[4] < b[5] and b[4] < a[5]
+    want = {a[1]: (min(b[1] for b in rows if (a[0], *a[2:]) == (b[0], *b[2:])), sum(a is not b and bool(met(a, b)) for b in rows)) for a in rows}
+    frame = spark.createDataFrame(rows, "g string, id int, x0 double, x1 double, y0 double, y1 double")
+    for bound in (100_000, 50):
+        monkeypatch.setattr(spatial.ranges, "RANGE", bound)
+        found = spatial.overlap_counts(frame, ["g"], "id").collect()
+        assert len(found) == len(rows) and {r.id: (r.class_id, r.n_links) for r in found} == want
+    assert spatial.overlap_counts(frame.limit(0), ["g"], "id").count() == 0
