@@ -14,6 +14,8 @@ from sparkloom.storage import materialized
 LONGEST_WORD = 8
 #: Lexicons of up to so many words are broadcast; larger ones are joined by a shuffle.
 BROADCAST_WORDS = 500_000
+#: Of a path's cost with its number of words: bits of the latter.
+WORDS_BITS = 40
 
 
 def runs(docs: DataFrame, text: str, chars: str = T.CJK, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -22,6 +24,11 @@ def runs(docs: DataFrame, text: str, chars: str = T.CJK, keep: tuple[str, ...] =
     return out.withColumn("in_class", T.has_class("run", chars))
 
 
+def runs_in_class(docs: DataFrame, text: str, chars: str = T.CJK) -> DataFrame:
+    """A row for each run of characters of the class alone."""
+    return docs.select(F.explode(F.regexp_extract_all(text, F.lit(f"[{chars}]+"), F.lit(0))).alias("run"))
+
+
 def _spans_by_broadcast(words: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
     known = words.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in lexicon.collect()))
 
@@ -72,10 +79,14 @@ def segment(words: DataFrame, lexicon: DataFrame, longest: int = LONGEST_WORD) -
     A character without a match is a segment of its own. Time is linear in a
     run's length. Null runs have no segments.
     """
+    return _spans_of_ends(_longest_ends(words, lexicon, longest))
+
+
+def _longest_ends(words: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
     words = words.select("run").where("run is not null").distinct()
     lexicon = lexicon.select("word").where(F.length("word").between(2, longest)).distinct()
     small = lexicon.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
-    return _spans_of_ends((_spans_by_broadcast if small else _spans_by_join)(words, lexicon, longest))
+    return (_spans_by_broadcast if small else _spans_by_join)(words, lexicon, longest)
 
 
 def lookup_taps(taps: DataFrame, lexicon: DataFrame, tap: str = "tap", longest: int = LONGEST_WORD) -> DataFrame:
@@ -121,11 +132,21 @@ def _paths_by_broadcast(words: DataFrame, costs: DataFrame, unknown: int, longes
         for batch in batches:
             rows = []
             for run in batch:
-                into = {end: [(start, cost[run[start:end]]) for start in range(max(0, end - longest), end) if run[start:end] in cost] for end in range(1, len(run) + 1)}
-                for end, words_ in into.items():
-                    if run[end - 1] not in cost:
-                        words_.append((end - 1, unknown))
-                rows.append(least_path(len(run), into))
+                # Cost and number of words in one number, the cost first; of equal ones the earliest start.
+                best, before = [0], []
+                for end in range(1, len(run) + 1):
+                    least, begin = best[-1] + (cost.get(run[end - 1], unknown) << WORDS_BITS), end - 1
+                    for start in range(end - 2, max(0, end - longest) - 1, -1):
+                        own = cost.get(run[start:end])
+                        if own is not None and (own := best[start] + (own << WORDS_BITS)) <= least:
+                            least, begin = own, start
+                    best.append(least + 1)
+                    before.append(begin)
+                ends, at = [], len(run)
+                while at:
+                    ends.append(at)
+                    at = before[at - 1]
+                rows.append(ends[::-1])
             yield pd.Series(rows)
 
     return words.select("run", cuts("run").alias("ends"))
@@ -161,10 +182,14 @@ def segment_by_cost(words: DataFrame, costs: DataFrame, unknown: int, longest: i
     words count, then, from the end, the longer ones. Time is linear in a run's
     length. Of a word with several costs the least counts.
     """
+    return _spans_of_ends(_cheapest_ends(words, costs, unknown, longest))
+
+
+def _cheapest_ends(words: DataFrame, costs: DataFrame, unknown: int, longest: int) -> DataFrame:
     words = words.select("run").where("run is not null").distinct()
     costs = costs.where(F.length("word").between(1, longest)).groupBy("word").agg(F.min("cost").cast("long").alias("cost"))
     small = costs.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
-    return _spans_of_ends((_paths_by_broadcast if small else _paths_by_join)(words, costs, unknown, longest))
+    return (_paths_by_broadcast if small else _paths_by_join)(words, costs, unknown, longest)
 
 
 def _spans_of_ends(found: DataFrame) -> DataFrame:
@@ -173,23 +198,47 @@ def _spans_of_ends(found: DataFrame) -> DataFrame:
     return spans.withColumn("word", F.expr("substring(run, start + 1, end - start)"))
 
 
-def _read(spans: DataFrame, lexicon: DataFrame) -> DataFrame:
+def _read(found: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Readings of the runs that have words with these ``ends``."""
     first = lexicon.groupBy("word").agg(F.min_by("pinyin", "ord").alias("pinyin"))
-    spans = spans.join(first, "word", "left")
-    letters, parts = F.split("word", ""), F.split(T.strip_blank(F.col("pinyin")), f"{T.BLANK}+")
-    own = F.when(F.size(parts) == F.length("word"), parts).otherwise(F.slice(letters, 1, F.length("word")))
+    parts = F.split(T.strip_blank(F.col("pinyin")), f"{T.BLANK}+")
+    first = first.select("word", parts.alias("parts")).where(F.size("parts") == F.length("word"))
+    return (_read_by_broadcast if first.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else _read_by_join)(found, first)
+
+
+def _read_by_broadcast(found: DataFrame, first: DataFrame) -> DataFrame:
+    known = found.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in first.collect()})
+
+    @F.pandas_udf("array<string>")
+    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for runs_, ends in batches:
+            rows = []
+            for run, own in zip(runs_, ends):
+                at, out = 0, []
+                for end in own:
+                    out += known.value.get(run[at:end]) or run[at:end]
+                    at = end
+                rows.append(out)
+            yield pd.Series(rows)
+
+    return found.where(F.size("ends") > 0).select("run", read("run", "ends").alias("readings"))
+
+
+def _read_by_join(found: DataFrame, first: DataFrame) -> DataFrame:
+    spans = _spans_of_ends(found).join(first, "word", "left")
+    own = F.coalesce("parts", F.slice(F.split("word", ""), F.lit(1), F.length("word")))
     listed = spans.select("run", "start", own.alias("own")).groupBy("run").agg(F.array_sort(F.collect_list(F.struct("start", "own"))).alias("all"))
     return listed.select("run", F.flatten(F.transform("all", lambda x: x["own"])).alias("readings"))
 
 
 def first_readings(runs_: DataFrame, lexicon: DataFrame, longest: int = LONGEST_WORD) -> DataFrame:
     """A reading for each character of the distinct ``run``: from the first entry of its word, the character itself where none has one for each."""
-    return _read(segment(runs_, lexicon, longest), lexicon)
+    return _read(_longest_ends(runs_, lexicon, longest), lexicon)
 
 
 def context_readings(runs_: DataFrame, lexicon: DataFrame, costs: DataFrame, unknown: int, longest: int = LONGEST_WORD) -> DataFrame:
     """The same with the words of the cheapest way to read the whole run, so that a character is read as its neighbours on both sides suggest."""
-    return _read(segment_by_cost(runs_, costs, unknown, longest), lexicon)
+    return _read(_cheapest_ends(runs_, costs, unknown, longest), lexicon)
 
 
 def annotate_lines(lines: DataFrame, readings: DataFrame, keys: list[str], chars: str = T.CJK) -> DataFrame:

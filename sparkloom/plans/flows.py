@@ -76,9 +76,9 @@ def annotate_lines(spark, sf_dir):
     """Turns of conversations as lines: their runs, and for each letter its reading (here its capital) where its word has one."""
     counted = _distinct_runs(spark, sf_dir)
     letters = F.array_join(F.split(F.upper("word"), ""), " ")
-    lexicon = _prefix_lexicon(counted).select("word", F.lit(1).alias("ord"), T.strip_blank(letters).alias("pinyin"))
+    lexicon = materialized(_prefix_lexicon(counted)).select("word", F.lit(1).alias("ord"), T.strip_blank(letters).alias("pinyin"))
     lines = _table(spark, sf_dir, "conversations")
-    own = words.runs(lines.where(T.has_class("text", LETTERS)), "text", LETTERS).where("in_class").select("run").distinct()
+    own = words.runs_in_class(lines, "text", LETTERS).distinct()
     annotated = words.annotate_lines(lines, words.first_readings(own, lexicon), ["conv_id", "turn"], LETTERS)
     tokens = annotated.select("conv_id", "turn", F.posexplode("tokens").alias("token_no", "t"))
     shown = F.array_join(F.transform("t.chars", lambda c: F.coalesce(c["reading"], F.lit("-"))), "")

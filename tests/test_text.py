@@ -224,3 +224,15 @@ def test_cheapest_paths_equal_brute_force(spark):
     for r in words.segment_by_cost(spark.createDataFrame([(r,) for r in runs], "run string"), table, 7).collect():
         found.setdefault(r.run, []).append((r.start, r.end))
     assert {r: sorted(s) for r, s in found.items()} == {r: cheapest(r) for r in runs}
+
+
+def test_readings_of_small_lexicons_need_no_rows_for_words(spark):
+    """A run's readings come from its words within one row: no row a word, no second grouping of the runs; class runs alone are split off."""
+    entries = spark.createDataFrame([("ab", 1, "A1 B1"), ("ab", 2, "A2 B2"), ("cd", 1, "one")], "word string, ord int, pinyin string")
+    runs = spark.createDataFrame([("abcd",), ("xab",)], "run string")
+    for read in (words.first_readings(runs, entries), words.context_readings(runs, entries, entries.selectExpr("word", "3 AS cost"), 5)):
+        plan = read._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and "Join" not in plan and "Generate" not in plan
+        assert {r.run: r.readings for r in read.collect()} == {"abcd": ["A1", "B1", "c", "d"], "xab": ["x", "A1", "B1"]}
+    found = words.runs_in_class(spark.createDataFrame([("12ab-cd",), ("34",), (None,), ("",)], "text string"), "text", "a-z")
+    assert sorted(r.run for r in found.collect()) == ["ab", "cd"]
