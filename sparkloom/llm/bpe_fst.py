@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.chunks import LONGEST, WorkerCache, split_chunks, whole_chunks
-from sparkloom.llm.common import map_batches, utf8
+from sparkloom.llm.common import kept_by, map_batches, utf8
 
 #: Entries that a worker keeps at most.
 CACHE_CHUNKS, CACHE_PIECES = 400_000, 200_000
@@ -217,14 +217,15 @@ class Codec:
         yield machine.finish()
 
 
-#: Of this worker process: it outlives tasks.
-_CODECS: dict[tuple[str, str, float], Codec] = {}
+#: The name by which workers keep codecs: they outlive tasks, but not this step.
+KEPT = "byte bpe"
 
 
 def worker_codec(path: str, pattern: str, scale: float = 1.0) -> Codec:
-    if (path, pattern, scale) not in _CODECS:
-        _CODECS[path, pattern, scale] = Codec(path, pattern, scale)
-    return _CODECS[path, pattern, scale]
+    codecs = kept_by(KEPT)
+    if (path, pattern, scale) not in codecs:
+        codecs[path, pattern, scale] = Codec(path, pattern, scale)
+    return codecs[path, pattern, scale]
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -236,7 +237,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", i
         yield pa.RecordBatch.from_arrays([batch.column(0), ids], [id_column, "ids"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return map_batches(docs.select(id_column, utf8(text)), run, f"`{id_column}` {kind}, ids array<int>")
+    return map_batches(docs.select(id_column, utf8(text)), run, f"`{id_column}` {kind}, ids array<int>", KEPT)
 
 
 def decode_ids(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", id_column: str = "doc_id") -> DataFrame:
@@ -248,7 +249,7 @@ def decode_ids(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", id_
         yield pa.RecordBatch.from_arrays([batch.column(0), texts], [id_column, "text"])
 
     kind = tokens.schema[id_column].dataType.simpleString()
-    return map_batches(tokens.select(id_column, F.col(ids).cast("array<int>")), run, f"`{id_column}` {kind}, text string")
+    return map_batches(tokens.select(id_column, F.col(ids).cast("array<int>")), run, f"`{id_column}` {kind}, text string", KEPT)
 
 
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
@@ -280,4 +281,4 @@ def encoding_digests(docs: DataFrame, path: str, pattern: str, text: str = "text
             yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return map_batches(docs.select(id_column, utf8(text)), run, f"`{id_column}` {kind}, {DIGESTS}" + ", ids array<int>" * with_ids)
+    return map_batches(docs.select(id_column, utf8(text)), run, f"`{id_column}` {kind}, {DIGESTS}" + ", ids array<int>" * with_ids, KEPT)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,10 +65,29 @@ def discard(spark: SparkSession, frame: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch; an executor that is lost only repeats its own tasks."""
+#: What a worker process keeps from task to task, by the name of the step that uses it.
+_KEPT: dict[str, dict] = {}
+
+
+def kept_by(step: str) -> dict:
+    return _KEPT.setdefault(step, {})
+
+
+def release(keeps: str | None = None) -> None:
+    """Let go of what other steps have kept in this worker process."""
+    others = [held for step, held in _KEPT.items() if step != keeps and held]
+    for held in others:
+        held.clear()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema, keeps: str | None = None) -> DataFrame:
+    """Apply ``fn`` to each Arrow batch; an executor that is lost only repeats its own tasks. What other steps than ``keeps`` have kept in the worker goes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keeps)
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
@@ -74,6 +95,18 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Arrow batches of about this size for what is run inside, as each is held by Spark and by Python at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def utf8(column: str = "text"):
     """The column as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
