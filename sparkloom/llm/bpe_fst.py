@@ -70,8 +70,10 @@ class MergeTransducer:
         self.most_states, self.most_steps, self.most_pairs = int(MOST_STATES * scale), int(MOST_STEPS * scale), int(MOST_PAIRS * scale)
         self.text = {rank: token for token, rank in ranks.items()}
         self.size = {rank: len(token) for token, rank in ranks.items()}
-        self.open = {token[:n] for token in ranks for n in range(1, len(token))}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        #: By itself, so that all states share one copy.
+        self.open = {start: start for token in ranks for start in (token[:n] for n in range(1, len(token)))}
+        #: By left + 1 in the upper bits and right in the lower 32.
+        self.pairs: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -82,13 +84,14 @@ class MergeTransducer:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the two tokens may stand next to each other in an encoding; left may be the start, -1."""
-        found = self.pairs.get((left, right))
+        key = (left + 1) << 32 | right
+        found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
             pair = [right] if left < 0 else [left, right]
             found = merge_by_rank(b"".join(self.text[t] for t in pair), self.ranks) == pair
-            self.pairs[left, right] = found
+            self.pairs[key] = found
         return found
 
     def follow(self, at: int) -> tuple[int, int, bool]:
@@ -100,8 +103,8 @@ class MergeTransducer:
             token = self.ranks.get(longer)
             if token is not None and ended < 0 and self.fits(last, token):
                 ended = token
-            if longer in self.open:
-                live.append((longer, last))
+            if (shared := self.open.get(longer)) is not None:
+                live.append((shared, last))
         self.steps[at] = made = (self.numbered((*live, (b"", ended))) << 8, ended, not live)
         return made
 
@@ -183,23 +186,21 @@ class Codec:
         self.decimal = [b"%d" % i for i in range(top)]
         self.first = WorkerCache(lambda keys: [self.fresh(k) for k in keys], int(CACHE_CHUNKS * scale) // 16)
         self.later = WorkerCache(lambda keys: [self.fresh(whole_chunks([k])) for k in keys], int(CACHE_CHUNKS * scale))
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.most_pieces = int(CACHE_PIECES * scale)
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> bytes:
+        """The ids as 4-byte integers, which take a third of a list's memory."""
         found = self.pieces.get(piece)
         if found is None:
-            found = self.transducer.encode(piece.encode())
+            found = array("I", self.transducer.encode(piece.encode())).tobytes()
             if len(self.pieces) < self.most_pieces and len(piece) < LONGEST:
                 self.pieces[piece] = found
         return found
 
     def fresh(self, text: bytes) -> bytes:
         """The ids as 4-byte integers."""
-        ids: list[int] = []
-        for piece in self.find(text.decode()):
-            ids += self.piece(piece)
-        return array("I", ids).tobytes()
+        return b"".join(map(self.piece, self.find(text.decode())))
 
     def encode(self, text: bytes) -> np.ndarray:
         chunks = split_chunks(text) if text else []

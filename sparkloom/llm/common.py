@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -73,6 +74,13 @@ def kept_by(step: str) -> dict:
     return _KEPT.setdefault(step, {})
 
 
+def give_back() -> None:
+    """Return to the system what this worker process has freed; Arrow and the C library would hold it for later."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def release(keeps: str | None = None) -> None:
     """Let go of what other steps have kept in this worker process."""
     others = [held for step, held in _KEPT.items() if step != keeps and held]
@@ -80,17 +88,18 @@ def release(keeps: str | None = None) -> None:
         held.clear()
     if others:
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema, keeps: str | None = None) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch; an executor that is lost only repeats its own tasks. What other steps than ``keeps`` have kept in the worker goes first."""
+    """Apply ``fn`` to each Arrow batch; an executor that is lost only repeats its own tasks. What other steps than ``keeps`` have kept in the worker goes first, what a task has freed at its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release(keeps)
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

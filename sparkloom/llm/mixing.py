@@ -172,7 +172,8 @@ def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", id_col
     quotas = apportion(stock, stock.groupBy("grp").agg(F.round(F.sum("votes")).cast("long").alias("seats")), n_sources or 1)
     quotas = quotas.select(F.col("leaf").alias("grp"), "seats")
     leaves = counted.select(F.col("rank").cast("long").alias("grp"), F.col("shard").cast("long").alias("leaf"), F.col("shard_words").cast("double").alias("votes"), (F.col("blocks") * most).alias("cap"))
-    shares = apportion(leaves, quotas, most_shards or 1).select(F.col("grp").alias("rank"), F.col("leaf").alias("shard"), "seats")
+    # Cut: else tasks of the draw hold two Python workers each, one for the apportionment.
+    shares = cut(apportion(leaves, quotas, most_shards or 1).select(F.col("grp").alias("rank"), F.col("leaf").alias("shard"), "seats"))
 
     def draw(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []

@@ -31,6 +31,8 @@ from sparkloom.llm.common import map_batches, utf8
 
 SYMBOLS = tuple("#*$%&|<>".encode())
 BLANKS = tuple(b" \t\n\v\f\r")
+#: Rows that are given back at once.
+ROWS_OUT = 1024
 
 
 @dataclass(frozen=True)
@@ -131,9 +133,13 @@ def reject_low_quality(docs: DataFrame, text: str = "text", bands: Bands = Bands
     """The rows of ``docs``, unchanged, that pass the base rule and the bands."""
 
     def passing(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        mask = verdicts(batch.column(batch.num_columns - 1), bands)[-1]
-        yield pa.RecordBatch.from_arrays(batch.columns[:-1], docs_columns).filter(mask)
+        for start in range(0, batch.num_rows, ROWS_OUT):  # so that few rows are held twice
+            part = batch.slice(start, ROWS_OUT)
+            bodies = part.column(part.num_columns - 1) if at is None else part.column(at).fill_null("").cast(pa.large_binary())
+            yield pa.RecordBatch.from_arrays(part.columns[: len(docs_columns)], docs_columns).filter(verdicts(bodies, bands)[-1])
 
     docs_columns = docs.columns
+    # A text that is a string anyway is sent once.
+    at = next((k for k, f in enumerate(docs.schema) if f.name == text and f.dataType.simpleString() == "string"), None)
     kept = [F.col(f"`{c}`").alias(f"kept {k}") for k, c in enumerate(docs_columns)]
-    return map_batches(docs.select(*kept, utf8(text).alias("body")), passing, docs.schema)
+    return map_batches(docs.select(*kept, *([utf8(text).alias("body")] if at is None else [])), passing, docs.schema)
