@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import geometry as G
 from sparkloom.operators import assets, evaluation, layout, lines, raster, spatial
 from sparkloom.operators import text as words
+from sparkloom.plans import queries
 from sparkloom.sources import files, images, models
 from sparkloom.streaming import messages, reducer
 
@@ -374,3 +375,16 @@ def test_overlaps_are_counted_without_pairs(spark, monkeypatch):
         found = spatial.overlap_counts(frame, ["g"], "id").collect()
         assert len(found) == len(rows) and {r.id: (r.class_id, r.n_links) for r in found} == want
     assert spatial.overlap_counts(frame.limit(0), ["g"], "id").count() == 0
+
+
+def test_overlap_pairs_names_both_boxes_of_every_pair(spark, tmp_path):
+    """Also of boxes that are equal: a number of links would not tell which boxes are linked."""
+    draw = random.Random(6)
+    rows = [(k, f"Brand#{k % 2}", draw.randrange(1, 50), 900.0 + draw.randrange(200)) for k in range(1, 200)]
+    rows += [(rows[0][0] + 97 * 194 * n, *rows[0][1:]) for n in (1, 2)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    meet = lambda a, b: a[1] == b[1] and a[3] < b[3] + b[2] and b[3] < a[3] + a[2] and abs(a[0] % 97 - b[0] % 97) < 8
+    want = sorted((a[1], a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and meet(a, b))
+    found = queries.QUERIES["overlap_pairs"](spark, str(tmp_path))
+    assert found.columns == ["p_brand", "first", "second"] and sorted(tuple(r) for r in found.collect()) == want
+    assert len(want) > 300 and {(rows[0][1], 1, 1 + 97 * 194), (rows[0][1], 1, 1 + 97 * 388)} <= set(want)
