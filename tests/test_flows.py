@@ -388,3 +388,26 @@ def test_overlap_pairs_names_both_boxes_of_every_pair(spark, tmp_path):
     found = queries.QUERIES["overlap_pairs"](spark, str(tmp_path))
     assert found.columns == ["p_brand", "first", "second"] and sorted(tuple(r) for r in found.collect()) == want
     assert len(want) > 300 and {(rows[0][1], 1, 1 + 97 * 194), (rows[0][1], 1, 1 + 97 * 388)} <= set(want)
+
+
+def _on_disk(spark, tmp_path, name, frame):
+    frame.write.parquet(f"{tmp_path}/{name}")
+    return spark.read.parquet(f"{tmp_path}/{name}")
+
+
+def _plan(monkeypatch, run):
+    """The whole plan of a query, as if nothing were stored between its steps, and no table of keys small enough to be broadcast."""
+    monkeypatch.setattr(spatial, "materialized", lambda df: df)
+    monkeypatch.setattr(spatial, "BROADCAST_KEYS", 0, raising=False)
+    return run()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_taps_on_boxes_are_joined_by_shuffles(spark, monkeypatch, tmp_path):
+    """Estimates go by the files' size, so that tables of any size would be broadcast through the driver."""
+    boxes = _on_disk(spark, tmp_path, "boxes", spark.range(1000).selectExpr("'a' as g", "id", "id as ord", "id % 100 + 0.5D as x0", "id % 100 + 9D as x1", "id % 7 + 0D as y0", "id % 7 + 5D as y1"))
+    taps = _on_disk(spark, tmp_path, "taps", spark.range(1000).selectExpr("id as p", "'a' as g", "id % 150 + 0D as x", "id % 30 + 0D as y"))
+    run = lambda: spatial.hits(taps, boxes, ["g"], "p", "id", 22.0, 64.0)
+    found = {tuple(r) for r in run().collect()}
+    plan = _plan(monkeypatch, run)
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert found and {tuple(r) for r in run().collect()} == found
