@@ -411,3 +411,15 @@ def test_taps_on_boxes_are_joined_by_shuffles(spark, monkeypatch, tmp_path):
     plan = _plan(monkeypatch, run)
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
     assert found and {tuple(r) for r in run().collect()} == found
+
+
+def test_taps_on_quads_are_joined_by_shuffles(spark, monkeypatch, tmp_path):
+    point = lambda x, y: f"named_struct('x', id % 100 + {x}D, 'y', id % 7 + {y}D)"
+    quad = f"array({point(0.5, 0)}, {point(9.5, 2)}, {point(8.5, 7)}, {point(-0.5, 5)}) as quad"
+    shapes = _on_disk(spark, tmp_path, "quads", spark.range(1000).selectExpr("'a' as g", "id", "id as ord", quad))
+    taps = _on_disk(spark, tmp_path, "taps", spark.range(1000).selectExpr("id as p", "'a' as g", "id % 150 + 0D as x", "id % 30 + 0D as y"))
+    run = lambda: spatial.quad_hits(taps, shapes, ["g"], "p", "id", 22.0, 32.0)
+    found = {tuple(r) for r in run().collect()}
+    plan = _plan(monkeypatch, run)
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert found and {tuple(r) for r in run().collect()} == found
